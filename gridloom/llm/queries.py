@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from gridloom.llm.bpe import op3_bpe
 from gridloom.llm.quality import op4_quality
 
-QUERIES = {"op4_quality": op4_quality}
+QUERIES = {"op3_bpe": op3_bpe, "op4_quality": op4_quality}
 
 ORACLE_SQL: dict[str, str] = {}
