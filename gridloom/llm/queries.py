@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from gridloom.llm.bpe import op3_bpe
 from gridloom.llm.quality import op4_quality
+from gridloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_quality": op4_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
 
 ORACLE_SQL: dict[str, str] = {}
