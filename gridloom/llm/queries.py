@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from gridloom.llm.bpe import op3_bpe
+from gridloom.llm.media import op10_media
 from gridloom.llm.quality import op4_quality
 from gridloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {}
