@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from gridloom.llm.bpe import op3_bpe
 from gridloom.llm.media import op10_media
+from gridloom.llm.minhash import op9_minhash
+from gridloom.llm.packing import op5_packing
 from gridloom.llm.quality import op4_quality
 from gridloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op10_media": op10_media}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_packing": op5_packing, "op9_minhash": op9_minhash, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {}
