@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step handles at once.
 SLICE_BYTES = 4 << 20
-#: Rows that cross from the JVM to Python at once; whole texts can be long.
-ARROW_ROWS = 1000
+#: Rows and bytes that cross from the JVM to Python at once; whole texts can be long.
+ARROW_ROWS, ARROW_BYTES = 4000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Sets what the Python steps rely on: small Arrow batches, so that whole long texts cross in bounded memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +49,7 @@ class Scratch:
     """
 
     left: ClassVar[list[tuple[SparkSession, str]]] = []
+    tables: ClassVar[list[tuple[SparkSession, str]]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/gridloom-{uuid.uuid4().hex}", 0
@@ -61,11 +63,24 @@ class Scratch:
         out._kept_at = path
         return out
 
+    def keep_bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """Kept in buckets by a column: later joins on it don't move these rows."""
+        self.names += 1
+        path, name = f"{self.root}/{self.names}", f"gridloom_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+        Scratch.tables.append((self.spark, name))
+        out = self.spark.table(name)
+        out._kept_at = path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         remove(self.spark, df._kept_at)
 
 
 def _remove_left() -> None:
+    for spark, name in Scratch.tables:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in Scratch.left:
         with contextlib.suppress(Exception):
             remove(spark, path)

@@ -8,8 +8,18 @@ from gridloom.llm.minhash import op9_minhash
 from gridloom.llm.packing import op5_packing
 from gridloom.llm.quality import op4_quality
 from gridloom.llm.simhash import op7_simhash
+from gridloom.llm.suffix import op8_suffix
 from gridloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_packing": op5_packing, "op7_simhash": op7_simhash, "op9_minhash": op9_minhash, "op10_media": op10_media}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
+    "op7_simhash": op7_simhash,
+    "op8_suffix": op8_suffix,
+    "op9_minhash": op9_minhash,
+    "op10_media": op10_media,
+}
 
 ORACLE_SQL: dict[str, str] = {}
