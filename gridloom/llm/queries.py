@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridloom.llm.brown import op2_brown
 from gridloom.llm.bpe import op3_bpe
 from gridloom.llm.media import op10_media
 from gridloom.llm.minhash import op9_minhash
@@ -13,6 +14,7 @@ from gridloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_brown": op2_brown,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
