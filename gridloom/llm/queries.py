@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gridloom.llm.brown import op2_brown
 from gridloom.llm.bpe import op3_bpe
+from gridloom.llm.licenses import op6_licenses
 from gridloom.llm.media import op10_media
 from gridloom.llm.minhash import op9_minhash
 from gridloom.llm.packing import op5_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_licenses": op6_licenses,
     "op7_simhash": op7_simhash,
     "op8_suffix": op8_suffix,
     "op9_minhash": op9_minhash,
