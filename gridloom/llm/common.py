@@ -130,6 +130,30 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train, most: int) -> DataFrame:
+    """doc_id, text, y of at most ``most`` labelled training rows, those with the lowest hash of their id. The chosen ids
+    are bounded, so they are broadcast and the texts stay where they are."""
+    chosen = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+        .where(F.col("y").isNotNull() & train)
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    )
+    return docs.join(F.broadcast(chosen), "doc_id")
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose text ``keep`` accepts, with all their columns."""
+
+    def step(batches):
+        for batch in batches:
+            for part in slices(batch):
+                text = pa.compute.fill_null(part.column("text"), "")
+                yield part.filter(pa.array(keep(text), pa.bool_()))
+
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(step, docs.schema)
+
+
 def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, batch_of, fold_of, map_arrow, segment_sum, slices, table, texts, utf8
+from gridloom.llm.common import batch_of, filtered, fold_of, labelled, map_arrow, segment_sum, slices, table, texts, utf8
 
 #: Labelled rows that training takes at most, those with the smallest hash of their id.
 MAX_TRAIN = 20_000
@@ -188,49 +188,45 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bins: in
     return Forest(forest.base, np.array(features), np.array(places), np.array(values), depth)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and its statistics, one pass over the texts."""
+def learn(docs: DataFrame, labels: DataFrame, label: str, train, most: int = MAX_TRAIN) -> Forest:
+    """The forest of at most ``most`` labelled training rows."""
 
     def step(batches):
         for batch in batches:
             for part in slices(batch):
                 x = statistics(part.column("text"))
-                flat = pa.array(x.ravel())
-                yield batch_of(doc_id=part.column("doc_id"), stats=pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(STATISTICS)), pa.int32()), flat))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(STATISTICS)), pa.int32()), pa.array(x.ravel()))
+                yield batch_of(doc_id=part.column("doc_id"), y=part.column("y"), stats=flat)
 
-    return map_arrow(texts(docs), step, "doc_id long, stats array<float>")
-
-
-def labelled(stats: DataFrame, labels: DataFrame, label: str, most: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``most`` rows, those whose id hashes lowest."""
-    pairs = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
-    found = stats.join(pairs, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most).toPandas()
+    found = map_arrow(labelled(docs, labels, label, train, most), step, "doc_id long, y int, stats array<float>").toPandas()
     if found.empty:
-        return np.zeros((0, len(STATISTICS)), np.float32), np.zeros(0)
-    return np.stack(found["stats"].to_numpy()).astype(np.float32), found["y"].to_numpy(float)
+        return fit(np.zeros((0, len(STATISTICS)), np.float32), np.zeros(0))
+    found = found.sort_values(["doc_id", "y"], kind="stable")  # the same sums on each run
+    return fit(np.stack(found["stats"].to_numpy()).astype(np.float32), (found["y"].to_numpy() > 0).astype(float))
 
 
-def scored(stats: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted."""
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, label: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
+    """Scores every document; learns from labelled rows outside the held-out fold.
+
+    Returns doc_id, held_out, score, predicted: one row for each row of ``docs``. An empty table gives no rows.
+    """
+    rows = texts(docs)
+    forest = learn(rows, labels, label, fold_of("doc_id", folds) != held, max_train)
 
     def step(batches):
         for batch in batches:
-            flat = batch.column("stats").flatten().to_numpy(zero_copy_only=False)
-            score = forest.score(flat.reshape(batch.num_rows, len(STATISTICS)))
-            yield batch_of(doc_id=batch.column("doc_id"), score=pa.array(score), predicted=pa.array((score >= threshold).astype(np.int32)))
-
-    return map_arrow(stats, step, "doc_id long, score double, predicted int")
+            for part in slices(batch):
+                score = forest.score(statistics(part.column("text")))
+                yield batch_of(doc_id=part.column("doc_id"), score=pa.array(score), predicted=pa.array((score >= THRESHOLD).astype(np.int32)))
 
+    out = map_arrow(rows, step, "doc_id long, score double, predicted int")
+    return out.select("doc_id", F.coalesce(fold_of("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, label: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
-    """Scores every document; learns from labelled rows outside the held-out fold.
 
-    Returns doc_id, held_out, score, predicted: one row for each row of ``docs``. An empty table gives no rows.
-    """
-    scratch = Scratch(docs.sparkSession)
-    stats = scratch.keep(measure(docs))
-    forest = fit(*labelled(stats.where(fold_of("doc_id", folds) != held), labels, label, max_train))
-    return scored(stats, forest).select("doc_id", F.coalesce(fold_of("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+    """The documents that the classifier accepts, with all their columns."""
+    forest = learn(texts(docs), labels, "quality", fold_of("doc_id", folds) != held)
+    return filtered(docs, lambda text: forest.score(statistics(text)) >= THRESHOLD)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

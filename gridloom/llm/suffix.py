@@ -26,27 +26,32 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridloom.llm.common import Scratch, batch_of, map_arrow, table, texts, utf8
+from gridloom.llm.common import Scratch, batch_of, map_arrow, table
 from gridloom.llm.words import hashes, mix
 
 LENGTH, GRAM, CHUNK = 50, 12, 1 << 20
 WINDOW = LENGTH - GRAM + 1
-#: Bytes that a task gets on average where anchors or contexts meet.
-TASK_BYTES = 24 << 20
+#: Bytes that a task gets on average where anchors meet, and the bytes of text whose contexts meet in a task.
+TASK_BYTES, CONTEXT_BYTES = 24 << 20, 8 << 20
 NO_ID = np.iinfo(np.int64).max
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, ids, offsets, tags (two 64-bit halves of a digest for each text), data: texts one after another."""
+def chunks(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """chunk, ids, offsets, tags (two 64-bit halves of a digest for each text), data (texts one after another), rest: the
+    carried columns as an Arrow stream."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carried)
 
     def step(batches):
         base, made = TaskContext.get().partitionId() << 40, 0
         held: list[tuple[int, bytes]] = []
+        rest: list[pa.RecordBatch] = []
         size = 0
 
         def out():
@@ -54,22 +59,37 @@ def chunks(docs: DataFrame) -> DataFrame:
             ids = np.array([NO_ID if i is None else i for i, _ in held], np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in held])]).astype(np.int64)
             tags = b"".join(xxhash.xxh3_128_digest(t) for _, t in held)
-            row = batch_of(chunk=pa.array([base + made], pa.int64()), ids=pa.array([ids.tobytes()], pa.binary()), offsets=pa.array([offsets.tobytes()], pa.binary()), tags=pa.array([tags], pa.binary()), data=pa.array([b"".join(t for _, t in held)], pa.binary()))
+            row = batch_of(chunk=pa.array([base + made], pa.int64()), ids=pa.array([ids.tobytes()], pa.binary()), offsets=pa.array([offsets.tobytes()], pa.binary()), tags=pa.array([tags], pa.binary()), data=pa.array([b"".join(t for _, t in held)], pa.binary()), rest=pa.array([stream(rest)], pa.binary()))
             made, size = made + 1, 0
             held.clear()
+            rest.clear()
             return row
 
         for batch in batches:
-            text = batch.column("text").cast(pa.binary()).to_pylist()
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), text, strict=True):
+            text, others, begin = batch.column("text").cast(pa.binary()).to_pylist(), batch.select(carried), 0
+            for i, (doc_id, own) in enumerate(zip(batch.column("doc_id").to_pylist(), text, strict=True), 1):
                 held.append((doc_id, own))
                 size += len(own) + 16
                 if size >= CHUNK:
+                    rest.append(others.slice(begin, i - begin))
+                    begin = i
                     yield out()
+            if begin < batch.num_rows:
+                rest.append(others.slice(begin))
         if held:
             yield out()
 
-    return map_arrow(texts(docs), step, "chunk long, ids binary, offsets binary, tags binary, data binary")
+    return map_arrow(rows, step, "chunk long, ids binary, offsets binary, tags binary, data binary, rest binary")
+
+
+def stream(batches: list[pa.RecordBatch]) -> bytes:
+    if not batches or not batches[0].num_columns:
+        return b""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -293,30 +313,25 @@ def marked_windows(kept: DataFrame, notes: DataFrame, parts: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 part, heads = part[order], own.heads[order]
                 new = cuts_of(part)
-                out = {k: [] for k in ("key", "id", "first", "count", "context")}
+                runs = []
                 for a, b in zip(new[:-1], new[1:], strict=True):
-                    h = heads[a:b]
-                    out["key"].append(own.key[h].tobytes())
-                    out["id"].append(own.id[h].tobytes())
-                    out["first"].append(own.first[h].tobytes())
-                    out["count"].append(own.count[h].astype(np.uint8).tobytes())
-                    out["context"].append(own.data[ranges(own.first[h], own.count[h] + LENGTH - 1)].tobytes())
-                yield batch_of(part=pa.array(part[new[:-1]]), chunk=pa.array([row["chunk"]] * (len(new) - 1), pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in out.items()})
+                    h = np.sort(heads[a:b])
+                    runs.append(packed(own.key[h], own.id[h], own.first[h], own.count[h], own.data[ranges(own.first[h], own.count[h] + LENGTH - 1)]))
+                yield batch_of(part=pa.array(part[new[:-1]]), chunk=pa.array([row["chunk"]] * (len(new) - 1), pa.int64()), runs=pa.array(runs, pa.binary()))
 
     def meet(batches):
-        chunk, held = [], {k: [] for k in ("key", "id", "first", "count", "context")}
+        chunk, held = [], []
         for batch in batches:
             chunk += batch.column("chunk").to_pylist()
-            for k in held:
-                held[k] += batch.column(k).to_pylist()
+            held += [unpacked(x.as_py()) for x in batch.column("runs")]
         if not chunk:
             return
-        key, doc, first = (np.frombuffer(b"".join(held[k]), t) for k, t in (("key", np.uint64), ("id", np.int64), ("first", np.int64)))
-        count, data = np.frombuffer(b"".join(held["count"]), np.uint8).astype(np.int64), np.frombuffer(b"".join(held["context"]), np.uint8)
+        key, doc, first, count, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        ns = [len(x[0]) for x in held]
+        held.clear()
         mask = judged(key, doc, count, data)
         at = 0
-        for c, f in zip(chunk, held["first"], strict=True):
-            n = len(f) // 8
+        for c, n in zip(chunk, ns, strict=True):
             own = mask[at : at + n]
             hit = np.flatnonzero(own)
             if len(hit):
@@ -325,11 +340,23 @@ def marked_windows(kept: DataFrame, notes: DataFrame, parts: int) -> DataFrame:
                 yield batch_of(chunk=pa.array([c], pa.int64()), what=pa.array([out.tobytes()], pa.binary()))
             at += n
 
-    fields = "part int, chunk long, key binary, id binary, first binary, count binary, context binary"
-    dealt = map_arrow(with_notes(kept, notes, "inner"), deal, fields).repartitionById(parts, F.col("part"))
+    dealt = map_arrow(with_notes(kept, notes, "inner"), deal, "part int, chunk long, runs binary").repartitionById(parts, F.col("part"))
     return map_arrow(dealt.drop("part"), meet, "chunk long, what binary").select("chunk", F.lit(2).alias("kind"), "what")
 
 
+def packed(key: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray, data: np.ndarray) -> bytes:
+    """Runs of windows as compressed bytes."""
+    body = [np.int64(len(key)).tobytes(), key.tobytes(), doc.tobytes(), first.astype("<u8").tobytes(), count.astype(np.uint8).tobytes(), data.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(body))
+
+
+def unpacked(run: bytes) -> tuple[np.ndarray, ...]:
+    body = zstandard.ZstdDecompressor().decompress(run)
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    key, doc, first = (np.frombuffer(body, t, n, 8 + 8 * n * k) for k, t in enumerate((np.uint64, np.int64, np.int64)))
+    return key, doc, first, np.frombuffer(body, np.uint8, n, 8 + 24 * n).astype(np.int64), np.frombuffer(body, np.uint8, -1, 8 + 25 * n)
+
+
 def judged(key: np.ndarray, doc: np.ndarray, count: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For each run, which windows occur in a document with a smaller id; data: the runs' bytes one after another."""
     size = count + LENGTH - 1
@@ -393,31 +420,46 @@ def covered(own: Chunk, masks: np.ndarray) -> np.ndarray:
     return np.cumsum(goes[:-1]) > 0
 
 
-def cut(docs: DataFrame, whole_letters: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) for every row.
+def cut(docs: DataFrame, whole_letters: bool = False, carried: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), and the carried columns for every row.
 
     With ``whole_letters`` kept is text: a letter of several bytes of which some would go stays whole.
     """
+    carried = carried or []
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = scratch.keep_bucketed(chunks(docs), "chunk", buckets)
+    kept = scratch.keep_bucketed(chunks(docs, carried), "chunk", buckets)
     total = kept.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     parts = max(buckets, int(total * 2 / WINDOW * 16) // TASK_BYTES)
     same = copies(kept)
     same = scratch.keep(same)
     notes = shared_anchors(kept, parts).unionByName(same)
-    masks = marked_windows(kept, notes, parts).unionByName(same)
+    masks = marked_windows(kept, notes, max(buckets, int(total) // CONTEXT_BYTES)).unionByName(same)
 
     def step(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("ids", "offsets", "data", "notes")}
+                row = {c: batch.column(c)[i].as_py() for c in ("ids", "offsets", "data", "notes", "rest")}
                 own = Chunk(row["ids"], row["offsets"], row["data"], of_kind(row["notes"], 1, np.int32))
                 gone = covered(own, of_kind(row["notes"], 2, _MASK))
-                yield results(own, gone, whole_letters)
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if whole_letters else "binary")
-    return map_arrow(with_notes(kept, masks, "left"), step, schema)
+                out = results(own, gone, whole_letters)
+                if carried:
+                    rest = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks()
+                    out = pa.RecordBatch.from_arrays([*out.columns, *(c.chunk(0) for c in rest.columns)], names=[*out.schema.names, *carried])
+                yield out
+
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if whole_letters else "binary"))
+    return map_arrow(with_notes(kept, masks, "left"), step, StructType([*schema.fields, *(docs.schema[c] for c in carried)]))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with the rest of their texts and all their columns; n_chars, if there, counts what is left."""
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = cut(docs, whole_letters=True, carried=carried).withColumnRenamed("kept", "_kept")
+    columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("_kept")}
+    if "n_chars" in carried:
+        columns["n_chars"] = F.char_length("_kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def results(own: Chunk, gone: np.ndarray, whole_letters: bool) -> pa.RecordBatch:

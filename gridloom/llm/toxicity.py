@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, batch_of, fold_of, map_arrow, slices, table, texts, utf8
+from gridloom.llm.common import Scratch, batch_of, filtered, fold_of, labelled, map_arrow, slices, table, texts, utf8
 
 #: Labelled rows that training takes at most (lowest hash of the id), and words of the lexicon.
 MAX_TRAIN, LEXICON = 20_000, 512
@@ -199,16 +199,6 @@ class Channel:
         return 1 - (1 - self.base) * math.exp(sum(self.doubt[i] for i in found))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train, most: int) -> DataFrame:
-    """doc_id, text, y of at most ``most`` labelled training rows. The chosen ids are bounded, so they are broadcast."""
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-        .where(F.col("y").isNotNull() & train)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    )
-    return docs.join(F.broadcast(chosen), "doc_id")
-
-
 def bags(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
     """The distinct words of each text and their beginnings, with a sketch of the text: copies, near ones too, share it."""
 
@@ -285,7 +275,7 @@ def trigram_costs(docs: DataFrame, words: list[str]) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, train, most: int = MAX_TRAIN) -> Channel:
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(sample(docs, labels, label, train, most))
+    rows = scratch.keep(labelled(docs, labels, label, train, most))
     words = lexicon(rows)
     channel = Channel(trigram_costs(docs.where(train), list(words)), list(words), list(words.values()))
     rest = rows.select("y", *restored_words(rows, channel)).where("size(found) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
@@ -328,5 +318,11 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
     return out.select("doc_id", F.coalesce(fold_of("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns."""
+    channel = learn(texts(docs), labels, "toxic", fold_of("doc_id", folds) != held)
+    return filtered(docs, lambda text: np.array([channel.score(channel.found(t)) < THRESHOLD for t in text.to_pylist()], bool))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -39,13 +39,20 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, in runs of spans over about ``most`` bytes. starts must ascend."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(starts // most) > 0]), len(starts)]
+    return np.concatenate([_hashes(data, starts[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    low, high = int(starts[0]), int(ends.max())
+    data, starts, ends = data[low:high], starts - low, ends - low
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data) - 1, _BASE, np.uint64)]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(len(data) - 1, 0), _BASE, np.uint64)]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
         back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), _BACK, np.uint64)]))
         out = (sums[ends] - sums[starts]) * back[starts]  # wherever the span lies
         return mix(out + (ends - starts).astype(np.uint64) * _MIX)
