@@ -151,19 +151,35 @@ CONTROL = "\x1c\x1d\x1e\x1f"  # str.split() splits at these, the vocabulary's wh
 BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+#: Letters beyond this one are told apart by the tokenizers library's own character tables, whose version may differ.
+LATIN = "\u024f"
+
+
+def splitter(path: str):
+    """Normalises and splits as the vocabulary's file says, by the library's own parts."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    words = pre_tokenizers.Split(Regex(WORDS.pattern), behavior="removed", invert=True)
+    return lambda piece: [w for w, _ in words.pre_tokenize_str(normal.normalize_str(piece))]
+
+
 class WordCoder:
     """Encodes and decodes texts with a vocabulary of lower-cased words whose white space is dropped."""
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
+        self.rarely = splitter(path)
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of a run of text without white space and special tokens."""
+        if max(piece, default="") > LATIN:
+            return [i for w in self.rarely(piece) for i in self.vocabulary.word(w.encode())]
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece)
-        piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
+        piece = piece.lower()
         return [i for w in WORDS.findall(piece) for i in self.vocabulary.word(w.encode())]
 
     def _chunk(self, chunk: str) -> list[int]:

@@ -9,6 +9,8 @@ Jaccard similarity of the shingle sets; two texts without words are alike, 1.
 (ids that are null come first, ties go by text; after the last text comes the first). The texts cross the cluster once,
 ranged by id; the first text of every range is sent to the range before too, so no task sees more than its range.
 
+``near_duplicates`` joins the signatures' bands in Spark and verifies the Jaccard similarity of what meets there.
+
 Null texts are empty. Repeated ids are rows of their own. An empty table gives no rows.
 """
 
@@ -21,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_of, map_arrow, prepare, table, texts, utf8
-from gridloom.llm.words import hashes, lower, shingles, spans
+from gridloom.llm.common import Scratch, batch_of, map_arrow, prepare, slices, table, texts, utf8
+from gridloom.llm.components import components
+from gridloom.llm.words import hashes, lower, mix, shingles, spans
 
-PERMUTATIONS, WORDS = 128, 5
+PERMUTATIONS, WORDS, BANDS = 128, 5, 32
 NONE = np.uint32(0xFFFFFFFF)  # least value of a text without shingles
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -105,7 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row for each row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = ranged(texts(docs), parts).repartition(parts, "part").sortWithinPartitions("part", "head", "doc_id", "text")
+    rows = ranged(texts(docs), parts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "head", "doc_id", "text")
 
     def out_of(ids: list, now: list[str], after: list[str]) -> pa.RecordBatch:
         changed = [edited(a, b) for a, b in zip(now, after, strict=True)]
@@ -146,5 +149,112 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, step, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def banded(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a digest of the text's words), bands: a hash for each of BANDS bands of the signature."""
+    rows = PERMUTATIONS // BANDS
+
+    def step(batches):
+        for batch in batches:
+            for part in slices(batch, most=1 << 20):
+                signature = signatures(part.column("text")).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    bands = np.zeros((len(signature), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+                    for j in range(rows):
+                        bands = mix(bands * np.uint64(0x2127599BF4325C37) ^ signature[:, j::rows])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
+                yield batch_of(doc_id=part.column("doc_id"), key=pa.array(keys(part.column("text"))), bands=flat)
+
+    return map_arrow(texts(docs), step, "doc_id long, key string, bands array<long>")
+
+
+def keys(column: pa.Array) -> list[str]:
+    """Equal for texts of equal words."""
+    data, offsets = utf8(column)
+    data = lower(data)
+    starts, ends, first = spans(data, offsets)
+    own = data.tobytes()
+    return [hashlib.sha256(b" ".join([own[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)])).hexdigest()[:32] for i, j in zip(first[:-1], first[1:], strict=True)]
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """key and the distinct shingles of its text."""
+
+    def step(batches):
+        for batch in batches:
+            for part in slices(batch, most=1 << 20):
+                data, offsets = utf8(part.column("text"))
+                data = lower(data)
+                starts, ends, first = spans(data, offsets)
+                own, at = shingles(hashes(data, starts, ends), first, WORDS)
+                yield batch_of(key=pa.array(keys(part.column("text"))), shingles=pa.array([np.unique(own[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+
+    return map_arrow(texts(docs), step, "key string, shingles binary")
+
+
+def forest(names: list[str], sets: list[np.ndarray], least: float) -> list[tuple[str, str]]:
+    """Links of Jaccard similarity ``least`` or more that join what such links join, breadth-first: what has been reached
+    isn't compared again."""
+    left, out = list(range(len(names))), []
+    while left:
+        todo, left = [left[0]], left[1:]
+        while todo and left:
+            x = todo.pop()
+            size = np.array([len(sets[i]) for i in left])
+            common = np.add.reduceat(np.r_[np.isin(np.concatenate([sets[i] for i in left]), sets[x], assume_unique=False), 0], np.cumsum(size) - size) * (size > 0)
+            near = common >= least * (len(sets[x]) + size - common)
+            out += [(names[i], names[x]) for i, ok in zip(left, near, strict=True) if ok]
+            todo += [i for i, ok in zip(left, near, strict=True) if ok]
+            left = [i for i, ok in zip(left, near, strict=True) if not ok]
+    return out
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, together: int = 4096) -> DataFrame:
+    """doc_id, component_id: the least id that links of similarity ``least`` or more reach, the row's own included.
+
+    Signatures of BANDS bands propose: at similarity 0.8 a pair shares no band once in ten million times. Texts of equal
+    words are one from the start. Where over ``together`` different texts share a band they are dealt into blocks, and
+    each two blocks meet in a task of their own. The exact similarity of the shingle sets decides.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    own = scratch.keep(banded(docs))
+    distinct = scratch.keep(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    members = distinct.select("key", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / together).cast("int")
+    dealt = (
+        members.join(shared, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+    sets = shingle_sets(docs).join(dealt.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.join(sets, "key").repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high", "key")
+
+    def verify(batches):
+        at, names, held = None, [], []
+
+        def out():
+            found = forest(names, held, least)
+            return batch_of(a=pa.array([a for a, _ in found], pa.string()), b=pa.array([b for _, b in found], pa.string()))
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("band", "low", "high", "key", "shingles")]
+            for band, low, high, key, own_set in zip(*columns, strict=True):
+                if at is not None and at != (band, low, high):
+                    yield out()
+                    names, held = [], []
+                at = band, low, high
+                names.append(key)
+                held.append(np.frombuffer(own_set, np.uint64))
+        if names:
+            yield out()
+
+    edges = map_arrow(met, verify, "a string, b string")
+    roots = components(edges, scratch).join(distinct.select(F.col("key").alias("node"), "rep"), "node")
+    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("node").alias("key"), "component_id")
+    known = distinct.join(named, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    return own.join(known, "key").select("doc_id", "component_id")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))

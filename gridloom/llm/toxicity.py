@@ -12,7 +12,8 @@ apart by spaces or marks) becomes a lattice: each character may stand for itself
 nothing, each at a cost. Viterbi search takes the cheapest path under the character model. All other words have one
 path and stay as they are.
 
-Null and empty texts get the score of a text without lexicon words. With no labelled training row scores are 0.5.
+Null and empty texts get the score of a text without lexicon words, as do all texts where no labelled row is there to learn
+from.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SURE, Z = 0.3, 4.2
 #: Letters of the beginnings that are tried.
 BEGINNINGS = range(3, 8)
 THRESHOLD = 0.3
+#: A text without lexicon words scores its share of label 1, but no more than this: nothing speaks against it.
+UNMARKED = 0.29
 #: Words that a Python worker remembers.
 REMEMBERED = 500_000
 
@@ -281,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train, most: int = MAX
     rest = rows.select("y", *restored_words(rows, channel)).where("size(found) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
     channel.base = (rest["y"] + 0.5) / (rest["n"] + 1)
     scratch.drop(rows)
-    return Channel(channel.cost, channel.words, channel.sure, min(channel.base, 0.29) if words else channel.base)
+    return Channel(channel.cost, channel.words, channel.sure, min(channel.base, UNMARKED))
 
 
 def restored_words(rows: DataFrame, channel: Channel) -> list:
