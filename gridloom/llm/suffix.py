@@ -30,17 +30,17 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from gridloom.llm.common import Scratch, batch_of, map_arrow, table
 from gridloom.llm.words import hashes, mix
 
-LENGTH, GRAM, CHUNK = 50, 12, 1 << 20
+LENGTH, GRAM, CHUNK = 50, 20, 1 << 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes that a task gets on average where anchors meet, and the bytes of text whose contexts meet in a task.
 TASK_BYTES, CONTEXT_BYTES = 24 << 20, 8 << 20
 NO_ID = np.iinfo(np.int64).max
-_LOW = np.uint64(0xFFFFFFFF)
+_LOW, _48 = np.uint64(0xFFFFFFFF), np.uint64((1 << 48) - 1)
 
 
 def chunks(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -97,14 +97,18 @@ def grams(data: np.ndarray) -> np.ndarray:
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    wide = np.concatenate([data, np.zeros(16, np.uint8)])
-    eight = np.empty(len(data) + 8, np.uint64)
+    wide = np.concatenate([data, np.zeros(GRAM + 8, np.uint8)])
+    eight = np.empty(len(data) + GRAM, np.uint64)  # eight bytes from each place on
     for k in range(8):
         part = wide[k : k + (len(wide) - k) // 8 * 8].view("<u8")
-        m = len(eight[k::8])
-        eight[k::8] = part[:m]
+        eight[k::8] = part[: len(eight[k::8])]
+    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        return mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + (eight[8 : 8 + n] & np.uint64((1 << 8 * (GRAM - 8)) - 1)))
+        for k in range(0, GRAM, 8):
+            word = eight[k : k + n] if GRAM - k >= 8 else eight[k : k + n] & np.uint64((1 << 8 * (GRAM - k)) - 1)
+            out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+    return mix(out)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,8 +216,9 @@ class Chunk:
         keep = ~self.copy[doc]
         if only is not None:
             only = np.sort(only)
-            place = np.searchsorted(only, key)
-            keep &= (only[np.minimum(place, len(only) - 1)] == key) if len(only) else False
+            low = key & _48
+            place = np.searchsorted(only, low)
+            keep &= (only[np.minimum(place, len(only) - 1)] == low) if len(only) else False
         self.first, self.count, self.key = first[keep], count[keep], key[keep]
         self.id = self.ids[doc[keep]]
         self.group = alike(self.data, self.first, self.count + LENGTH - 1)
@@ -221,6 +226,18 @@ class Chunk:
         self.heads = order[cuts_of(self.group[order])[:-1]]  # of each group the run of the least id, the first of several
 
 
+def short(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits as six bytes each. With the bits that chose the task they tell anchors apart; two that fall together
+    only send contexts that turn out unlike."""
+    return np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def longer(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :6] = x
+    return out.view("<u8")[:, 0]
+
+
 def shared_anchors(kept: DataFrame, parts: int) -> DataFrame:
     """chunk, kind 0, what: for each chunk the hashes of those of its anchors that occur in two different texts."""
 
@@ -229,7 +246,7 @@ def shared_anchors(kept: DataFrame, parts: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in ("chunk", "offsets", "tags", "data")}
                 _, _, key, doc = anchors(np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offsets"], np.int64))
-                tag = np.frombuffer(row["tags"], np.uint64)[::2][doc]
+                tag = np.maximum(np.frombuffer(row["tags"], np.uint64)[::2] & _48, np.uint64(1))[doc]
                 order = np.argsort(key, kind="stable")
                 key, tag = key[order], tag[order]
                 new = cuts_of(key)
@@ -238,17 +255,18 @@ def shared_anchors(kept: DataFrame, parts: int) -> DataFrame:
                     key, tag = key[new[:-1]], np.where(low == high, low, np.uint64(0))  # 0: texts that differ
                 part = parts_of(key, parts)
                 new = cuts_of(part)
-                entry = np.column_stack([key, tag])
+                entry = np.column_stack([short(key), short(tag)])
                 yield batch_of(part=pa.array(part[new[:-1]]), chunk=pa.array([row["chunk"]] * (len(new) - 1), pa.int64()), rows=pa.array([entry[a:b].tobytes() for a, b in zip(new[:-1], new[1:], strict=True)], pa.binary()))
 
     def meet(batches):
         chunk, held = [], []
         for batch in batches:
             chunk += batch.column("chunk").to_pylist()
-            held += [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in batch.column("rows")]
+            held += [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 12) for x in batch.column("rows")]
         if not held:
             return
-        key, tag = np.concatenate([x[:, 0] for x in held]), np.concatenate([x[:, 1] for x in held])
+        rows = np.concatenate(held)
+        key, tag = longer(rows[:, :6]), longer(rows[:, 6:])
         order = np.argsort(key, kind="stable")
         new = cuts_of(key[order])
         low, high = np.minimum.reduceat(tag[order], new[:-1]), np.maximum.reduceat(tag[order], new[:-1])
@@ -257,7 +275,7 @@ def shared_anchors(kept: DataFrame, parts: int) -> DataFrame:
         is_shared[order] = np.repeat(several, np.diff(new))
         at = 0
         for c, x in zip(chunk, held, strict=True):
-            found = x[:, 0][is_shared[at : at + len(x)]]
+            found = key[at : at + len(x)][is_shared[at : at + len(x)]]
             at += len(x)
             if len(found):
                 yield batch_of(chunk=pa.array([c], pa.int64()), what=pa.array([found.tobytes()], pa.binary()))
@@ -290,7 +308,7 @@ def copies(kept: DataFrame) -> DataFrame:
 def with_notes(kept: DataFrame, notes: DataFrame, how: str) -> DataFrame:
     """Each chunk with what is noted for it, as one list; the chunks are stored by number and aren't moved."""
     noted = notes.groupBy("chunk").agg(F.collect_list(F.struct("kind", "what")).alias("notes"))
-    return kept.join(noted, "chunk", how).drop("chunk") if how != "inner" else kept.join(noted, "chunk", how)
+    return kept.join(noted.hint("shuffle_hash"), "chunk", how)  # the chunks pass by, their notes are the hashed side
 
 
 def of_kind(notes: list | None, kind: int, dtype) -> np.ndarray:
@@ -329,7 +347,7 @@ def marked_windows(kept: DataFrame, notes: DataFrame, parts: int) -> DataFrame:
         key, doc, first, count, data = (np.concatenate(x) for x in zip(*held, strict=True))
         ns = [len(x[0]) for x in held]
         held.clear()
-        mask = judged(key, doc, count, data)
+        mask = judged_in_runs(key, doc, count, data)
         at = 0
         for c, n in zip(chunk, ns, strict=True):
             own = mask[at : at + n]
@@ -357,6 +375,21 @@ def unpacked(run: bytes) -> tuple[np.ndarray, ...]:
     return key, doc, first, np.frombuffer(body, np.uint8, n, 8 + 24 * n).astype(np.int64), np.frombuffer(body, np.uint8, -1, 8 + 25 * n)
 
 
+def judged_in_runs(key: np.ndarray, doc: np.ndarray, count: np.ndarray, data: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """``judged``, some anchors at a time, so that sorting takes memory for about ``most`` bytes."""
+    out = np.zeros(len(key), np.uint64)
+    size = count + LENGTH - 1
+    starts = np.cumsum(size) - size
+    order = np.argsort(key, kind="stable")
+    new = cuts_of(key[order])
+    before = np.concatenate([[0], np.cumsum(size[order])])[new]  # bytes before each anchor
+    runs = np.r_[np.flatnonzero(np.diff(before[:-1] // most, prepend=-1) > 0), len(new) - 1] if len(key) else np.zeros(1, np.int64)
+    for a, b in zip(new[runs[:-1]], new[runs[1:]], strict=True):
+        own = np.sort(order[a:b])
+        out[own] = judged(key[own], doc[own], count[own], data[ranges(starts[own], size[own])])
+    return out
+
+
 def judged(key: np.ndarray, doc: np.ndarray, count: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For each run, which windows occur in a document with a smaller id; data: the runs' bytes one after another."""
     size = count + LENGTH - 1
@@ -426,11 +459,12 @@ def cut(docs: DataFrame, whole_letters: bool = False, carried: list[str] | None
     With ``whole_letters`` kept is text: a letter of several bytes of which some would go stays whole.
     """
     carried = carried or []
+    hidden = [f"_carried_{i}" for i in range(len(carried))]  # their own names may clash with the result's
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = scratch.keep_bucketed(chunks(docs, carried), "chunk", buckets)
     total = kept.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    parts = max(buckets, int(total * 2 / WINDOW * 16) // TASK_BYTES)
+    parts = max(buckets, int(total * 2 / WINDOW * 12) // TASK_BYTES)
     same = copies(kept)
     same = scratch.keep(same)
     notes = shared_anchors(kept, parts).unionByName(same)
@@ -445,21 +479,23 @@ def cut(docs: DataFrame, whole_letters: bool = False, carried: list[str] | None
                 out = results(own, gone, whole_letters)
                 if carried:
                     rest = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks()
-                    out = pa.RecordBatch.from_arrays([*out.columns, *(c.chunk(0) for c in rest.columns)], names=[*out.schema.names, *carried])
+                    out = pa.RecordBatch.from_arrays([*out.columns, *(c.chunk(0) for c in rest.columns)], names=[*out.schema.names, *hidden])
                 yield out
 
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if whole_letters else "binary"))
-    return map_arrow(with_notes(kept, masks, "left"), step, StructType([*schema.fields, *(docs.schema[c] for c in carried)]))
+    fields = [StructField(h, docs.schema[c].dataType) for h, c in zip(hidden, carried, strict=True)]
+    return map_arrow(with_notes(kept, masks, "left"), step, StructType([*schema.fields, *fields]))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the rest of their texts and all their columns; n_chars, if there, counts what is left."""
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = cut(docs, whole_letters=True, carried=carried).withColumnRenamed("kept", "_kept")
-    columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("_kept")}
+    out = cut(docs, whole_letters=True, carried=carried)
+    columns = {c: F.col(f"_carried_{i}") for i, c in enumerate(carried)}
+    columns |= {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept")}
     if "n_chars" in carried:
-        columns["n_chars"] = F.char_length("_kept").cast(docs.schema["n_chars"].dataType)
-    return out.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+        columns["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def results(own: Chunk, gone: np.ndarray, whole_letters: bool) -> pa.RecordBatch:
