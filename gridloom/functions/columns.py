@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions import values as V
 from gridloom.functions.values import Fault
@@ -300,17 +301,17 @@ def modulo(n: Column, d: Column) -> Column:
     return n - d * floored(F.try_divide(n, d))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erf(x: pd.Series) -> pd.Series:
     return x.map(math.erf)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def proper(t: pd.Series) -> pd.Series:
     from gridloom.plans.interp import proper as one
 
