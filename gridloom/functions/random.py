@@ -145,7 +145,7 @@ class Distribution:
             return F.lit(p[0]) + F.lit(p[1] - p[0]) * u
         if self.kind == "triangular":
             a, m, b = p
-            return F.when(u < (m - a) / (b - a), a + F.sqrt(F.lit((b - a) * (m - a)) * u)).otherwise(b - F.sqrt(F.lit((b - a) * (b - m)) * (1 - u)))
+            return let(u, lambda u: F.when(u < (m - a) / (b - a), a + F.sqrt(F.lit((b - a) * (m - a)) * u)).otherwise(b - F.sqrt(F.lit((b - a) * (b - m)) * (1 - u))))
         if self.kind == "pert":
             raise ValueError("pert has no closed form; use sample")
         x = F.lit(p[0]) + F.lit(p[1]) * inverse_normal_column(u)
@@ -174,14 +174,22 @@ def parse_distribution(text: str) -> Distribution:
 # --- columns
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once: what a lambda is given is a value, however often it is used, and however the optimiser
+    moves the expression."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def inverse_normal_column(p: Column) -> Column:
-    q = p - 0.5
-    r = F.lit(SQUARE) - q * q
-    middle = q * horner(AS241[0][0], r) / horner(AS241[0][1], r)
-    tail = F.sqrt(-F.ln(F.when(q < 0, p).otherwise(1 - p)))
-    near, far = tail - STEP, tail - NEAR
-    x = F.when(tail <= NEAR, horner(AS241[1][0], near) / horner(AS241[1][1], near)).otherwise(horner(AS241[2][0], far) / horner(AS241[2][1], far))
-    return F.when(F.abs(q) <= MIDDLE, middle).when(q < 0, -x).otherwise(x)
+    def body(p: Column) -> Column:
+        q = p - 0.5
+        middle = let(F.lit(SQUARE) - q * q, lambda r: q * horner(AS241[0][0], r) / horner(AS241[0][1], r))
+        near = lambda t: let(t - STEP, lambda r: horner(AS241[1][0], r) / horner(AS241[1][1], r))
+        far = lambda t: let(t - NEAR, lambda r: horner(AS241[2][0], r) / horner(AS241[2][1], r))
+        tail = let(F.sqrt(-F.ln(F.least(p, 1 - p))), lambda t: F.when(t <= NEAR, near(t)).otherwise(far(t)))
+        return F.when(F.abs(q) <= MIDDLE, middle).when(q < 0, -tail).otherwise(tail)
+
+    return let(p, body)
 
 
 def _product(m: int, x: Column) -> tuple[Column, Column]:
@@ -192,17 +200,19 @@ def _product(m: int, x: Column) -> tuple[Column, Column]:
 
 
 def with_uniform(df: DataFrame, scenario: str, seed: int, index: int, name: str, draw: int = 0) -> DataFrame:
-    """``df`` with a uniform draw for each scenario: one projection for each round."""
-    state = [f"_{name}{i}" for i in range(4)]
-    counter = [F.lit(index).cast("long"), F.col(scenario).cast("long").bitwiseAND(WORD), F.lit(draw << 16).cast("long"), F.lit(TAG).cast("long")]
-    df = df.select("*", *(c.alias(s) for c, s in zip(counter, state, strict=True)))
-    keys = [seed & WORD, seed >> 32 & WORD]
-    kept = [c for c in df.columns if c not in state]
+    """``df`` with a uniform draw for each scenario. The rounds are a fold over the keys, so that a round's words are values
+    and not expressions that the optimiser could copy into each other."""
+    low, high, keys = seed & WORD, seed >> 32 & WORD, []
     for _ in range(ROUNDS):
-        a, b, c, d = (F.col(s) for s in state)
-        (h0, l0), (h1, l1) = _product(MULTIPLIERS[0], a), _product(MULTIPLIERS[1], c)
-        new = [h1.bitwiseXOR(b).bitwiseXOR(F.lit(keys[0])), l1, h0.bitwiseXOR(d).bitwiseXOR(F.lit(keys[1])), l0]
-        df = df.select(*kept, *(x.alias(s) for x, s in zip(new, state, strict=True)))
-        keys = [(k + w) & WORD for k, w in zip(keys, INCREMENTS, strict=True)]
-    bits = F.shiftleft(F.col(state[0]), 21).bitwiseXOR(F.col(state[1])).bitwiseAND((1 << 53) - 1)
-    return df.select(*kept, ((bits.cast("double") + 0.5) * 2.0**-53).alias(name))
+        keys.append((low, high))
+        low, high = (low + INCREMENTS[0]) & WORD, (high + INCREMENTS[1]) & WORD
+    words = lambda *ws: F.struct(*(w.cast("long").alias(n) for n, w in zip("abcd", ws, strict=True)))
+
+    def turn(s: Column, key: Column) -> Column:
+        (h0, l0), (h1, l1) = _product(MULTIPLIERS[0], s["a"]), _product(MULTIPLIERS[1], s["c"])
+        return words(h1.bitwiseXOR(s["b"]).bitwiseXOR(key["low"]), l1, h0.bitwiseXOR(s["d"]).bitwiseXOR(key["high"]), l0)
+
+    schedule = F.array(*(F.struct(F.lit(a).cast("long").alias("low"), F.lit(b).cast("long").alias("high")) for a, b in keys))
+    begin = words(F.lit(index), F.col(scenario).cast("long").bitwiseAND(WORD), F.lit(draw << 16), F.lit(TAG))
+    unit = lambda s: (F.shiftleft(s["a"], 21).bitwiseXOR(s["b"]).bitwiseAND((1 << 53) - 1).cast("double") + 0.5) * 2.0**-53
+    return df.select("*", F.aggregate(schedule, begin, turn, unit).alias(name))

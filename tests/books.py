@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from gridloom.plans.interp import Evaluator
-from gridloom.plans.syntax import as_cell, column_letters, parse
+from gridloom.plans.syntax import as_cell, parse
 from gridloom.plans.workbook import Workbook
+from gridloom.sources.samples import budget  # noqa: F401  for tests
 
 
 def book(cells: dict, name: str = "S", evaluate: bool = True) -> Workbook:
@@ -24,28 +25,6 @@ def book(cells: dict, name: str = "S", evaluate: bool = True) -> Workbook:
     return out
 
 
-#: Twelve categories by quarter; the total of row 9 is one column short and the share of row 7 slips by a row.
-BUDGET = (
-    ("Salaries & benefits", 412000, 418000, 425000, 431000), ("Cloud & infrastructure", 58200, 61500, 64800, 70300), ("Hardware prototyping", 91000, 74500, 88000, 102500), ("Office & facilities", 23800, 23800, 24600, 24600),
-    ("Travel", 14200, 18900, 9800, 21400), ("Marketing & events", 37500, 52000, 41000, 66500), ("Legal & accounting", 12800, 9200, 9200, 15600), ("Insurance", 8400, 8400, 8400, 8400), ("Recruiting", 19500, 26000, 22500, 12000),
-    ("Software licenses", 16700, 16700, 17900, 17900), ("Training & conferences", 6300, 11800, 4200, 9600), ("Contingency", 25000, 25000, 25000, 25000),
-)
-
-
-def budget() -> Workbook:
-    cells: dict = {"A1": "Budget"}
-    cells |= {f"{column_letters(i)}3": t for i, t in enumerate(("Category", "Q1", "Q2", "Q3", "Q4", "Total", "Share of total"))}
-    for r, row in enumerate(BUDGET, 4):
-        cells |= {f"{column_letters(i)}{r}": v for i, v in enumerate(row)}
-    for r in range(4, 16):
-        cells[f"F{r}"] = f"=SUM(B{r}:{'D' if r == 9 else 'E'}{r})"
-    for c in "BCDEF":
-        cells[f"{c}16"] = f"=SUM({c}4:{c}15)"
-    for r in range(4, 16):
-        cells[f"G{r}"] = f"=F{8 if r == 7 else r}/$F$16"
-    return book(cells, "Budget")
-
-
 def chain(n: int) -> Workbook:
     """A_r = r + 1; B1 = A1*2, B_r = A_r*2 + B_(r-1)."""
     cells: dict = {f"A{r}": r for r in range(1, n + 1)}
