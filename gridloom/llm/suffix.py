@@ -140,7 +140,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def parts_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    """The task where an anchor meets its like. Anchors have small hashes, so their bits are spread anew."""
+    return ((mix(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
 def cuts_of(sorted_keys: np.ndarray) -> np.ndarray:
@@ -254,6 +255,8 @@ def shared_anchors(kept: DataFrame, parts: int) -> DataFrame:
                     low, high = np.minimum.reduceat(tag, new[:-1]), np.maximum.reduceat(tag, new[:-1])
                     key, tag = key[new[:-1]], np.where(low == high, low, np.uint64(0))  # 0: texts that differ
                 part = parts_of(key, parts)
+                order = np.argsort(part, kind="stable")
+                part, key, tag = part[order], key[order], tag[order]
                 new = cuts_of(part)
                 entry = np.column_stack([short(key), short(tag)])
                 yield batch_of(part=pa.array(part[new[:-1]]), chunk=pa.array([row["chunk"]] * (len(new) - 1), pa.int64()), rows=pa.array([entry[a:b].tobytes() for a, b in zip(new[:-1], new[1:], strict=True)], pa.binary()))
