@@ -61,8 +61,8 @@ class Plan:
     last_use: dict[Cell, int] = field(default_factory=dict)
 
 
-def prepare(book: Workbook, inputs: list[Cell], watch: list[Cell] | None = None) -> Plan:
-    graph = Graph(book)
+def prepare(book: Workbook, inputs: list[Cell], watch: list[Cell] | None = None, graph: Graph | None = None) -> Plan:
+    graph = graph or Graph(book)
     cone = graph.cone(inputs)
     levels, circular = graph.levels(cone)
     order = [c for level in levels for c in level]

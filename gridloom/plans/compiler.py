@@ -22,6 +22,10 @@ from gridloom.plans import syntax as S
 from gridloom.sources.tables import Sheet
 
 
+#: Cells of a range that moves along with the row, at most.
+MOVING = 256
+
+
 class Unsupported(ValueError):
     """The formula is valid but has no plan over tables."""
 
@@ -126,7 +130,10 @@ class Compiler:
             return own.df
         return own.placed().where(F.col("_row").between(top, bottom))
 
-    def total(self, r: Range, column: Column) -> Column:
+    def total(self, r: Range | None, column: Column, alone: Column | None = None) -> Column:
+        """An aggregate over a range; alone: what it is for a single cell of the row."""
+        if r is None:
+            return alone
         own = self.totals.setdefault((r.sheet, r.rows), {})
         name = self.name("t")
         own[name] = column
@@ -330,11 +337,37 @@ class Compiler:
 
     # --- arguments of aggregates
 
-    def parts(self, args: list, arrays: bool = False) -> tuple[list[tuple[Range, Cell]], list[Cell]] | Fault:
-        """Columns of ranges, each with where it lies, and direct values. arrays: other arguments spread over the sheet whose
-        columns they name."""
+    def row_cells(self, node: S.Node | None) -> list[Cell] | None:
+        """The cells of a reference that moves along with the row: one cell, or a small block seen from it."""
+        if isinstance(node, S.Paren):
+            return self.row_cells(node.of)
+        if self.host is None or node is None:
+            return None
+        ends = (node.left, node.right) if isinstance(node, S.Binary) and node.op == ":" else (node, node)
+        own = lambda e: isinstance(e, S.Ref) and e.single and (e.sheet is None or (e.sheet.book is None and (e.sheet.name or "").upper() == self.host.name.upper() and e.sheet.last is None))
+        if not all(own(e) for e in ends) or all(e.row.absolute for e in ends):
+            return None
+        if any(e.row.absolute for e in ends):
+            raise Unsupported("ranges from a fixed row to the row's own, but for SUM")
+        (c0, c1), (r0, r1) = (sorted(getattr(e, k).at for e in ends) for k in ("col", "row"))
+        if (c1 - c0 + 1) * (r1 - r0 + 1) > MOVING:
+            raise Unsupported("large ranges that move along with the row")
+        cells = []
+        for r in range(r0, r1 + 1):
+            for c in range(c0, min(c1, self.host.width() - 1) + 1):
+                step = r + 1 - self.row
+                cells.append(self.other_row(c, step) if step else self.host.cell(c))
+        return cells
+
+    def parts(self, args: list, arrays: bool = False) -> tuple[list[tuple[Range | None, Cell]], list[Cell]] | Fault:
+        """Columns of ranges, each with where it lies (none: a cell of the row), and direct values. arrays: other arguments
+        spread over the sheet whose columns they name."""
         columns, direct = [], []
         for a in args:
+            moving = self.row_cells(a)
+            if moving is not None:
+                columns += [(None, x) for x in moving]
+                continue
             found = self.ranges(a)
             if isinstance(found, Fault):
                 return found
@@ -405,8 +438,8 @@ def add(parts: list[Column]) -> Column:
     return out
 
 
-def gather(own: Compiler, args: list, aggregate, arrays: bool) -> tuple[list[Column], list[Cell], Column | None] | Fault:
-    """An aggregate of each column, the direct values as numbers, and the first fault."""
+def gather(own: Compiler, args: list, aggregate, arrays: bool, alone=lambda n: F.coalesce(n, F.lit(0.0))) -> tuple[list[Column], list[Cell], Column | None] | Fault:
+    """An aggregate of each column, the direct values as numbers, and the first fault. alone: the aggregate of one cell."""
     parts = own.parts(args, arrays)
     if isinstance(parts, Fault):
         return parts
@@ -415,14 +448,37 @@ def gather(own: Compiler, args: list, aggregate, arrays: bool) -> tuple[list[Col
     for r, x in columns:
         n = numeric(x)
         if n is not None:
-            out.append(own.total(r, aggregate(guarded(x, n))))
+            out.append(own.total(r, aggregate(guarded(x, n)), alone(n)))
         if x.e is not None:
-            faults.append(own.total(r, F.min(x.e)))
+            faults.append(own.total(r, F.min(x.e), x.e))
     direct = [C.as_number(x) for x in direct]
     return out, direct, C.first_fault(*faults, *(x.e for x in direct))
 
 
+def one_if_there(v: Column) -> Column:
+    return F.when(v.isNotNull(), 1.0).otherwise(0.0)
+
+
+def running_range(own: Compiler, args: list) -> Cell | None:
+    """SUM from the sheet's first row to the row's own, in one column: a running total."""
+    node = args[0] if len(args) == 1 else None
+    if own.host is None or not isinstance(node, S.Binary) or node.op != ":" or not all(isinstance(e, S.Ref) and e.single and e.sheet is None for e in (node.left, node.right)):
+        return None
+    a, b = node.left, node.right
+    if not (a.row.absolute and a.row.at == 0 and not b.row.absolute and b.row.at + 1 == own.row and a.col.at == b.col.at):
+        return None
+    n = numeric(own.host.cell(a.col.at))
+    if n is None:
+        return C.constant(0.0)
+    name, key = own.name("run"), own.host.key
+    own.joins.append(lambda df: ordered.running(df, F.col(key[0]), [F.col(k).asc_nulls_first() for k in key[1:]], n, "sum", name))
+    return C.number(F.coalesce(F.col(name), F.lit(0.0)))
+
+
 def _sum(own: Compiler, args: list) -> Cell:
+    run = running_range(own, args)
+    if run is not None:
+        return run
     got = gather(own, args, lambda n: F.coalesce(F.sum(n), F.lit(0.0)), True)
     if isinstance(got, Fault):
         return C.fault(got)
@@ -431,7 +487,7 @@ def _sum(own: Compiler, args: list) -> Cell:
 
 
 def _product(own: Compiler, args: list) -> Cell:
-    got = gather(own, args, lambda n: F.coalesce(F.product(n), F.lit(1.0)), True)
+    got = gather(own, args, lambda n: F.coalesce(F.product(n), F.lit(1.0)), True, lambda n: F.coalesce(n, F.lit(1.0)))
     if isinstance(got, Fault):
         return C.fault(got)
     out, direct, faults = got
@@ -446,7 +502,7 @@ def counts(own: Compiler, args: list, arrays: bool) -> tuple[Column, Column, Col
     got = gather(own, args, lambda n: F.coalesce(F.sum(n), F.lit(0.0)), arrays)
     if isinstance(got, Fault):
         return got
-    n = gather(own, args, lambda n: F.count(n).cast("double"), arrays)
+    n = gather(own, args, lambda n: F.count(n).cast("double"), arrays, one_if_there)
     return add([*got[0], *(x.v for x in got[1])]), add([*n[0], *(F.lit(1.0) for _ in n[1])]), got[2]
 
 
@@ -462,7 +518,7 @@ def _count(own: Compiler, args: list) -> Cell:
     parts = own.parts(args)
     if isinstance(parts, Fault):
         return C.constant(0.0)
-    out = [own.total(r, F.count(guarded(x, numeric(x))).cast("double")) for r, x in parts[0] if numeric(x) is not None]
+    out = [own.total(r, F.count(guarded(x, numeric(x))).cast("double"), one_if_there(numeric(x))) for r, x in parts[0] if numeric(x) is not None]
     for x in parts[1]:
         n = C.as_number(x)
         out.append(F.lit(1.0) if n.e is None else F.when(n.e.isNull(), 1.0).otherwise(0.0))
@@ -473,7 +529,7 @@ def _counta(own: Compiler, args: list) -> Cell:
     parts = own.parts(args)
     if isinstance(parts, Fault):
         return C.constant(1.0)
-    return C.number(add([own.total(r, F.count(x.v).cast("double")) for r, x in parts[0]] + [F.lit(1.0) for _ in parts[1]]))
+    return C.number(add([own.total(r, F.count(x.v).cast("double"), one_if_there(x.v)) for r, x in parts[0]] + [F.lit(1.0) for _ in parts[1]]))
 
 
 def _countblank(own: Compiler, args: list) -> Cell:
@@ -481,12 +537,12 @@ def _countblank(own: Compiler, args: list) -> Cell:
     if isinstance(parts, Fault):
         return C.fault(parts)
     empty = lambda x: x.v.isNull() | (x.v == "") if x.kind == "text" else x.v.isNull()
-    return C.number(add([own.total(r, F.count_if(empty(x)).cast("double")) for r, x in parts[0]]))
+    return C.number(add([own.total(r, F.count_if(empty(x)).cast("double"), empty(x).cast("double")) for r, x in parts[0]]))
 
 
 def _extreme(fold, pick):
     def run(own: Compiler, args: list) -> Cell:
-        got = gather(own, args, fold, False)
+        got = gather(own, args, fold, False, lambda n: n)
         if isinstance(got, Fault):
             return C.fault(got)
         parts = [*got[0], *(x.v for x in got[1])]
@@ -501,6 +557,8 @@ def stacked(own: Compiler, args: list) -> tuple[DataFrame, Column | None] | Faul
     parts = own.parts(args)
     if isinstance(parts, Fault):
         return parts
+    if any(r is None for r, _ in parts[0]):
+        raise Unsupported("order statistics of the row's own cells")
     frames = [own.rows_of(r.sheet, r.rows).select(guarded(x, numeric(x)).alias("v")) for r, x in parts[0] if numeric(x) is not None]
     numbers = [C.as_number(x) for x in parts[1]]
     frames += [own.book.spark.range(1).select(x.v.alias("v")) for x in numbers]
@@ -624,10 +682,17 @@ def _ifs(own: Compiler, where: Range | None, pairs: list, kind: str) -> Cell:
     names = [own.name("key") for _ in keyed]
     left = [own.name("ask") for _ in keyed]
     s, n, c = own.name("s"), own.name("n"), own.name("c")
-    normal = lambda x, as_: C.as_number(x).v if as_ == "num" else F.lower(C.as_text(x).v)
+    def normal(x: Cell, as_: str, asked: bool) -> Column:
+        """A key: blank and empty text are one; a criterion that is blank, or text for a truth value, finds no text."""
+        if as_ == "num":
+            return C.as_number(x).v if asked else x.v
+        t = C.as_text(x).v
+        key = F.when(t == "", "\u0000").otherwise(F.lower(t))
+        return F.when(x.v.isNotNull() & ~F.upper(t).isin("TRUE", "FALSE"), key) if asked else key
+
     source = own.rows_of(rs[0].sheet, rs[0].rows).where(test)
-    grouped = source.groupBy(*(normal(x, x.kind).alias(k) for k, (_, x, _) in zip(names, keyed, strict=True))).agg(F.sum(value).alias(s), F.count(value).alias(n), F.count("*").alias(c))
-    asked = [normal(cell, x.kind).alias(a) for a, (_, x, cell) in zip(left, keyed, strict=True)]
+    grouped = source.groupBy(*(normal(x, x.kind, False).alias(k) for k, (_, x, _) in zip(names, keyed, strict=True))).agg(F.sum(value).alias(s), F.count(value).alias(n), F.count("*").alias(c))
+    asked = [normal(cell, x.kind, True).alias(a) for a, (_, x, cell) in zip(left, keyed, strict=True)]
 
     def join(df: DataFrame) -> DataFrame:
         df = df.select("*", *asked)

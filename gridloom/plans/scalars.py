@@ -101,8 +101,8 @@ def _fold(pick: Callable[[list[Column]], Column], over: Callable[[Column], Colum
                 continue  # text in ranges doesn't take part
             b = C.as_bool(Cell(x.kind, x.v, x.e))
             v = F.when(x.v.isNotNull(), b.v)
-            own_truths.append(own.total(r, over(v)))
-            seen.append(own.total(r, F.count(x.v)) > 0)
+            own_truths.append(own.total(r, over(v), v))
+            seen.append(own.total(r, F.count(x.v), x.v.isNotNull().cast("int")) > 0)
         for x in parts[1]:
             b = C.as_bool(x)
             own_truths.append(b.v)
@@ -282,7 +282,7 @@ def _edge(right: bool):
         t = C.as_text(own.cell(args[0]))
         n = C.as_number(own.cell(args[1])) if len(args) > 1 else C.constant(1.0)
         k = F.greatest(whole(n), F.lit(0))
-        v = F.when(k == 0, "").otherwise(F.expr("''") if False else (F.right(t.v, k) if right else F.left(t.v, k)))
+        v = F.when(k == 0, "").otherwise(F.right(t.v, k) if right else F.left(t.v, k))
         return text(v, t.e, n.e, None if n.is_constant and n.constant >= 0 else C.when_fault(whole(n) < 0, VALUE))
 
     return run
@@ -355,6 +355,9 @@ def _textjoin(own, args):
         return C.fault(parts)
     pieces = []
     for r, x in parts[0]:  # a whole column: its cells in the order of rows
+        if r is None:
+            pieces.append(F.array(C.as_text(x).v))
+            continue
         sheet = own.book.sheets[r.sheet]
         t = C.as_text(x).v
         listed = F.array_sort(F.collect_list(F.struct(*(F.col(k) for k in sheet.key), t.alias("_t"))))
@@ -364,7 +367,7 @@ def _textjoin(own, args):
         pieces.append(F.array(*(x.v for x in direct)))
     every = F.concat(*pieces) if len(pieces) > 1 else pieces[0]
     every = F.filter(every, lambda p: p != "") if skip else every
-    return text(F.array_join(every, "\u0001") if False else F.call_function("array_join", every, between.v), between.e, *(x.e for x in direct))
+    return text(F.call_function("array_join", every, between.v), between.e, *(x.e for x in direct))
 
 
 def _around(after: bool):
