@@ -26,4 +26,20 @@ QUERIES = {
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every 50-byte string of every document, in hexadecimal, with the least id that holds it; the spans to remove are the
+#: islands of those that an earlier document holds.
+ORACLE_SQL: dict[str, str] = {
+    "op8_suffix": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM d),
+w AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 100) AS gram FROM (SELECT doc_id, h, unnest(range(n - 49)) AS pos FROM s WHERE n >= 50)),
+f AS (SELECT gram, min(doc_id) AS first FROM w GROUP BY gram),
+hit AS (SELECT w.doc_id, w.pos FROM w JOIN f USING (gram) WHERE f.first < w.doc_id),
+edge AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM edge),
+span AS (SELECT doc_id, k, min(pos) AS a, max(pos) + 50 AS b FROM run GROUP BY doc_id, k),
+piece AS (SELECT doc_id, k, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS p, a, b FROM span),
+kept AS (SELECT s.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY k) || substr(any_value(h), 2 * max(b) + 1) AS rest, sum(b - a) AS gone, count(*) AS spans FROM piece JOIN s USING (doc_id) GROUP BY s.doc_id)
+SELECT s.doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM s LEFT JOIN kept ON kept.doc_id = s.doc_id
+""",
+}
