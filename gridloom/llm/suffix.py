@@ -209,17 +209,14 @@ def refined(data: np.ndarray, windows: np.ndarray, depth: int = LENGTH) -> np.nd
 class Chunk:
     """A chunk's texts, the runs of windows that take part, and which of them hold the same bytes."""
 
-    def __init__(self, ids: bytes, offsets: bytes, data: bytes, copies: np.ndarray, only: np.ndarray | None = None):
+    def __init__(self, ids: bytes, offsets: bytes, data: bytes, copies: np.ndarray, only: np.ndarray):
         self.ids, self.offsets, self.data = np.frombuffer(ids, np.int64), np.frombuffer(offsets, np.int64), np.frombuffer(data, np.uint8)
         first, count, key, doc = anchors(self.data, self.offsets)
         self.copy = np.zeros(len(self.ids), bool)
         self.copy[copies] = True
         keep = ~self.copy[doc]
-        if only is not None:
-            only = np.sort(only)
-            low = key & _48
-            place = np.searchsorted(only, low)
-            keep &= (only[np.minimum(place, len(only) - 1)] == low) if len(only) else False
+        only, low = np.sort(only), key & _48
+        keep &= (only[np.minimum(np.searchsorted(only, low), len(only) - 1)] == low) if len(only) else False
         self.first, self.count, self.key = first[keep], count[keep], key[keep]
         self.id = self.ids[doc[keep]]
         self.group = alike(self.data, self.first, self.count + LENGTH - 1)
@@ -468,16 +465,14 @@ def cut(docs: DataFrame, whole_letters: bool = False, carried: list[str] | None
     kept = scratch.keep_bucketed(chunks(docs, carried), "chunk", buckets)
     total = kept.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     parts = max(buckets, int(total * 2 / WINDOW * 12) // TASK_BYTES)
-    same = copies(kept)
-    same = scratch.keep(same)
-    notes = shared_anchors(kept, parts).unionByName(same)
-    masks = marked_windows(kept, notes, max(buckets, int(total) // CONTEXT_BYTES)).unionByName(same)
+    notes = scratch.keep(shared_anchors(kept, parts).unionByName(copies(kept)))
+    masks = marked_windows(kept, notes, max(buckets, int(total) // CONTEXT_BYTES)).unionByName(notes)
 
     def step(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in ("ids", "offsets", "data", "notes", "rest")}
-                own = Chunk(row["ids"], row["offsets"], row["data"], of_kind(row["notes"], 1, np.int32))
+                own = Chunk(row["ids"], row["offsets"], row["data"], of_kind(row["notes"], 1, np.int32), of_kind(row["notes"], 0, np.uint64))
                 gone = covered(own, of_kind(row["notes"], 2, _MASK))
                 out = results(own, gone, whole_letters)
                 if carried:
