@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from gridloom.functions.values import NAME, Fault, Value
 from gridloom.plans import syntax as S
 from gridloom.plans.interp import Evaluator
+from gridloom.plans.rebase import moved
 from gridloom.plans.workbook import Workbook
 from gridloom.sources.xlsx import books_of
 
@@ -89,6 +90,33 @@ def report(cells: DataFrame) -> DataFrame:
     return cells.groupBy("wb").applyInPandas(one, REPORT)
 
 
+def families_agree(cells: DataFrame) -> DataFrame:
+    """wb, family, lanes, differing: every lane of a family, evaluated by the family's first formula moved there, against its
+    own formula, bit for bit."""
+    from gridloom.operators.lint import coarsened
+
+    families = coarsened(cells).select(F.struct("sheet", "row", "col", "family").alias("lane"), F.col("wb").alias("of"))
+    families = families.groupBy("of").agg(F.collect_list("lane").alias("lanes"))  # a workbook's cells
+
+    def one(key, frame, lanes):
+        lanes = pd.DataFrame([dict(x) for own in lanes["lanes"] for x in own], columns=["sheet", "row", "col", "family"])
+        out: Counter = Counter()
+        size: Counter = Counter()
+        book = books_of(frame.astype(object).where(frame.notna(), None).itertuples(index=False)).get(key[0])
+        for (sheet, family), own in lanes.groupby(["sheet", "family"]):
+            own = own.sort_values(["row", "col"])
+            r0, c0 = int(own["row"].iloc[0]), int(own["col"].iloc[0])
+            first = S.parse(book.sheets[sheet].formulas[r0, c0])
+            for r, c in zip(own["row"].astype(int), own["col"].astype(int), strict=True):
+                there = Evaluator(book, sheet, r, c)
+                a, b = there.formula(S.parse(moved(first, r - r0, c - c0))), there.formula(S.parse(book.sheets[sheet].formulas[r, c]))
+                size[sheet, family] += 1
+                out[sheet, family] += repr(a) != repr(b)
+        return pd.DataFrame([(key[0], f, n, out[s, f]) for (s, f), n in size.items()], columns=["wb", "family", "lanes", "differing"])
+
+    return cells.groupBy("wb").cogroup(families.groupBy("of")).applyInPandas(one, "wb string, family string, lanes long, differing long")
+
+
 def summary(reports: DataFrame) -> DataFrame:
     """One row: cells, no_cached, excluded by reason, pass by class, mismatches by class, verifiable and the pass rate."""
     n = lambda test: F.count_if(test)

@@ -751,7 +751,6 @@ def located(own: Compiler, key: Cell, r: Range, mode: int, values: list[Cell]) -
     names = [own.name("v") for _ in values]
     text = lane.kind == "text"
     lanes = source.select((F.lower(lane.v) if text else lane.v).alias("_lane"), (F.col("_row") - base).alias("_place"), *(x.v.alias(n) for n, x in zip(names, values, strict=True))).where("_lane is not null")
-    wild = mode == 0 and text and not (key.is_constant and not V.has_wildcard(key.constant)) and (not key.is_constant)
     if mode == 0 and text and key.is_constant and V.has_wildcard(key.constant):
         hit = lanes.where(F.col("_lane").rlike("(?s)^(" + V.glob(key.constant.lower()) + ")$"))
         one = hit.agg(F.min("_place").alias(at), *(F.min_by(n, "_place").alias(n) for n in names))
@@ -759,10 +758,11 @@ def located(own: Compiler, key: Cell, r: Range, mode: int, values: list[Cell]) -
     elif mode == 0:
         first = lanes.groupBy("_lane").agg(F.min("_place").alias(at), *(F.min_by(n, "_place").alias(n) for n in names))
         own.joins.append(lambda df: df.withColumn(ask, asked).join(first, F.col(ask) == F.col("_lane"), "left").drop("_lane"))
-        _ = wild
+    elif mode < 0:
+        if not key.is_constant:
+            raise Unsupported("MATCH with -1 and a key that differs by row")
+        own.single_rows.append(first_run_end(source.select((F.lower(lane.v) if text else lane.v).alias("_lane"), (F.col("_row") - base).alias("_place")), asked, at))
     else:
-        if mode < 0:
-            lanes = first_run(lanes, asked)
         plain = lanes.select("_lane", "_place")
         beside = lanes.select(F.col("_place").alias(f"{at}_p"), *names)
 
@@ -777,8 +777,46 @@ def located(own: Compiler, key: Cell, r: Range, mode: int, values: list[Cell]) -
     return [Cell(x.kind, F.col(n), faults, True) for n, x in zip(names, values, strict=True)], Cell("num", F.col(at).cast("double"), faults), faults
 
 
-def first_run(lanes: DataFrame, key: Column) -> DataFrame:
-    raise Unsupported("MATCH with -1 over rows; use descending_match")
+def first_run_end(lanes: DataFrame, key: Column, name: str) -> DataFrame:
+    """One row: the last place of the first run of lanes that aren't below the key; null if there is none."""
+    fits = F.coalesce(F.col("_lane") >= key, F.lit(False))
+    start = lanes.agg(F.min(F.when(fits, F.col("_place"))).alias("_start"), F.max("_place").alias("_end"))
+    miss = lanes.crossJoin(start).where((F.col("_place") > F.col("_start")) & ~fits).agg(F.min("_place").alias("_miss"))
+    return start.crossJoin(miss).select(F.when(F.col("_start").isNotNull(), F.coalesce(F.col("_miss") - 1, F.col("_end"))).alias(name))
+
+
+def _hlookup(own: Compiler, args: list) -> Cell:
+    """Along the first row of a table of few columns: its cells and those of the row asked for are one row of values."""
+    r, k = own.one_range(args[1]), V.number(own.book.scalar(args[2]))
+    for x in (r, k):
+        if isinstance(x, Fault):
+            return C.fault(x)
+    top = r.top or 1
+    if k < 1:
+        return C.fault(VALUE)
+    if r.bottom is not None and int(k) > r.bottom - top + 1:
+        return C.fault(REF)
+    near = len(args) < 4 or (args[3] is not None and bool(V.truth(own.book.scalar(args[3]))))
+    heads, found, columns = [], [], []
+    for i in r.columns():
+        x = own.column(r, i)
+        for row, into in ((top, heads), (top + int(k) - 1, found)):
+            name = own.name("h")
+            columns.append(F.max(F.when(F.col("_row") == row, x.v)).alias(name))
+            into.append(Cell(x.kind, F.col(name), None, True))
+    own.single_rows.append(own.book.sheets[r.sheet].placed().where(F.col("_row").isin(top, top + int(k) - 1)).agg(*columns))
+    key = own.staged(own.cell(args[0]))
+    kind, found = C.together(found)
+    hits = []
+    for head in heads:
+        asked, _ = normal_key(key, head.kind)
+        lane = F.lower(head.v) if head.kind == "text" else head.v
+        hits.append(F.coalesce(lane <= asked if near else lane == asked, F.lit(False)))
+    pairs = list(zip(hits, found, strict=True))
+    out, some = F.lit(None), F.lit(False)
+    for hit, x in pairs if near else reversed(pairs):  # the last fit, or the first equal one
+        out, some = F.when(hit, x.v).otherwise(out), some | hit
+    return Cell(kind, out, C.first_fault(key.e, C.when_fault(~some, NA)), True)
 
 
 def _vlookup(own: Compiler, args: list) -> Cell:
@@ -846,7 +884,7 @@ AGGREGATES = {
     "LARGE": _kth(True), "SMALL": _kth(False), "RANK": _rank, "RANK.EQ": _rank, "SUBTOTAL": _subtotal, "SUMPRODUCT": _sumproduct,
     "COUNTIF": lambda own, a: _ifs(own, None, a[:2], "count"), "COUNTIFS": lambda own, a: _ifs(own, None, a, "count"),
     "SUMIF": _if_one("sum"), "AVERAGEIF": _if_one("mean"), "SUMIFS": _if_many("sum"), "AVERAGEIFS": _if_many("mean"),
-    "VLOOKUP": _vlookup, "MATCH": _match, "INDEX": _index, "LOOKUP": _lookup,
+    "VLOOKUP": _vlookup, "HLOOKUP": _hlookup, "MATCH": _match, "INDEX": _index, "LOOKUP": _lookup,
 }
 
 from gridloom.plans.scalars import SCALARS  # noqa: E402  they use the compiler's cells

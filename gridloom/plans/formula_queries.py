@@ -120,6 +120,10 @@ _LAST = "(SELECT max(p_partkey) FROM part WHERE p_retailprice <= s_acctbal)"
 rows("q_vlookup_approx", "supplier", "s_suppkey", f"SELECT s_suppkey, p AS place, CASE WHEN p IS NULL THEN '#N/A' END AS place_err, p_name AS name, CASE WHEN p IS NULL THEN '#N/A' END AS name_err FROM (SELECT s_suppkey, {_LAST} + 1.0::DOUBLE AS p FROM supplier) LEFT JOIN part ON p_partkey = p - 1", place="MATCH(D1,part!F:F,1)", name="INDEX(part!B:B,MATCH(D1,part!F:F,1))")
 rows("q_lookup", "customer", "c_custkey", "SELECT c_custkey, (SELECT arg_max(p_brand, p_partkey) FROM part WHERE p_retailprice <= c_acctbal) AS brand, CASE WHEN c_acctbal < (SELECT min(p_retailprice) FROM part) THEN '#N/A' END AS brand_err FROM customer", brand="LOOKUP(D1,part!F:F,part!C:C)")
 one("q_vlookup_wild", "SELECT (SELECT arg_min(p_partkey, p_partkey) FROM part WHERE p_name LIKE '%widget%')::DOUBLE AS place, NULL::VARCHAR AS place_err, (SELECT arg_min(p_brand, p_partkey) FROM part WHERE p_name LIKE 'blue b__t') AS brand, NULL::VARCHAR AS brand_err", place='MATCH("*Widget*",part!B:B,0)-1', brand='VLOOKUP("blue b??t",part!B:C,2,FALSE)')
+one("q_hlookup", "SELECT (SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 4)::DOUBLE AS exact, (SELECT n_regionkey FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 5)::DOUBLE AS near, NULL::VARCHAR AS miss, '#N/A' AS miss_err, NULL::VARCHAR AS beyond, '#REF!' AS beyond_err", exact="N(HLOOKUP(2,nation!A3:C6,3,FALSE))", near="N(HLOOKUP(99,nation!A3:C6,4))", miss='HLOOKUP("nothing",nation!A3:C6,2,FALSE)', beyond="T(HLOOKUP(2,nation!A3:C6,9,FALSE))")
+one("q_match_down", "SELECT (SELECT min(k) - 1 FROM (SELECT p_size, row_number() OVER (ORDER BY p_partkey) AS k FROM part) WHERE p_size < 5 AND k > (SELECT min(k) FROM (SELECT p_size, row_number() OVER (ORDER BY p_partkey) AS k FROM part) WHERE p_size >= 5))::DOUBLE AS place, NULL::VARCHAR AS place_err, NULL::DOUBLE AS none, '#N/A' AS none_err", place="MATCH(5,part!E:E,-1)", none="MATCH(999,part!E:E,-1)")
+rows("q_row_ranges", "lineitem", "l_orderkey l_linenumber l_partkey l_suppkey", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity + l_extendedprice + l_discount + l_tax, 4) + 0.0 AS s, greatest(l_quantity, l_extendedprice, l_discount, l_tax) AS hi, 6.0::DOUBLE AS n FROM lineitem", s="SUM(E1:H1)", hi="MAX(E1:H1)", n="COUNT(C1:J1)")
+rows("q_running_sum", "customer", "c_custkey", "SELECT c_custkey, round(sum(CAST(c_acctbal AS DECIMAL(18,2))) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)::DOUBLE, 2) + 0.0 AS total, round(c_acctbal + coalesce(lag(c_acctbal) OVER (ORDER BY c_custkey), 0), 4) + 0.0 AS two FROM customer", row=2, total="ROUND(SUM(D$1:D2),2)", two="SUM(D1:D2)")
 rows("q_other_rows", "nation", "n_nationkey", "SELECT n_nationkey, coalesce(lead(n_nationkey) OVER (ORDER BY n_nationkey), 0)::DOUBLE AS following, n_nationkey - coalesce(lag(n_nationkey) OVER (ORDER BY n_nationkey), 0)::DOUBLE AS step, NULL::VARCHAR AS step_err, (n_nationkey + 2)::DOUBLE AS here FROM nation", row=2, following="A3", step="A2-A1", here="ROW()+1")
 one("q_rows_columns", "SELECT (SELECT count(*) FROM orders)::DOUBLE AS n, 6.0::DOUBLE AS wide, 9.0::DOUBLE AS nine, 4.0::DOUBLE AS col, 5.0::DOUBLE AS at", n="ROWS(orders!A:A)", wide="COLUMNS(orders!A:F)", nine="ROWS(orders!A2:A10)", col="COLUMN(orders!D1)", at="ROW(orders!A5)")
 

@@ -116,6 +116,11 @@ def q_coarsening(spark, sf_dir):
     return tidy(lint.coarsening(sample_cells(spark)))
 
 
+@query("SELECT 'budget.xlsx' AS wb, 7::BIGINT AS families, 29::BIGINT AS lanes, 0::BIGINT AS differing")
+def q_families_agree(spark, sf_dir):
+    return receipt.families_agree(sample_cells(spark)).groupBy("wb").agg(F.count("*").alias("families"), F.sum("lanes").alias("lanes"), F.sum("differing").alias("differing"))
+
+
 _FORMULA = "CASE p_size % 4 WHEN 0 THEN 'SUM(A' || (p_partkey + 1) || ':B' || (p_partkey + 4) || ')' WHEN 1 THEN 'IF(C' || (p_partkey + 1) || '>0,MAX($A$1:$A$9),ROUND(B' || (p_partkey + 1) || ',2))' WHEN 2 THEN 'VLOOKUP(A' || (p_partkey + 1) || ',Sheet2!A:C,2,FALSE)' ELSE '_xlfn.XLOOKUP(A1,[1]X!B:B,\"IF(\"&C1)' END"
 
 

@@ -281,6 +281,11 @@ def subset(survey: DataFrame, least_formulas: int = 10, first: int = 500) -> Dat
     return one.select("sha256", "r.*").orderBy("sha256").limit(first)
 
 
+def unloadable(survey: DataFrame) -> DataFrame:
+    """The files of a corpus that don't load or hold no formula."""
+    return survey.where((F.col("status") != "ok") | (F.col("formula_cells") < 1)).select("path", "status", "error")
+
+
 def verified(manifest: DataFrame, survey: DataFrame) -> DataFrame:
     """The manifest's entries (file, sha256) that are missing or have changed."""
     found = survey.select(F.col("path").alias("file"), F.col("sha256").alias("found"))

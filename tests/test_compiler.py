@@ -26,7 +26,7 @@ TEXTAFTER(C1,"p");TEXTBEFORE(C1,"p",2);TEXTAFTER(C1,"p",-1);VALUE(C1);EXACT(C1,"
 DATE(2000+A1,A1*3,A1*7);DATE(1900,A1,A1);TIME(A1,A1*5,A1*7);YEAR(E1);MONTH(E1);DAY(E1);HOUR(E1);MINUTE(E1);SECOND(E1);WEEKDAY(E1);WEEKDAY(A1,2);DAYS(E1,A1);YEAR(A1*6000)
 ROUND(B1,2);ROUND(E1,-1);ROUND(E1,0);ROUNDUP(E1,1);ROUNDDOWN(E1,1);TRUNC(E1);TRUNC(E1,1);INT(E1);ABS(E1);SIGN(E1);SQRT(E1);EXP(A1);EXP(E1);LN(E1);LOG10(A1);LOG(A1,2);LOG(A1,1);POWER(E1,2);POWER(E1,0.5);MOD(E1,3);MOD(E1,-3);MOD(A1,E1)
 FLOOR(E1,2);FLOOR(E1,-2);FLOOR(E1,0);CEILING(E1,2);CEILING(A1,-2);EVEN(E1);ODD(E1);RADIANS(A1);DEGREES(A1);SIN(A1);COS(A1);TAN(A1);ASIN(E1);ACOS(A1/10);ATAN(E1);ATAN2(B1,E1);NORM.DIST(E1,1,2,TRUE);NORM.DIST(A1,1,E1,FALSE);NORMSDIST(A1/3);ERF(A1/5);ERFC(A1/5);NORM.S.DIST(A1/3,FALSE)
-CHOOSE(A1,"a","b",C1);HYPERLINK("u",C1);ROW();COLUMN(C1);A1:A10*2;@B1:B10;B2;A2+B1;SUM(B1,E1,"3");SUM(B1:E1);AVERAGE(A1:E1);MAX(B1:E1,4);MIN(A1:B2);COUNT(A1:E1);COUNTA(A1:E1);COUNTBLANK(B1:D1);PRODUCT(A1:B1);SUM(A$1:A1);SUM(B$1:B1);AND(A1:B1);TEXTJOIN("-",FALSE,A1:C1);SUM(A$2:A$4);SUM(B:B);AVERAGE(B:B,A1);MAX(E:E);MIN(B:B,E:E);COUNT(B:B);COUNTA(C:C);COUNTBLANK(C:C);COUNTBLANK(B:B);COUNTIF(C:C,"a*");COUNTIF(C:C,"");COUNTIF(B:B,"<>5")
+CHOOSE(A1,"a","b",C1);HYPERLINK("u",C1);ROW();COLUMN(C1);A1:A10*2;@B1:B10;B2;A2+B1;SUM(B1,E1,"3");SUM(B1:E1);AVERAGE(A1:E1);MAX(B1:E1,4);MIN(A1:B2);COUNT(A1:E1);COUNTA(A1:E1);COUNTBLANK(B1:D1);PRODUCT(A1:B1);SUM(A$1:A1);SUM(B$1:B1);AND(A1:B1);TEXTJOIN("-",FALSE,A1:C1);SUM(A$2:A$4);MATCH(4,A:A,-1);HLOOKUP(5,$A$5:$E$7,2,FALSE);HLOOKUP(A1,$A$1:$E$3,3);SUM(B:B);AVERAGE(B:B,A1);MAX(E:E);MIN(B:B,E:E);COUNT(B:B);COUNTA(C:C);COUNTBLANK(C:C);COUNTBLANK(B:B);COUNTIF(C:C,"a*");COUNTIF(C:C,"");COUNTIF(B:B,"<>5")
 COUNTIF(B:B,">2");COUNTIF(D:D,TRUE);SUMIF(C:C,"apple",B:B);SUMIF(B:B,">2");AVERAGEIF(B:B,"<0",E:E);SUM(IF(B:B>2,E:E,0));SUM(LEN(C:C));PRODUCT(A:A);MEDIAN(B:B);LARGE(B:B,2);SMALL(B:B,20);STDEV(B:B);VARP(E:E);RANK(A1,A:A);RANK(B1,B:B);SUMPRODUCT(A:A,B:B);SUBTOTAL(9,B:B)
 MATCH(A1,A:A,0);MATCH("APPLE",C:C,0);INDEX(C:C,A1);VLOOKUP(A1+1,A:C,3,FALSE);VLOOKUP(A1+0.5,A:E,5);LOOKUP(A1,A:A,E:E);MATCH(E1,A:A,1);INDEX(B:B,MATCH(A1,A:A,0));COUNTIF(A:A,A1);SUMIFS(E:E,A:A,A1);COUNTIFS(C:C,C1);#N/A;1/0+#N/A;NOSUCH(1);#REF!*2
 """.replace("\n", ";").strip(";").split(";")
@@ -86,5 +86,7 @@ def test_what_has_no_plan(spark):
     own = Book(spark, [Sheet("T", spark.createDataFrame(ROWS, "k int, n double, t string, b boolean, m double"), ["k"])])
     with pytest.raises(Unsupported):
         own.fill("T", {"x": "MATCH(A1,A:A,-1)"})
+    with pytest.raises(Unsupported):
+        own.fill("T", {"x": "MAX(A$1:A1)"})
     with pytest.raises(Unsupported):
         own.evaluate({"x": "SUM(T!1:1)"})

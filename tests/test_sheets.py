@@ -61,6 +61,7 @@ def test_survey_subset_manifest(spark, folder):
     own = xlsx.surveyed(files).persist()
     assert {r["path"].rsplit("/")[-1]: r["status"] for r in own.collect()} == {"budget.xlsx": "ok", "basic.xlsx": "ok", "copy.xlsx": "ok", "junk.xlsx": "open_error", "notes.txt": "not_zip"}
     assert [r["formula_cells"] for r in xlsx.subset(own).collect()] == [29]
+    assert {r["path"].rsplit("/")[-1] for r in xlsx.unloadable(own).collect()} == {"junk.xlsx", "notes.txt"}
     manifest = own.select(own["path"].alias("file"), "sha256").union(spark.createDataFrame([("gone", "x")], "file string, sha256 string"))
     assert [r["file"] for r in xlsx.verified(manifest, own).collect()] == ["gone"]
 
@@ -120,6 +121,11 @@ def test_coarsening(spark):
     assert out == {"fifty": (50, 1), "mixed": (10, 2), "across": (4, 2)}
 
 
+def test_families_are_their_cells(spark):
+    out = receipt.families_agree(cells(spark, budget=budget(), w=column_run({3: "B#*2"}))).collect()
+    assert sum(r["lanes"] for r in out) == 29 + 8 and all(r["differing"] == 0 for r in out)
+
+
 def test_receipt_classes(spark):
     own = book({"A1": 1, "B1": "=A1+1", "B2": "=NOW()", "B3": "=[1]X!A1", "B4": "=XLOOKUP(1,A1,A1)", "B5": "=A1*0.1*3", "B6": "=SUM(", "B7": "=A1", "B8": '="a"&"b"', "B9": "=1/0", "B10": "=A1"}, evaluate=False)
     sheet = own.sheets[0]
