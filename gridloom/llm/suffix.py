@@ -102,13 +102,17 @@ def grams(data: np.ndarray) -> np.ndarray:
     for k in range(8):
         part = wide[k : k + (len(wide) - k) // 8 * 8].view("<u8")
         eight[k::8] = part[: len(eight[k::8])]
-    out = np.zeros(n, np.uint64)
+    out, spare = np.zeros(n, np.uint64), np.empty(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(0, GRAM, 8):
-            word = eight[k : k + n] if GRAM - k >= 8 else eight[k : k + n] & np.uint64((1 << 8 * (GRAM - k)) - 1)
-            out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(32)
-    return mix(out)
+            if GRAM - k >= 8:
+                out ^= eight[k : k + n]
+            else:
+                out ^= np.bitwise_and(eight[k : k + n], np.uint64((1 << 8 * (GRAM - k)) - 1), out=spare)
+            for factor, shift in ((0x9E3779B97F4A7C15, 32), (0xD6E8FEB86659FD93, 29)):
+                out *= np.uint64(factor)
+                out ^= np.right_shift(out, np.uint64(shift), out=spare)
+    return out
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,11 +154,12 @@ def cuts_of(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def alike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A number for each span, equal for equal bytes and only for those."""
+    """A number for each span, equal for equal bytes and only for those: spans of equal hashes are compared."""
     key = hashes(data, starts, starts + sizes)
     _, head, group = np.unique(key, return_index=True, return_inverse=True)
-    own, other = starts, starts[head][group]
-    if not np.array_equal(sizes, sizes[head][group]) or not _same(data, own, other, sizes):
+    head = head[group]
+    other = np.flatnonzero(head != np.arange(len(key)))
+    if not np.array_equal(sizes[other], sizes[head[other]]) or not _same(data, starts[other], starts[head[other]], sizes[other]):
         _, group = np.unique(np.array([data[a : a + n].tobytes() for a, n in zip(starts, sizes, strict=True)], object), return_inverse=True)
     return group
 
@@ -185,25 +190,30 @@ def refined(data: np.ndarray, windows: np.ndarray, depth: int = LENGTH) -> np.nd
         plan.append(shift)
         wanted += shift
     # the places whose identifiers a step needs: the windows, and what later steps read from them
-    need = [windows]
+    wanted_at = np.zeros(len(data) + 1, bool)
+    wanted_at[windows] = True
+    need = [wanted_at]
     for shift in reversed(plan):
-        need.append(np.unique(np.concatenate([need[-1], need[-1] + shift])))
-    at = need.pop()
+        more = need[-1].copy()
+        more[shift:] |= need[-1][: len(more) - shift]
+        need.append(more)
+    here = need.pop()
+    at = np.flatnonzero(here)
     word = np.zeros(len(at), np.uint64)
     for k in range(q):
         word = (word << np.uint64(8)) | data[at + k]
     bucket = np.unique(word, return_inverse=True)[1]
     for shift in plan:
-        then = need.pop()
-        here, later = bucket[np.searchsorted(at, then)], bucket[np.searchsorted(at, then + shift)]
+        index = np.cumsum(here) - 1  # of a place among those that have identifiers
+        here = need.pop()
+        at = np.flatnonzero(here)
+        first, later = bucket[index[at]], bucket[index[at + shift]]
         # a bucket of one stays as it is; the others are split by the identifiers of the later offsets
-        several = np.bincount(here, minlength=bucket.max() + 1)[here] > 1
-        new = np.empty(len(then), np.int64)
-        new[~several] = np.unique(here[~several], return_inverse=True)[1]
-        pair = here[several] * (bucket.max() + 1) + later[several]
-        new[several] = np.unique(pair, return_inverse=True)[1] + (~several).sum()
-        at, bucket = then, new
-    return bucket[np.searchsorted(at, windows)]
+        several = np.bincount(first)[first] > 1
+        bucket = np.empty(len(at), np.int64)
+        bucket[~several] = np.arange((~several).sum())
+        bucket[several] = np.unique(first[several] * (later.max(initial=0) + 1) + later[several], return_inverse=True)[1] + (~several).sum()
+    return bucket[(np.cumsum(here) - 1)[windows]]
 
 
 class Chunk:

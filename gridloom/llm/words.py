@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -47,13 +49,19 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1
     return np.concatenate([_hashes(data, starts[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, from 0 to n - 1."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_BASE, _BACK))
+
+
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     low, high = int(starts[0]), int(ends.max())
     data, starts, ends = data[low:high], starts - low, ends - low
+    power, back = _powers(1 << max(20, len(data).bit_length()))
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(len(data) - 1, 0), _BASE, np.uint64)]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
-        back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), _BACK, np.uint64)]))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64, out=sums[1:])
         out = (sums[ends] - sums[starts]) * back[starts]  # wherever the span lies
         return mix(out + (ends - starts).astype(np.uint64) * _MIX)
 
