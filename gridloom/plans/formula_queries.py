@@ -7,7 +7,7 @@ rounded on both sides, as sums of doubles depend on the order of addition.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +21,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 NAMES = {"RATE": "0.07", "PRICES": "part!F:F", "NET": "Rate*2"}
 
 
-def book(spark: SparkSession, sf_dir: str) -> Book:
-    return Book(spark, [bind(spark, sf_dir, t, KEYS.get(t)) for t in TABLES], NAMES)
+def book(spark: SparkSession, sf_dir: str, formulas: Iterable[str], sheet: str | None = None) -> Book:
+    """The sheets that the formulas, or the names they use, speak of; others needn't be opened."""
+    said = " ".join([*formulas, sheet or ""]).lower()
+    said += "".join(f" {body.lower()}" for name, body in NAMES.items() if name.lower() in said)
+    return Book(spark, [bind(spark, sf_dir, t, KEYS.get(t)) for t in TABLES if re.search(rf"\b{t}\b", said)], NAMES)
 
 
 def tidy(df: DataFrame, places: int = 4) -> DataFrame:
@@ -41,7 +44,7 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The result with those columns of fault codes that the SQL has too."""
-        own = book(spark, sf_dir)
+        own = book(spark, sf_dir, self.formulas.values(), self.sheet)
         df = own.fill(self.sheet, self.formulas, self.row, list(self.keep)) if self.sheet else own.evaluate(self.formulas)
         for name in self.formulas:
             code = f"{name}_err"

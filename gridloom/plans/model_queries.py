@@ -337,7 +337,8 @@ def q_histogram(spark, sf_dir):
 
 def segments(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     """Revenue by order state, by criteria sums."""
-    own = tables(spark, sf_dir).evaluate({s: f'ROUND(SUMIF(orders!C:C,"{s}",orders!D:D),2)' for s in "FOP"}).first()
+    sums = {s: f'ROUND(SUMIF(orders!C:C,"{s}",orders!D:D),2)' for s in "FOP"}
+    own = tables(spark, sf_dir, sums.values()).evaluate(sums).first()
     return {s: float(own[s]) for s in "FOP"}
 
 
@@ -397,7 +398,8 @@ def q_cell_changes(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str, n: int = 1000) -> DataFrame:
     """region, n, mean, sd, p5, p50, p95: each customer's region by nested lookups and revenue by criteria sums, then a sweep
     over discounts."""
-    customers = tables(spark, sf_dir).fill("customer", {"region": "VLOOKUP(VLOOKUP(C1,nation!A:C,3,FALSE),region!A:B,2,FALSE)", "revenue": "SUMIFS(orders!D:D,orders!B:B,A1)"}, keep=["c_custkey"])
+    formulas = {"region": "VLOOKUP(VLOOKUP(C1,nation!A:C,3,FALSE),region!A:B,2,FALSE)", "revenue": "SUMIFS(orders!D:D,orders!B:B,A1)"}
+    customers = tables(spark, sf_dir, formulas.values(), "customer").fill("customer", formulas, keep=["c_custkey"])
     base = customers.groupBy("region").agg(F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("revenue"))
     draws = R.with_uniform(spark.range(n).withColumnRenamed("id", "scenario"), "scenario", SEED, 0, "u")
     draws = draws.select("scenario", R.parse_distribution("normal(0.06,0.02)").column(F.col("u")).alias("discount"))
