@@ -134,8 +134,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inside = np.ones(n, bool)
     for end in offsets[1:-1]:  # windows that would cross into the next text
         inside[max(0, end - LENGTH + 1) : end] = False
-    size = np.diff(offsets)
-    inside[max(0, n - (LENGTH - 1 if size[-1] < LENGTH else 0)) :] &= size[-1] >= LENGTH
     change = np.r_[True, (place[1:] != place[:-1])] | np.r_[True, ~inside[:-1]]
     first = np.flatnonzero(change & inside)
     stop = np.flatnonzero(np.r_[change[1:] | ~inside[1:], True] & inside) + 1

@@ -262,6 +262,17 @@ def test_suffix_equals_brute_force(spark, monkeypatch, chunk):
     assert {i: tuple(r)[1:5] for i, r in found.items()} == plain_cut(own)
 
 
+@pytest.mark.parametrize("last", ["", "only twenty bytes ab"])
+def test_a_short_last_text_costs_its_neighbours_nothing(spark, last):
+    shared = words(40, 31).encode()[:50].decode("utf-8", "ignore").ljust(50, "z")
+    own = [(1, words(20, 1) + shared), (2, words(20, 2) + shared), (3, last)]
+    found = by_id(suffix.cut(spark.createDataFrame(own, "doc_id long, text string").coalesce(1)))
+    assert {i: tuple(r)[1:5] for i, r in found.items()} == plain_cut(own) and found[2]["n_removed"] >= 50
+    data = (("p" * 30 + "q" * 50) + last).encode()
+    first, count, _, _ = suffix.anchors(np.frombuffer(data, np.uint8), np.array([0, 80, len(data)]))
+    assert sorted(w for a, n in zip(first, count, strict=True) for w in range(a, a + n)) == list(range(31))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=120).map(lambda b: bytes(x % 3 + 97 for x in b)), st.integers(1, 30))
 def test_bucket_pointer_refinement(data, depth):
