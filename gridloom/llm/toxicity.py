@@ -9,8 +9,8 @@ Three things are learned, none of them from held-out rows:
 
 A word that shows signs of disguise (digits or marks among letters, letters three times or more in a row, letters set
 apart by spaces or marks) becomes a lattice: each character may stand for itself, for a letter it resembles, or for
-nothing, each at a cost. Viterbi search takes the cheapest path under the character model. All other words have one
-path and stay as they are.
+nothing, each at a cost. White space between neighbouring short fragments may be dropped at a cost too. Viterbi search
+takes the cheapest path under the character model. All other words have one path and stay as they are.
 
 Null and empty texts get the score of a text without lexicon words, as do all texts where no labelled row is there to learn
 from.
@@ -61,7 +61,12 @@ for _i, _c in enumerate(LETTERS):
     _BYTE_CODE[ord(_c)] = _BYTE_CODE[ord(_c.upper())] = _i
 
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+#: Marks that may open or close a run of fragments.
+OPENS, CLOSES = "([{<\"'“‘«", ".,;:!?)]}>\"'”’»"
+_OPEN, _CLOSE = r"[(\[{<\"'“‘«*_]{0,3}", r"[.,;:!?)\]}>\"'”’»*_]{0,3}"
+SPACED = re.compile(rf"(?<!\S){_OPEN}\S(?:\s+\S){{2,}}{_CLOSE}(?!\S)")
+#: Fragments of at most four characters side by side.
+BROKEN = re.compile(rf"(?<!\S){_OPEN}\S{{1,4}}{_CLOSE}(?:\s+{_OPEN}\S{{1,4}}{_CLOSE})+(?!\S)")
 ODD = re.compile(r"[^a-z]|(.)\1\1")
 
 
@@ -105,6 +110,9 @@ class Channel:
         self.stems = [w.rstrip("~") for w in self.words]
         self.shortest = min(map(len, self.stems), default=1)
         self.single = {single(w): w for w in reversed(self.stems)}
+        self.begins = {w[:n] for w in self.single for n in range(1, len(w) + 1)}
+        self.heads: dict[str, set[str]] = {}
+        self.runs: dict[str, list[tuple[int, int, str]]] = {}
         self.doubt = [math.log1p(-x) for x in self.sure]
 
     def match(self, word: str) -> int | None:
@@ -171,6 +179,7 @@ class Channel:
     def text(self, text: str) -> str:
         """The whole restored text."""
         text = SPACED.sub(lambda m: self.joined(m[0]), text)
+        text = BROKEN.sub(lambda m: self.mended(m[0]), text)
         return re.sub(r"\S+", lambda m: self.plain(m[0]), text)
 
     def joined(self, spaced: str) -> str:
@@ -181,6 +190,76 @@ class Channel:
                 return " ".join(own)
         return spaced
 
+    def spelt(self, text: str) -> float:
+        """What a text costs under the character model."""
+        x, y, total = BORDER, BORDER, 0.0
+        for c in text + " ":
+            code = BORDER if c == " " else _CODE.get(c, OTHER)
+            total += self.grid[x][y][code]
+            x, y = y, code
+        return total
+
+    def readings(self, held: set[str], fragment: str) -> set[str]:
+        """What the fragment makes of the beginnings of entries in ``held``, each run of a letter as one; "" once an entry
+        is whole. Nothing that ``plain`` could match is missing."""
+        whole = "" in held and held != {""}
+        for c in fragment:
+            new = set()
+            for x in held:
+                if c in EDGES or c in SEPARATORS:
+                    new.add(x)
+                for letter in c if c in _CODE else LOOKALIKES.get(c, ""):
+                    y = x if x[-1:] == letter else x + letter
+                    if y in self.begins:
+                        new.add(y)
+                        whole |= y in self.single
+            held = new
+        return held | {""} if whole else held - {""}
+
+    def pieces(self, run: str) -> list[tuple[int, int, str]]:
+        """Neighbouring fragments that are a lexicon word when the white space between them is dropped, where that is the
+        cheaper path: first and last fragment, and the word. Marks only open the first fragment or close the last."""
+        if (out := self.runs.get(run)) is not None:
+            return out
+        parts, out = [fold(c) for c in run.lower().split()], []
+        for i, joined in enumerate(parts):
+            if (held := self.heads.get(joined)) is None:
+                held = self.heads[joined] = self.readings({""}, joined)
+            if not held:
+                continue
+            for j in range(i + 1, len(parts)):
+                if (len(parts[j - 1]) > 1 and parts[j - 1][-1] in CLOSES) or (len(parts[j]) > 1 and parts[j][0] in OPENS):
+                    break
+                joined += parts[j]
+                if not (held := self.readings(held, parts[j])):
+                    break
+                if "" not in held:
+                    continue
+                word = self.plain(joined)
+                if (found := self.match(word)) is None or len(self.stems[found]) < 4:
+                    continue
+                own, bare = parts[i : j + 1], joined.strip(EDGES)
+                price = DROPPED * (j - i) + STAND_IN * sum(c not in _CODE for c in bare)
+                if max(map(len, own)) == 1 or self.spelt(word) + price < self.spelt(" ".join(own).strip(EDGES)):
+                    out.append((i, j, word))
+                    break
+            if len(self.heads) > REMEMBERED:
+                self.heads.clear()
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
+        if len(run) < 64:
+            self.runs[run] = out
+        return out
+
+    def mended(self, run: str) -> str:
+        """The run with its broken words put together, the first of those that overlap."""
+        chunks, at = re.split(r"(\s+)", run), -1
+        for i, j, word in self.pieces(run):
+            if i > at:
+                chunks[2 * i : 2 * j + 1] = [word] + [""] * (2 * (j - i))
+                at = j
+        return "".join(chunks)
+
     def found(self, text: str) -> set[int]:
         """The lexicon words in the restored text. A worker remembers what it has restored."""
         low = text.lower()
@@ -196,6 +275,8 @@ class Channel:
         for m in SPACED.finditer(low):
             if len(m[0]) // 2 + 1 >= self.shortest:
                 out |= {i for w in self.joined(m[0]).split() if (i := self.match(w)) is not None}
+        for m in BROKEN.finditer(low):
+            out |= {self.match(w) for _, _, w in self.pieces(m[0])}
         return out
 
     def score(self, found: set[int]) -> float:

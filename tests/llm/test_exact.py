@@ -391,6 +391,12 @@ def test_disguises_are_undone(channel, text):
     assert any(w in channel.text(text) for w in channel.words)
 
 
+@pytest.mark.parametrize("text", ["i d i o t.", "(i d i o t)", '"i d i o t"', "i  d  i  o  t", "i\nd\ni\no\nt", "i d i o t, and", "id iot", "you id iot!", "id i ot", "(1d 10t)", "scum bag"])
+def test_spaces_within_words_are_dropped(channel, text):
+    assert channel.score(channel.found(text)) > 0.3
+    assert any(w in channel.text(text) for w in channel.words)
+
+
 @pytest.mark.parametrize("text", ["the plain text", "call 555-0123 now", "a b c d e", "1234567", "", "v1.0 of x86_64", "mormon idioms"])
 def test_clean_text_stays(channel, text):
     assert channel.score(channel.found(text)) < 0.3
