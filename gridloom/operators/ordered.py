@@ -7,11 +7,15 @@ for each range.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges that an ordered operator deals its rows into at most; one row of each is summed in one place.
 RANGES = 4096
+#: Values of an exact sum that come to the driver at once.
+FOLDED = 1 << 16
 
 
 def ranges_of(df: DataFrame, by: Column) -> list[float]:
@@ -88,11 +92,23 @@ def kth(df: DataFrame, value: str, k: int, largest: bool) -> DataFrame:
     return top.agg(F.when(F.count("*") == k, edge).alias("v") if k >= 1 else F.lit(None).cast("double").alias("v"))
 
 
-def ordered_sum(df: DataFrame, key: list[str], value: str, most: int = 1_000_000) -> DataFrame:
-    """One row, column v: the values added one by one in the order of ``key``, bit for bit as a loop adds them. Only for up
-    to ``most`` rows; beyond that it is an error, since the order has to pass through one task."""
-    n = df.count()
-    if n > most:
-        raise ValueError(f"{n} rows are more than an exact ordered sum takes ({most}); use sum")
-    pairs = F.array_sort(F.collect_list(F.struct(*(F.col(k) for k in key), F.coalesce(F.col(value), F.lit(0.0)).alias("_v"))))
-    return df.agg(F.aggregate(F.transform(pairs, lambda p: p["_v"]), F.lit(0.0), lambda a, x: a + x).alias("v"))
+def ordered_sum(df: DataFrame, key: list[str], value: str, most: int | None = None) -> DataFrame:
+    """One row, column v: the values added one by one in the order of ``key``, bit for bit as a loop adds them; of equal
+    keys the smaller value comes first. Ranges of the key are sorted side by side, and the running double passes through
+    them in order, one stretch of FOLDED values in memory at a time. More than ``most`` rows, if given, are an error."""
+    if most is not None and (n := df.count()) > most:
+        raise ValueError(f"{n} rows are more than was allowed ({most}); use sum")
+    spark = df.sparkSession
+    held = df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"))
+    held = held.orderBy(*(F.col(f"_k{i}").asc_nulls_first() for i in range(len(key))), F.col("_v"))
+
+    def step(batches):
+        for batch in batches:
+            v = batch.column("_v").to_numpy(zero_copy_only=False)
+            for at in range(0, len(v), FOLDED):
+                yield pa.RecordBatch.from_arrays([pa.array([v[at : at + FOLDED].astype("<f8").tobytes()], pa.binary())], ["values"])
+
+    total = 0.0
+    for row in held.select("_v").mapInArrow(step, "values binary").toLocalIterator():
+        total = float(np.add.accumulate(np.concatenate([[total], np.frombuffer(row["values"], "<f8")]))[-1])
+    return spark.range(1).select(F.lit(total).cast("double").alias("v"))

@@ -172,6 +172,16 @@ def test_streamed_edits(spark, tmp_path):
     assert {r["cell"]: r["value"] for r in out} == {"S!B1": 60.0, "S!B2": 62.0} and own.sheets[0].values[1, 1] == 62
 
 
+def test_exact_sums_beyond_a_million_rows(spark):
+    n = 1_100_000
+    df = spark.range(n).select("id", F.expr("CAST((id * 7919) % 1000003 AS DOUBLE) * 0.1").alias("v")).repartition(5)
+    total = 0.0
+    for i in range(n):
+        total += float((i * 7919) % 1000003) * 0.1
+    assert ordered_sum(df, ["id"], "v").first()["v"] == total
+    assert ordered_sum(df.limit(0), ["id"], "v").first()["v"] == 0.0
+
+
 def test_exact_sums_and_positions(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=3000) * 10.0 ** rng.integers(-8, 8, 3000)
