@@ -20,13 +20,26 @@ NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE US
 that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
 of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
 this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution.""",
+distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
 that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
 of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
 this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
 distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
-promote products derived from this software without specific prior written permission.""",
+promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
 with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
 applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
@@ -46,13 +59,49 @@ details.""",
 not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
-purpose, commercial or non-commercial, and by any means.""",
+purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright
+laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.
+We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend
+this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to
+<https://unlicense.org>""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
 liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
-purpose, including commercial applications, and to alter it and redistribute it freely""",
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software. 3. This notice may not be removed or altered from any source distribution.""",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "MIT notice": "Released under the MIT License.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
+    "BSD notice": "Released under the BSD License.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0.",
+}
+
+#: Words that must stand side by side in what matches a template, for those that a few words tell apart.
+IDENTIFYING = {
+    "BSD-3-Clause": ["neither the name"],
+    "GPL-3.0-or-later": ["version 3"],
+    "GPL-2.0-or-later": ["version 2"],
+    "Apache-2.0 notice": ["apache license", "2.0"],
+    "MIT notice": ["mit license"],
+    "GPL-3.0 notice": ["gnu general public license", "3"],
+    "CC-BY-4.0 notice": ["creative commons attribution 4.0"],
+    "CC-BY-NC-4.0 notice": ["cc by-nc 4.0"],
+    "BSD notice": ["bsd license"],
+    "GPL-2.0 notice": ["gnu general public license", "2"],
+    "LGPL-3.0 notice": ["gnu lesser general public license", "3"],
+    "AGPL-3.0 notice": ["gnu affero general public license", "3"],
+    "CC-BY-SA-4.0 notice": ["cc by-sa 4.0"],
+    "CC-BY-ND-4.0 notice": ["cc by-nd 4.0"],
 }

@@ -2,7 +2,8 @@
 
 Words that occur once in a stretch of text and once in a template anchor it; the longest run of anchors that ascends in
 both is kept, and the gaps between are aligned in the same way, whose words may be unique there. The matched share of
-the template's words is its coverage. A template is found where a stretch of the text reaches COVERAGE.
+the template's words is its coverage. A template is found where a stretch of the text reaches COVERAGE and the words that
+identify the licence are matched side by side.
 
 Every text is scanned whole. What can't reach the coverage is passed over by an exact bound: a stretch matches no more
 words than it and the template have in common. Stretches overlap by half, so that a licence isn't cut.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import batch_of, map_arrow, slices, table, texts
-from gridloom.llm.license_texts import TEMPLATES
+from gridloom.llm.license_texts import IDENTIFYING, TEMPLATES
 
 COVERAGE = 0.8
 #: Words that a Python worker remembers.
@@ -74,6 +75,13 @@ def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def beside(text: list[int], pairs: list[tuple[int, int]], words: list[int]) -> bool:
+    """Whether these words are matched one right after the other."""
+    places = [i for i, _ in pairs]
+    n = len(words)
+    return any(places[k + n - 1] - places[k] == n - 1 and [text[i] for i in places[k : k + n]] == words for k in range(len(places) - n + 1))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
@@ -83,6 +91,7 @@ class Scanner:
             ids = [words.setdefault(w, len(words)) for c in text.lower().split() if (w := c.strip(EDGES))]
             self.templates.append((name, ids, Counter(ids), -(-len(ids) * least // 1)))
         self.words = words
+        self.marks = [[[words.get(w, -1) for w in phrase.split()] for phrase in IDENTIFYING.get(name, ())] for name in templates]
         self.known: dict[str, int] = {}
         self.seen: set[str] = set()
         self.sizes = np.array([len(t[1]) for t in self.templates])
@@ -112,12 +121,12 @@ class Scanner:
         found = []
         for k in possible:
             name, template, count, need = self.templates[k]
-            best = self._best(ids, template, count, need)
+            best = self._best(ids, template, count, need, self.marks[k])
             if best:
                 found.append((name, *best))
         return sorted(found, key=lambda x: (-x[1], -len(TEMPLATES.get(x[0], "")), x[2], x[0]))
 
-    def _best(self, ids: list[int], template: list[int], count: Counter, need: float):
+    def _best(self, ids: list[int], template: list[int], count: Counter, need: float, marks: list[list[int]]):
         n = len(template)
         wide = 2 * n + 8
         own = np.array([w in count for w in ids])
@@ -131,7 +140,7 @@ class Scanner:
             if sum((Counter(stretch) & count).values()) < need:
                 continue
             pairs = align(stretch, template)
-            if len(pairs) >= need:
+            if len(pairs) >= need and all(beside(stretch, pairs, m) for m in marks):
                 got = (len(pairs) / n, start + pairs[0][0], start + pairs[-1][0])
                 if best is None or (-got[0], got[1]) < (-best[0], best[1]):
                     best = got

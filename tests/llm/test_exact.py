@@ -419,6 +419,26 @@ def test_license_coverage():
     assert "MIT" not in [x[0] for x in scanner.scan(" ".join(half[: len(half) // 2]))]
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Released under the BSD License.", "BSD notice"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0 notice"), ("Released under the Foo License.", None), ("Licensed under CC BY-XY 4.0.", None), ("Released under MIT License.", "MIT notice"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0 notice"), ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0 notice"),
+    ],
+)
+def test_short_notices_name_their_own_licence(text, name):
+    found = [x[0] for x in licenses.Scanner(TEMPLATES, 0.8).scan(f"{words(50, 5)} {text} {words(50, 6)}")]
+    assert found == ([name] if name else [])
+
+
+def test_templates_reach_to_the_end_of_the_licence():
+    scanner = licenses.Scanner(TEMPLATES, 0.8)
+    for name, end in {"BSD-2-Clause": "THIS SOFTWARE IS", "BSD-3-Clause": "THIS SOFTWARE IS", "Zlib": ", subject to", "Unlicense": "In jurisdictions"}.items():
+        assert name not in [x[0] for x in scanner.scan(TEMPLATES[name].split(end)[0])]
+        assert scanner.scan(TEMPLATES[name])[0][0] == name
+    assert "BSD-3-Clause" not in [x[0] for x in scanner.scan(TEMPLATES["BSD-2-Clause"])]
+
+
 @given(st.lists(st.integers(0, 6), max_size=30), st.lists(st.integers(0, 6), max_size=20))
 def test_alignment_is_a_common_subsequence(text, template):
     pairs = licenses.align(text, template)
