@@ -264,9 +264,14 @@ def _java(pattern: str) -> str:
 
 
 def glob(pattern: Column) -> Column:
-    """A column of wildcard patterns as regular expressions."""
-    quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\\\$1")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(quoted, r"~\*", "\u0001"), r"~\?", "\u0002"), r"\*", ".*"), r"\?", "."), "\u0001", r"\\\\*")
+    """A column of wildcard patterns as regular expressions. A ~ takes the next character literally; at the end it is itself."""
+    out = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1")
+    for mark, held in (("~", "\u0003"), ("*", "\u0001"), ("?", "\u0002")):
+        out = F.replace(out, F.lit("~" + mark), F.lit(held))
+    out = F.regexp_replace(out, r"~(?=.)", "")
+    for held, plain in (("*", ".*"), ("?", "."), ("\u0001", r"\*"), ("\u0002", r"\?"), ("\u0003", "~")):
+        out = F.replace(out, F.lit(held), F.lit(plain))
+    return out
 
 
 # --- functions of numbers

@@ -8,18 +8,18 @@ that have no vector form, or whose values leave the plain numbers in some scenar
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import values as V
 from gridloom.functions.random import Distribution
 from gridloom.functions.values import Fault, Value
+from gridloom.operators import ordered
 from gridloom.plans import syntax as S
 from gridloom.plans.graph import Cell, Graph
 from gridloom.plans.interp import Evaluator, Rects
@@ -352,20 +352,9 @@ def statistics(rows: DataFrame, value: str = "value", by: list[str] | None = Non
     by = by or []
     count = own.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
     parts = own.join(count, by) if by else own.crossJoin(count)
-    exact = {name: placed(F.col(value), F.col("n"), p) for name, p in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))}
-    ordered = parts.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1) if by else numbered(parts, value)
-    return ordered.groupBy(*by, "n", "mean", "sd").agg(*(F.max(F.when(F.col("_k") == F.floor((F.col("n") - 1) * p), F.col(value))).alias(name) for name, p in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95)) if name in exact))
-
-
-def placed(value: Column, n: Column, p: float) -> Column:
-    return F.when(n > 0, value)
-
-
-def numbered(df: DataFrame, value: str) -> DataFrame:
-    """Places in order, from 0, without sorting all rows in one task."""
-    from gridloom.operators.ordered import running
-
-    return running(df, F.col(value), [], F.lit(1), "sum", "_k1").withColumn("_k", F.col("_k1") - 1).drop("_k1")
+    quantiles = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
+    placed = ordered.numbered(parts, by, value, "_k")
+    return placed.groupBy(*by, "n", "mean", "sd").agg(*(F.max(F.when(F.col("_k") == F.floor((F.col("n") - 1) * p), F.col(value))).alias(name) for name, p in quantiles.items()))
 
 
 def histogram(rows: DataFrame, value: str = "value", bins: int = 40) -> DataFrame:
@@ -395,5 +384,3 @@ def finite_difference(book: Workbook, cell: Cell, output: Cell, h: float | None
     up, down = (float(what_if(book, {cell: x + d}, [output])[output]) for d in (h, -h))
     return (up - down) / (2 * h)
 
-
-_ = math

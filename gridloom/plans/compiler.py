@@ -22,8 +22,8 @@ from gridloom.plans import syntax as S
 from gridloom.sources.tables import Sheet
 
 
-#: Cells of a range that moves along with the row, at most.
-MOVING = 256
+#: Rows of a range that moves along with the row, at most, and cells that a plain aggregate of it may have.
+MOVING, MOVING_CELLS = 4096, 256
 
 
 class Unsupported(ValueError):
@@ -32,17 +32,23 @@ class Unsupported(ValueError):
 
 @dataclass(frozen=True)
 class Range:
-    """Columns of a sheet, whole or from row to row (from 1)."""
+    """Columns of a sheet, whole or from row to row (from 1). shape: fixed; window: both ends move along with the formula's
+    row and are counted from it; anchored: between the fixed row ``top`` and the one ``bottom`` rows below the formula's."""
 
     sheet: str
     first: int
     last: int
     top: int | None = None
     bottom: int | None = None
+    shape: str = "fixed"
 
     @property
-    def rows(self) -> tuple[int | None, int | None]:
-        return self.top, self.bottom
+    def rows(self) -> tuple:
+        return self.top, self.bottom, self.shape
+
+    @property
+    def height(self) -> int | None:
+        return None if self.top is None or self.shape == "anchored" else self.bottom - self.top + 1
 
     def columns(self) -> range:
         return range(self.first, self.last + 1)
@@ -70,9 +76,9 @@ class Book:
         base = host.placed() if own.needs_rows else host.df
         return own.attach(base).select(*(keep if keep is not None else host.df.columns), *outputs(cells))
 
-    def scalar(self, node: S.Node) -> V.Value:
-        """A formula's value, now. For what a plan must know beforehand."""
-        own = Compiler(self, None, 1)
+    def scalar(self, node: S.Node, home: Sheet | None = None) -> V.Value:
+        """A formula's value, now. For what a plan must know beforehand. home: the sheet of references that name none."""
+        own = Compiler(self, None, 1, home=home)
         cell = own.cell(node)
         if cell.is_constant:
             return cell.constant
@@ -97,11 +103,14 @@ def outputs(cells: dict[str, Cell]) -> list[Column]:
 
 
 class Compiler:
-    def __init__(self, book: Book, host: Sheet | None, row: int, array: bool = False):
-        self.book, self.host, self.row, self.array = book, host, row, array
+    def __init__(self, book: Book, host: Sheet | None, row: int, array: bool = False, home: Sheet | None = None):
+        self.book, self.host, self.row, self.array, self.home = book, host, row, array, host or home
         self.totals: dict[tuple, dict[str, Column]] = {}
         self.single_rows: list[DataFrame] = []
         self.joins: list = []
+        self.windows: dict[tuple, tuple[str, set[int]]] = {}
+        self.runs: dict[tuple, tuple[str, dict[str, tuple[str, Column]]]] = {}
+        self.given: dict[int, Cell] = {}
         self.made = 0
         self.needs_rows = False
         self.open: list[str] = []
@@ -119,21 +128,93 @@ class Compiler:
             df = df.crossJoin(source.agg(*(c.alias(n) for n, c in columns.items())))  # one row
         for one in self.single_rows:
             df = df.crossJoin(one)  # one row
+        for (sheet, top, bottom), (name, columns) in self.windows.items():
+            own = self.book.sheets[sheet]
+            cells = {f"c{i}": own.cell(i).v for i in sorted(columns)}
+            rows = own.placed().select("_row", F.struct(F.col("_row").alias("row"), *(v.alias(k) for k, v in cells.items())).alias("_cells"))
+            seen = ordered.windows(rows, self.host.placed().select("_row"), top, bottom, "_cells", name)
+            df = df.join(seen, "_row")
+        for (sheet, anchor, step), (name, values) in self.runs.items():
+            df = self.run(df, sheet, anchor, step, name, values)
         for join in self.joins:
             df = join(df)
         return df
 
     def rows_of(self, sheet: str, rows: tuple) -> DataFrame:
         own = self.book.sheets[sheet]
-        top, bottom = rows
+        top, bottom, shape = rows
         if top is None:
             return own.df
+        if shape != "fixed":
+            raise Unsupported("this function over a range that moves along with the row")
         return own.placed().where(F.col("_row").between(top, bottom))
 
-    def total(self, r: Range | None, column: Column, alone: Column | None = None) -> Column:
-        """An aggregate over a range; alone: what it is for a single cell of the row."""
+    # --- ranges that move along with the row
+
+    def seen(self, r: Range, *columns: int) -> Column:
+        """The cells of a window as an array of structs: row, and c0, c1, ... by column."""
+        self.needs_rows = True
+        if r.bottom - r.top >= MOVING:
+            raise Unsupported(f"ranges of over {MOVING} rows that move along with the row")
+        name, own = self.windows.setdefault((r.sheet, r.top, r.bottom), (self.name("w"), set()))
+        own.update(columns or r.columns())
+        return F.col(name)
+
+    def element(self, r: Range, i: int, x: Column) -> Cell:
+        """Column i of a window's element."""
+        own = self.book.sheets[r.sheet].cell(i)
+        return Cell(own.kind, x[f"c{i}"], None, True)
+
+    def cells_of(self, r: Range) -> list[Cell]:
+        """The cells of a window one by one, row by row; those above the sheet's first row or below its last are blank."""
+        if r.height * (r.last - r.first + 1) > MOVING_CELLS:
+            raise Unsupported(f"ranges of over {MOVING_CELLS} cells that move along with the row")
+        own = self.host is not None and r.sheet == self.host.name.upper()
+        if r.height == 1 and own and r.top == 0:
+            return [self.host.cell(i) for i in r.columns()]
+        seen = self.seen(r)
+        missing = F.greatest(F.lit(1) - F.col("_row") - r.top, F.lit(0)) if r.top < 0 else F.lit(0)  # rows above the sheet
+        return [self.element(r, i, F.get(seen, (F.lit(k) - missing).cast("int"))) for k in range(r.height) for i in r.columns()]
+
+    def running(self, r: Range, kind: str, value: Column, none: Column | None) -> Column:
+        """A fold over the rows between the anchor and the row that the range reaches."""
+        self.needs_rows = True
+        name, values = self.runs.setdefault((r.sheet, r.top, r.bottom), (self.name("run"), {}))
+        own = self.name("v")
+        values[own] = (kind, value)
+        return F.col(own) if none is None else F.coalesce(F.col(own), none)
+
+    def reached(self, sheet: str, anchor: int, *columns: Column) -> DataFrame:
+        """The rows of a sheet with ``_dir`` and ``_far``: on which side of the anchor, and how far from it. The anchor's row
+        is on both sides."""
+        own = self.book.sheets[sheet].placed()
+        rows = own.select("*", (F.col("_row") >= anchor).alias("_dir"), F.abs(F.col("_row") - anchor).alias("_far"))
+        if anchor > 1:
+            rows = rows.unionByName(own.where(F.col("_row") == anchor).select("*", F.lit(False).alias("_dir"), F.lit(0).cast("long").alias("_far")))
+        return rows.select("_dir", "_far", *columns)
+
+    def reaching(self, df: DataFrame, anchor: int, step: int, name: str) -> DataFrame:
+        """``df`` with the side and distance that each row's range reaches to."""
+        at = F.greatest(F.col("_row") + step, F.lit(1))
+        return df.withColumns({f"{name}_dir": at >= anchor, f"{name}_far": F.abs(at - anchor).cast("long")})
+
+    def run(self, df: DataFrame, sheet: str, anchor: int, step: int, name: str, values: dict[str, tuple[str, Column]]) -> DataFrame:
+        df = self.reaching(df, anchor, step, name)
+        lanes = self.reached(sheet, anchor, *(v.alias(k) for k, (_, v) in values.items()))
+        asks = self.reaching(self.host.placed().select("_row"), anchor, step, name).select(F.col(f"{name}_dir").alias("_dir"), F.col(f"{name}_far").alias("_far"))
+        found = ordered.asof(lanes, asks, ["_dir"], "_far", {k: kind for k, (kind, _) in values.items()})
+        found = found.withColumnsRenamed({"_dir": f"{name}_d", "_far": f"{name}_f"})
+        return df.join(found, (F.col(f"{name}_dir") == F.col(f"{name}_d")) & (F.col(f"{name}_far") == F.col(f"{name}_f")), "left").drop(f"{name}_d", f"{name}_f")
+
+    def total(self, r: Range | None, column: Column, alone: Column | None = None, run: tuple | None = None) -> Column:
+        """An aggregate over a range; alone: what it is for a single cell of the row; run: its fold, the value that is
+        folded and what it is over nothing, for ranges from a fixed row on."""
         if r is None:
             return alone
+        if r.shape == "anchored" and run is not None:
+            return self.running(r, *run)
+        if r.shape != "fixed":
+            raise Unsupported("this function over a range that moves along with the row")
         own = self.totals.setdefault((r.sheet, r.rows), {})
         name = self.name("t")
         own[name] = column
@@ -157,7 +238,7 @@ class Compiler:
         if ref.dead or (ref.sheet and (ref.sheet.dead or ref.sheet.book is not None)):
             return REF
         if ref.sheet is None:
-            return [self.host] if self.host else REF
+            return [self.home] if self.home else REF
         order = self.book.order
         first, last = ref.sheet.name.upper(), (ref.sheet.last or ref.sheet.name).upper()
         if first not in order or last not in order:
@@ -179,14 +260,17 @@ class Compiler:
             sheets = self.sheets(node)
             if isinstance(sheets, Fault):
                 return sheets
-            if node.row is not None and node.col is None:
-                raise Unsupported("whole rows")
             out = []
             for s in sheets:
+                if node.col is None:  # whole rows
+                    out.append(self.between(Range(s.name.upper(), 0, s.width() - 1, *self.line(node.row)), Range(s.name.upper(), 0, s.width() - 1, *self.line(node.row2))))
+                    continue
                 first, last = sorted((node.col.at, (node.col2 or node.col).at))
-                rows = (None, None) if node.row is None else (node.row.at + 1, node.row.at + 1)
+                rows = (None, None, "fixed") if node.row is None else self.line(node.row)
                 out.append(Range(s.name.upper(), first, min(last, s.width() - 1), *rows))
             return out
+        if isinstance(node, S.Call) and S.plain_name(node.name) == "INDEX" and len(node.args) in (2, 3) and not any(self.reads_row(a) for a in node.args[1:]):
+            return self.indexed(node.args)
         if isinstance(node, S.Binary) and node.op in (":", ",", " "):
             a = self.ranges(node.left)
             right = node.right
@@ -197,18 +281,20 @@ class Compiler:
                 if isinstance(x, Fault):
                     return x
             if a is None or b is None:
+                if any(isinstance(n, S.Call) and S.plain_name(n.name) == "INDEX" for n in (node.left, node.right)):
+                    raise Unsupported("INDEX as a reference where the place differs by row")
                 return VALUE
             if node.op == ",":
                 return [*a, *b]
             if node.op == ":":
-                p, q = a[0], b[0]
-                if len(a) != 1 or len(b) != 1 or p.sheet != q.sheet:
+                if len(a) != 1 or len(b) != 1 or a[0].sheet != b[0].sheet:
                     return VALUE
-                whole = p.top is None or q.top is None
-                return [Range(p.sheet, min(p.first, q.first), max(p.last, q.last), None if whole else min(p.top, q.top), None if whole else max(p.bottom, q.bottom))]
+                return [self.between(a[0], b[0])]
             out = []
             for p in a:
                 for q in b:
+                    if "window" in (p.shape, q.shape) or "anchored" in (p.shape, q.shape):
+                        raise Unsupported("intersections of ranges that move along with the row")
                     first, last = max(p.first, q.first), min(p.last, q.last)
                     tops, bottoms = [x for x in (p.top, q.top) if x is not None], [x for x in (p.bottom, q.bottom) if x is not None]
                     top, bottom = max(tops, default=None), min(bottoms, default=None)
@@ -217,6 +303,46 @@ class Compiler:
             return out or V.NULL
         return None
 
+    def line(self, axis: S.Axis) -> tuple[int, int, str]:
+        """Where one row lies: fixed, or moving along with the formula's row. References in names stay where they are."""
+        if self.host is None or axis.absolute or self.open:
+            return axis.at + 1, axis.at + 1, "fixed"
+        return axis.at + 1 - self.row, axis.at + 1 - self.row, "window"
+
+    def between(self, p: Range, q: Range) -> Range:
+        """The least range that holds both."""
+        first, last = min(p.first, q.first), max(p.last, q.last)
+        if p.top is None or q.top is None:
+            return Range(p.sheet, first, last)
+        if p.shape == q.shape != "anchored":
+            return Range(p.sheet, first, last, min(p.top, q.top), max(p.bottom, q.bottom), p.shape)
+        fixed, moving = (p, q) if p.shape == "fixed" else (q, p)
+        if moving.shape != "window" or fixed.height != 1 or moving.height != 1:
+            raise Unsupported("ranges between blocks that move and blocks that don't")
+        return Range(p.sheet, first, last, fixed.top, moving.top, "anchored")
+
+    def indexed(self, args: list) -> list[Range] | Fault:
+        """INDEX as a reference: its row and column must be known beforehand; 0 is the whole column or row."""
+        r = self.one_range(args[0])
+        if isinstance(r, Fault):
+            return r
+        if r.shape == "anchored":
+            raise Unsupported("INDEX of a range from a fixed row to the row's own")
+        place = [0 if a is None else V.number(self.known(a)) for a in args[1:3]]
+        if found := next((x for x in place if isinstance(x, Fault)), None):
+            return found
+        row, col = int(place[0]), int(place[1]) if len(place) > 1 else 0
+        if len(place) == 1 and r.height == 1:
+            row, col = 0, row
+        if row < 0 or col < 0:
+            return VALUE
+        if col > r.last - r.first + 1 or (r.height is not None and row > r.height):
+            return REF
+        first, last = (r.first + col - 1,) * 2 if col else (r.first, r.last)
+        start = 1 if r.top is None else r.top
+        top, bottom = (start + row - 1,) * 2 if row else (r.top, r.bottom)
+        return [Range(r.sheet, first, last, top, bottom, r.shape)]
+
     def one_range(self, node: S.Node | None) -> Range | Fault:
         r = self.ranges(node)
         if isinstance(r, Fault):
@@ -231,6 +357,10 @@ class Compiler:
     def cell(self, node: S.Node | None) -> Cell:
         if node is None:
             return C.constant(None)
+        if id(node) in self.given:
+            return self.given[id(node)]
+        if self.array and (isinstance(node, S.Ref) or (isinstance(node, S.Call) and S.plain_name(node.name) in AGGREGATES)):
+            return C.constant(self.book.scalar(node, self.home))
         match node:
             case S.Number() | S.Text() | S.Bool():
                 return C.constant(node.value)
@@ -283,23 +413,24 @@ class Compiler:
             return C.fault(VALUE)
         if r.first > r.last:  # beyond the sheet
             return C.constant(None)
-        own = self.host is not None and r.sheet == self.host.name.upper()
-        if ref.row is None:
-            if own and r.first == r.last:
-                return self.host.cell(r.first)  # the row's own cell of a whole column
-            return C.fault(VALUE)
-        if own and not ref.row.absolute:
-            step = ref.row.at + 1 - self.row
-            if step:
-                return self.other_row(r.first, step)
-            return self.staged(self.host.cell(r.first)) if self.host.is_time(r.first) else self.host.cell(r.first)
-        return self.fixed(r)
-
-    def other_row(self, i: int, step: int) -> Cell:
+        if ref.row is None or ref.col is None:
+            return self.of_range(r)
+        return self.one_cell(r)
+
+    def one_cell(self, r: Range) -> Cell:
+        """A range of one cell as its value."""
+        if r.shape == "fixed":
+            return self.fixed(r)
+        if r.top or self.host is None or r.sheet != self.host.name.upper():
+            return self.other_row(r.sheet, r.first, r.top)
+        return self.staged(self.host.cell(r.first)) if self.host.is_time(r.first) else self.host.cell(r.first)
+
+    def other_row(self, sheet: str, i: int, step: int) -> Cell:
         """The cell so many rows below: a join on row numbers, not a window over the whole sheet."""
         self.needs_rows = True
-        own, name = self.host.cell(i), self.name("r")
-        right = self.host.placed().select((F.col("_row") - step).alias(f"{name}_at"), own.v.alias(name))
+        from_ = self.book.sheets[sheet]
+        own, name = from_.cell(i), self.name("r")
+        right = from_.placed().select((F.col("_row") - step).alias(f"{name}_at"), own.v.alias(name))
         self.joins.append(lambda df: df.join(right, df["_row"] == F.col(f"{name}_at"), "left").drop(f"{name}_at"))
         return Cell(own.kind, F.col(name), None, True)
 
@@ -312,15 +443,20 @@ class Compiler:
     def intersected(self, node: S.Node) -> Cell:
         """A range where a value is wanted: of one column the row's own cell."""
         r = self.one_range(node)
-        if isinstance(r, Fault):
-            return C.fault(r)
-        if r.top is not None and r.top == r.bottom and r.first == r.last:
-            return self.fixed(r)
+        return C.fault(r) if isinstance(r, Fault) else self.of_range(r)
+
+    def of_range(self, r: Range) -> Cell:
+        if r.top is not None and r.height == 1 and r.first == r.last:
+            return self.one_cell(r)
         if self.host is None or r.sheet != self.host.name.upper() or r.first != r.last:
             return C.fault(VALUE)
         own = self.host.cell(r.first)
         if r.top is None:
             return own
+        if r.shape == "window":
+            return own if r.top <= 0 <= r.bottom else C.fault(VALUE)
+        if r.shape == "anchored":
+            raise Unsupported("a single value of a range from a fixed row to the row's own")
         self.needs_rows = True
         return Cell(own.kind, own.v, C.first_fault(own.e, C.when_fault(~F.col("_row").between(r.top, r.bottom), VALUE)), own.blank)
 
@@ -337,74 +473,90 @@ class Compiler:
 
     # --- arguments of aggregates
 
-    def row_cells(self, node: S.Node | None) -> list[Cell] | None:
-        """The cells of a reference that moves along with the row: one cell, or a small block seen from it."""
-        if isinstance(node, S.Paren):
-            return self.row_cells(node.of)
-        if self.host is None or node is None:
-            return None
-        ends = (node.left, node.right) if isinstance(node, S.Binary) and node.op == ":" else (node, node)
-        own = lambda e: isinstance(e, S.Ref) and e.single and (e.sheet is None or (e.sheet.book is None and (e.sheet.name or "").upper() == self.host.name.upper() and e.sheet.last is None))
-        if not all(own(e) for e in ends) or all(e.row.absolute for e in ends):
-            return None
-        if any(e.row.absolute for e in ends):
-            raise Unsupported("ranges from a fixed row to the row's own, but for SUM")
-        (c0, c1), (r0, r1) = (sorted(getattr(e, k).at for e in ends) for k in ("col", "row"))
-        if (c1 - c0 + 1) * (r1 - r0 + 1) > MOVING:
-            raise Unsupported("large ranges that move along with the row")
-        cells = []
-        for r in range(r0, r1 + 1):
-            for c in range(c0, min(c1, self.host.width() - 1) + 1):
-                step = r + 1 - self.row
-                cells.append(self.other_row(c, step) if step else self.host.cell(c))
-        return cells
-
     def parts(self, args: list, arrays: bool = False) -> tuple[list[tuple[Range | None, Cell]], list[Cell]] | Fault:
         """Columns of ranges, each with where it lies (none: a cell of the row), and direct values. arrays: other arguments
         spread over the sheet whose columns they name."""
         columns, direct = [], []
         for a in args:
-            moving = self.row_cells(a)
-            if moving is not None:
-                columns += [(None, x) for x in moving]
-                continue
             found = self.ranges(a)
             if isinstance(found, Fault):
                 return found
             if found is not None:
-                columns += [(r, self.column(r, i)) for r in found for i in r.columns()]
+                for r in found:
+                    columns += [(None, x) for x in self.cells_of(r)] if r.shape == "window" else [(r, self.column(r, i)) for i in r.columns()]
                 continue
-            over = self.spread_over(a) if arrays else None
-            if over is not None:
-                inner = Compiler(self.book, self.book.sheets[over.sheet], 1, array=True)
-                x = inner.cell(a)
-                if inner.joins or inner.single_rows or inner.totals:
-                    raise Unsupported("aggregates inside arrays")
-                columns.append((over, x))
+            over = self.arrays_in(a) if arrays else {}
+            if over:
+                columns += self.spread(a, over)
             else:
                 direct.append(self.cell(a))
         return columns, direct
 
-    def spread_over(self, node: S.Node | None) -> Range | None:
-        """The whole columns that an array expression runs over, if it does."""
-        found = {r.sheet for n in (node.walk() if node is not None else ()) if isinstance(n, S.Ref) and n.row is None and n.col is not None for r in (self.ranges(n) or []) if isinstance(r, Range)}
-        if len(found) != 1:
-            return None
-        return Range(found.pop(), 0, 0)
-
-    def criterion(self, node: S.Node | None) -> V.Criterion | Cell:
-        """Known now, or a cell of the row."""
-        x = self.cell(node)
-        if x.is_constant:
-            return V.criterion(x.constant)
-        if self.host is not None and self.reads_row(node):
-            return x
-        v = self.book.scalar(node)
-        return V.criterion(float(v) if isinstance(v, int) and not isinstance(v, bool) else v)
+    def arrays_in(self, node: S.Node | None) -> dict[int, Range]:
+        """The ranges of more than one cell that an expression runs over, by the id of their node; those inside aggregates
+        are theirs."""
+        if node is None or (isinstance(node, S.Call) and S.plain_name(node.name) in AGGREGATES):
+            return {}
+        found = self.ranges(node)
+        if isinstance(found, Fault):
+            return {}
+        if found is not None:
+            return {} if len(found) == 1 and found[0].height == 1 and found[0].first == found[0].last else {id(node): r for r in found}
+        return {k: r for n in node.children() for k, r in self.arrays_in(n).items()}
+
+    def spread(self, node: S.Node, over: dict[int, Range]) -> list[tuple[Range | None, Cell]]:
+        """An expression element by element: a column for each column of the ranges, or a cell for each cell of a window."""
+        shapes = {(r.height, r.last - r.first, r.shape) for r in over.values()}
+        if len(shapes) > 1:
+            raise Unsupported("arrays of different shapes in one expression")
+        (height, wide, shape), = shapes
+        if shape == "window":
+            cells = {k: self.cells_of(r) for k, r in over.items()}
+            return [(None, self.within({k: c[i] for k, c in cells.items()}, node)) for i in range(height * (wide + 1))]
+        if len({(r.sheet, r.rows) for r in over.values()}) > 1 or shape == "anchored":
+            raise Unsupported("arrays of ranges in different rows or sheets, or from a fixed row to the row's own")
+        if self.host is not None and any(self.reads_row(n) for n in outside(node, over)):
+            raise Unsupported("arrays that read the row's own cells too")
+        first, out = next(iter(over.values())), []
+        for j in range(wide + 1):
+            inner = Compiler(self.book, None, 1, array=True, home=self.home)
+            out.append((Range(first.sheet, first.first + j, first.first + j, *first.rows), inner.within({k: self.column(r, r.first + j) for k, r in over.items()}, node)))
+        return out
+
+    def within(self, given: dict[int, Cell], node: S.Node) -> Cell:
+        before, self.given = self.given, given
+        try:
+            return self.cell(node)
+        finally:
+            self.given = before
+
+    def known(self, node: S.Node | None) -> V.Value:
+        """The value of an argument that the plan itself depends on."""
+        if self.reads_row(node):
+            raise Unsupported("an argument that must be known beforehand differs by row")
+        return None if node is None else self.book.scalar(node, self.home)
 
     def reads_row(self, node: S.Node | None) -> bool:
-        host = self.host.name.upper()
-        return any(isinstance(n, S.Ref) and n.single and not n.row.absolute and (n.sheet is None or (n.sheet.name or "").upper() == host) for n in node.walk())
+        """Whether the node's value may differ by row: it names cells that move along, a column's own cell, or ROW()."""
+        if node is None or self.host is None:
+            return False
+        if isinstance(node, S.Ref):
+            return not node.row.absolute if node.row is not None else node.sheet is None
+        if isinstance(node, S.Call):
+            name = S.plain_name(node.name)
+            if name == "ROW" and not node.args:
+                return True
+            if name in AGGREGATES:  # whole columns are ranges there
+                return any(self.reads_row(a) for a in node.args if a is not None and not (isinstance(a, S.Ref) and a.row is None))
+        return any(self.reads_row(n) for n in node.children())
+
+
+def outside(node: S.Node, over: dict[int, Range]) -> list[S.Node]:
+    """The leaves of an expression that aren't in its ranges."""
+    if id(node) in over:
+        return []
+    below = list(node.children())
+    return [n for b in below for n in outside(b, over)] if below and not isinstance(node, S.Ref) and not (isinstance(node, S.Call) and S.plain_name(node.name) in AGGREGATES) else [node]
 
 
 def operate(op: str, a: Cell, b: Cell) -> Cell:
@@ -438,8 +590,9 @@ def add(parts: list[Column]) -> Column:
     return out
 
 
-def gather(own: Compiler, args: list, aggregate, arrays: bool, alone=lambda n: F.coalesce(n, F.lit(0.0))) -> tuple[list[Column], list[Cell], Column | None] | Fault:
-    """An aggregate of each column, the direct values as numbers, and the first fault. alone: the aggregate of one cell."""
+def gather(own: Compiler, args: list, aggregate, arrays: bool, alone=lambda n: F.coalesce(n, F.lit(0.0)), run=("sum", lambda n: n, 0.0)) -> tuple[list[Column], list[Cell], Column | None] | Fault:
+    """An aggregate of each column, the direct values as numbers, and the first fault. alone: the aggregate of one cell; run:
+    its fold, what of each number is folded, and what it is over nothing."""
     parts = own.parts(args, arrays)
     if isinstance(parts, Fault):
         return parts
@@ -448,7 +601,7 @@ def gather(own: Compiler, args: list, aggregate, arrays: bool, alone=lambda n: F
     for r, x in columns:
         n = numeric(x)
         if n is not None:
-            out.append(own.total(r, aggregate(guarded(x, n)), alone(n)))
+            out.append(own.total(r, aggregate(guarded(x, n)), alone(n), (run[0], run[1](n), None if run[2] is None else F.lit(run[2]))))
         if x.e is not None:
             faults.append(own.total(r, F.min(x.e), x.e))
     direct = [C.as_number(x) for x in direct]
@@ -487,7 +640,7 @@ def _sum(own: Compiler, args: list) -> Cell:
 
 
 def _product(own: Compiler, args: list) -> Cell:
-    got = gather(own, args, lambda n: F.coalesce(F.product(n), F.lit(1.0)), True, lambda n: F.coalesce(n, F.lit(1.0)))
+    got = gather(own, args, lambda n: F.coalesce(F.product(n), F.lit(1.0)), True, lambda n: F.coalesce(n, F.lit(1.0)), ("product", lambda n: n, 1.0))
     if isinstance(got, Fault):
         return C.fault(got)
     out, direct, faults = got
@@ -502,7 +655,7 @@ def counts(own: Compiler, args: list, arrays: bool) -> tuple[Column, Column, Col
     got = gather(own, args, lambda n: F.coalesce(F.sum(n), F.lit(0.0)), arrays)
     if isinstance(got, Fault):
         return got
-    n = gather(own, args, lambda n: F.count(n).cast("double"), arrays, one_if_there)
+    n = gather(own, args, lambda n: F.count(n).cast("double"), arrays, one_if_there, ("sum", one_if_there, 0.0))
     return add([*got[0], *(x.v for x in got[1])]), add([*n[0], *(F.lit(1.0) for _ in n[1])]), got[2]
 
 
@@ -518,7 +671,7 @@ def _count(own: Compiler, args: list) -> Cell:
     parts = own.parts(args)
     if isinstance(parts, Fault):
         return C.constant(0.0)
-    out = [own.total(r, F.count(guarded(x, numeric(x))).cast("double"), one_if_there(numeric(x))) for r, x in parts[0] if numeric(x) is not None]
+    out = [own.total(r, F.count(guarded(x, n)).cast("double"), one_if_there(n), ("sum", one_if_there(n), F.lit(0.0))) for r, x in parts[0] if (n := numeric(x)) is not None]
     for x in parts[1]:
         n = C.as_number(x)
         out.append(F.lit(1.0) if n.e is None else F.when(n.e.isNull(), 1.0).otherwise(0.0))
@@ -529,7 +682,7 @@ def _counta(own: Compiler, args: list) -> Cell:
     parts = own.parts(args)
     if isinstance(parts, Fault):
         return C.constant(1.0)
-    return C.number(add([own.total(r, F.count(x.v).cast("double"), one_if_there(x.v)) for r, x in parts[0]] + [F.lit(1.0) for _ in parts[1]]))
+    return C.number(add([own.total(r, F.count(x.v).cast("double"), one_if_there(x.v), ("sum", one_if_there(x.v), F.lit(0.0))) for r, x in parts[0]] + [F.lit(1.0) for _ in parts[1]]))
 
 
 def _countblank(own: Compiler, args: list) -> Cell:
@@ -537,12 +690,12 @@ def _countblank(own: Compiler, args: list) -> Cell:
     if isinstance(parts, Fault):
         return C.fault(parts)
     empty = lambda x: x.v.isNull() | (x.v == "") if x.kind == "text" else x.v.isNull()
-    return C.number(add([own.total(r, F.count_if(empty(x)).cast("double"), empty(x).cast("double")) for r, x in parts[0]]))
+    return C.number(add([own.total(r, F.count_if(empty(x)).cast("double"), empty(x).cast("double"), ("sum", empty(x).cast("double"), F.lit(0.0))) for r, x in parts[0]]))
 
 
-def _extreme(fold, pick):
+def _extreme(fold, pick, kind: str):
     def run(own: Compiler, args: list) -> Cell:
-        got = gather(own, args, fold, False, lambda n: n)
+        got = gather(own, args, fold, False, lambda n: n, (kind, lambda n: n, None))
         if isinstance(got, Fault):
             return C.fault(got)
         parts = [*got[0], *(x.v for x in got[1])]
@@ -558,7 +711,7 @@ def stacked(own: Compiler, args: list) -> tuple[DataFrame, Column | None] | Faul
     if isinstance(parts, Fault):
         return parts
     if any(r is None for r, _ in parts[0]):
-        raise Unsupported("order statistics of the row's own cells")
+        raise Unsupported("order statistics of the row's own cells and of whole ranges together")
     frames = [own.rows_of(r.sheet, r.rows).select(guarded(x, numeric(x)).alias("v")) for r, x in parts[0] if numeric(x) is not None]
     numbers = [C.as_number(x) for x in parts[1]]
     frames += [own.book.spark.range(1).select(x.v.alias("v")) for x in numbers]
@@ -568,10 +721,41 @@ def stacked(own: Compiler, args: list) -> tuple[DataFrame, Column | None] | Faul
     return out.where("v is not null"), C.first_fault(*(x.e for x in numbers))
 
 
-def _stacked(fold, missing: Fault):
-    """An aggregate over all numbers at once; null is the fault."""
+def row_numbers(own: Compiler, args: list) -> tuple[Column, Column | None] | None:
+    """The numbers of the row's own cells and of direct values as an array, if the arguments are nothing else."""
+    found = [own.ranges(a) for a in args]
+    if isinstance(own.host, Sheet) and any(isinstance(f, list) for f in found) and all(not isinstance(f, list) or all(r.shape == "window" for r in f) for f in found):
+        parts = own.parts(args)
+        if not isinstance(parts, Fault):
+            direct = [C.as_number(x) for x in parts[1]]
+            every = [n for r, x in parts[0] if (n := numeric(x)) is not None] + [x.v for x in direct]
+            return F.array_compact(F.array(*every) if every else F.array().cast("array<double>")), C.first_fault(*(x.e for x in direct))
+    return None
+
+
+def middle(a: Column) -> Column:
+    s, n = F.array_sort(a), F.size(a)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+
+def deviation(sample: bool, root: bool):
+    def of(a: Column) -> Column:
+        n = F.size(a)
+        mean = F.try_divide(F.aggregate(a, F.lit(0.0), lambda t, x: t + x), n)
+        square = F.aggregate(a, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean))
+        v = F.when(n >= 1 + sample, F.try_divide(square, n - int(sample)))
+        return F.sqrt(v) if root else v
+
+    return of
+
+
+def _stacked(fold, missing: Fault, rowwise):
+    """An aggregate over all numbers at once; null is the fault. rowwise: the same of an array."""
 
     def run(own: Compiler, args: list) -> Cell:
+        if (cells := row_numbers(own, args)) is not None:
+            x = own.staged(Cell("num", rowwise(cells[0])))
+            return C.number(x.v, cells[1], C.when_fault(x.v.isNull(), missing))
         got = stacked(own, args)
         if isinstance(got, Fault):
             return C.fault(got)
@@ -582,12 +766,29 @@ def _stacked(fold, missing: Fault):
     return run
 
 
+def _median(own: Compiler, args: list) -> Cell:
+    if row_numbers(own, args) is not None:
+        return _stacked(None, NUM, middle)(own, args)
+    got = stacked(own, args)
+    if isinstance(got, Fault):
+        return C.fault(got)
+    name = own.name("s")
+    own.single_rows.append(ordered.median(got[0], "v").withColumnRenamed("v", name))
+    return C.number(F.col(name), got[1], C.when_fault(F.col(name).isNull(), NUM))
+
+
 def _kth(largest: bool):
     def run(own: Compiler, args: list) -> Cell:
+        if (cells := row_numbers(own, args[:1])) is not None:
+            k = C.as_number(own.cell(args[1]))
+            x = own.staged(Cell("num", F.get(F.sort_array(cells[0], not largest), (F.ceil(k.v) - 1).cast("int"))))
+            return C.number(x.v, cells[1], k.e, C.when_fault(x.v.isNull(), NUM))
         got = stacked(own, args[:1])
         if isinstance(got, Fault):
             return C.fault(got)
-        k = V.number(own.book.scalar(args[1]))
+        if own.host is not None and own.reads_row(args[1]):
+            raise Unsupported("LARGE or SMALL of a whole range with a place that differs by row")
+        k = V.number(own.known(args[1]))
         if isinstance(k, Fault):
             return C.fault(k)
         name = own.name("k")
@@ -601,8 +802,11 @@ def _rank(own: Compiler, args: list) -> Cell:
     r = own.one_range(args[1])
     if isinstance(r, Fault):
         return C.fault(r)
-    up = len(args) > 2 and bool(V.truth(own.book.scalar(args[2]) if args[2] is not None else False))
+    up = len(args) > 2 and bool(V.truth(own.known(args[2]) if args[2] is not None else False))
     x, name = C.as_number(own.cell(args[0])), own.name("rank")
+    if (cells := row_numbers(own, args[1:2])) is not None:
+        better = F.size(F.filter(cells[0], lambda n: n < x.v if up else n > x.v))
+        return C.number(F.when(F.array_contains(cells[0], x.v), better + 1.0), x.e, C.when_fault(~F.array_contains(cells[0], x.v), NA))
     values = own.rows_of(r.sheet, r.rows).select(own.column(r, r.first).v.alias("_rv"))
     places = ordered.ranked(values, "_rv", name, up).select("_rv", name).distinct()
     value = own.name("x")
@@ -614,7 +818,7 @@ SUBTOTALS = ("AVERAGE", "COUNT", "COUNTA", "MAX", "MIN", "PRODUCT", "STDEV", "ST
 
 
 def _subtotal(own: Compiler, args: list) -> Cell:
-    code = V.number(own.book.scalar(args[0])) if args else VALUE
+    code = V.number(own.known(args[0])) if args else VALUE
     if isinstance(code, Fault):
         return C.fault(code)
     code = int(code) - 100 if 101 <= code <= 111 else int(code)
@@ -626,103 +830,30 @@ def _sumproduct(own: Compiler, args: list) -> Cell:
     if len(args) == 1 and found[0] is None:
         return _sum(own, args)
     rs = [r[0] if isinstance(r, list) and len(r) == 1 else VALUE for r in found]
-    if any(isinstance(r, Fault) for r in rs) or len({(r.last - r.first, r.rows) for r in rs}) > 1 or len({r.sheet for r in rs}) > 1:
+    if any(isinstance(r, Fault) for r in rs) or len({(r.last - r.first, r.height) for r in rs}) > 1:
         return C.fault(VALUE)
+    if any(r.shape == "window" for r in rs):
+        if not all(r.shape == "window" for r in rs):
+            raise Unsupported("SUMPRODUCT of ranges that move along with the row and ranges that don't")
+        products = []
+        for row in zip(*(own.cells_of(r) for r in rs), strict=True):
+            v = F.lit(1.0)
+            for x in row:
+                v = v * (F.lit(0.0) if numeric(x) is None else F.coalesce(numeric(x), F.lit(0.0)))
+            products.append(v)
+        return C.number(add(products))
+    if len({(r.rows, r.sheet) for r in rs}) > 1:
+        raise Unsupported("SUMPRODUCT of ranges in different rows or sheets")
     out = []
     for j in range(rs[0].last - rs[0].first + 1):
         v = F.lit(1.0)
         for r in rs:
             n = numeric(own.column(r, r.first + j))
             v = v * (F.lit(0.0) if n is None else F.coalesce(n, F.lit(0.0)))
-        out.append(own.total(rs[0], F.coalesce(F.sum(v), F.lit(0.0))))
+        out.append(own.total(rs[0], F.coalesce(F.sum(v), F.lit(0.0)), None, ("sum", v, F.lit(0.0))))
     return C.number(add(out))
 
 
-# --- criteria
-
-
-def conditions(own: Compiler, pairs: list) -> tuple[list[tuple[Range, Column]], list[tuple[Range, Cell, Cell]]] | Fault:
-    """Tests known now, and those against the row's cells: (range, its column, the row's cell)."""
-    fixed, keyed = [], []
-    for where, what in zip(pairs[::2], pairs[1::2], strict=True):
-        r = own.one_range(where)
-        if isinstance(r, Fault):
-            return r
-        criterion = own.criterion(what)
-        if isinstance(criterion, Cell):
-            keyed.append((r, own.column(r, r.first), criterion))
-        else:
-            fixed.append((r, C.matches(criterion, own.column(r, r.first))))
-    return fixed, keyed
-
-
-def _ifs(own: Compiler, where: Range | None, pairs: list, kind: str) -> Cell:
-    if not pairs or len(pairs) % 2:
-        return C.fault(VALUE)
-    got = conditions(own, pairs)
-    if isinstance(got, Fault):
-        return C.fault(got)
-    fixed, keyed = got
-    rs = [r for r, _ in fixed] + [r for r, *_ in keyed]
-    where = where or rs[0]
-    if len({r.sheet for r in rs} | {where.sheet}) > 1 or len({r.rows for r in rs}) > 1:
-        return C.fault(VALUE)
-    value = numeric(own.column(where, where.first))
-    value = F.lit(None).cast("double") if value is None else value
-    test = F.lit(True)
-    for _, t in fixed:
-        test = test & t
-    if not keyed:
-        total = lambda c: own.total(rs[0], c)
-        if kind == "count":
-            return C.number(total(F.count_if(test).cast("double")))
-        s, n = total(F.coalesce(F.sum(F.when(test, value)), F.lit(0.0))), total(F.count(F.when(test, value)).cast("double"))
-        return C.number(s) if kind == "sum" else C.number(F.try_divide(s, n), C.when_fault(n == 0, DIV0))
-    # tests against the row: group the range by its keys and join
-    names = [own.name("key") for _ in keyed]
-    left = [own.name("ask") for _ in keyed]
-    s, n, c = own.name("s"), own.name("n"), own.name("c")
-    def normal(x: Cell, as_: str, asked: bool) -> Column:
-        """A key: blank and empty text are one; a criterion that is blank, or text for a truth value, finds no text."""
-        if as_ == "num":
-            return C.as_number(x).v if asked else x.v
-        t = C.as_text(x).v
-        key = F.when(t == "", "\u0000").otherwise(F.lower(t))
-        return F.when(x.v.isNotNull() & ~F.upper(t).isin("TRUE", "FALSE"), key) if asked else key
-
-    source = own.rows_of(rs[0].sheet, rs[0].rows).where(test)
-    grouped = source.groupBy(*(normal(x, x.kind, False).alias(k) for k, (_, x, _) in zip(names, keyed, strict=True))).agg(F.sum(value).alias(s), F.count(value).alias(n), F.count("*").alias(c))
-    asked = [normal(cell, x.kind, True).alias(a) for a, (_, x, cell) in zip(left, keyed, strict=True)]
-
-    def join(df: DataFrame) -> DataFrame:
-        df = df.select("*", *asked)
-        on = [F.col(a) == F.col(k) for a, k in zip(left, names, strict=True)]
-        return df.join(grouped, on, "left").drop(*names)
-
-    own.joins.append(join)
-    if kind == "count":
-        return C.number(F.coalesce(F.col(c), F.lit(0)).cast("double"))
-    if kind == "sum":
-        return C.number(F.coalesce(F.col(s), F.lit(0.0)))
-    return C.number(F.try_divide(F.col(s), F.col(n).cast("double")), C.when_fault(F.coalesce(F.col(n), F.lit(0)) == 0, DIV0))
-
-
-def _if_one(kind: str):
-    def run(own: Compiler, args: list) -> Cell:
-        where = own.one_range(args[2]) if len(args) > 2 and args[2] is not None else None
-        return C.fault(where) if isinstance(where, Fault) else _ifs(own, where, args[:2], kind)
-
-    return run
-
-
-def _if_many(kind: str):
-    def run(own: Compiler, args: list) -> Cell:
-        where = own.one_range(args[0])
-        return C.fault(where) if isinstance(where, Fault) else _ifs(own, where, args[1:], kind)
-
-    return run
-
-
 # --- lookups
 
 
@@ -738,26 +869,70 @@ def normal_key(x: Cell, kind: str) -> tuple[Column, Column | None]:
     return (F.coalesce(x.v, F.lit(0.0)) if x.blank and kind == "num" else x.v) if kind != "text" else F.lower(x.v), x.e
 
 
-def located(own: Compiler, key: Cell, r: Range, mode: int, values: list[Cell]) -> tuple[list[Cell], Cell, Column | None]:
+def pattern_of(key: Column) -> Column:
+    """The regular expression that a text with wildcards stands for."""
+    return F.concat(F.lit("(?s)^("), C.glob(F.lower(key)), F.lit(")$"))
+
+
+def equal_to(own: Cell, key: Cell) -> Column:
+    """Whether a cell is what an exact lookup looks for: of one kind and equal, wildcards in the key's text allowed."""
+    asked, _ = normal_key(key, own.kind)
+    same = (F.lower(own.v) if own.kind == "text" else own.v) == asked
+    if own.kind == "text" and key.kind in ("text", "mixed"):
+        same = F.when(asked.rlike(r"[*?~]"), F.rlike(F.lower(own.v), pattern_of(asked))).otherwise(same)
+    return F.coalesce(same, F.lit(False))
+
+
+def ordered_by(own: Cell, key: Cell, up: bool) -> Column:
+    asked, _ = normal_key(key, own.kind)
+    v = F.lower(own.v) if own.kind == "text" else own.v
+    return F.coalesce(v <= asked if up else v >= asked, F.lit(False))
+
+
+def located(own: Compiler, key: Cell, r: Range, mode: int, values: list[Cell], columns: list[int]) -> tuple[list[Cell], Cell, Column | None]:
     """For each row's key the values beside the lane's fitting cell, and its place in the range (from 1). mode 0: the first
-    equal cell; 1: the last that isn't above; -1: the last of the first run that isn't below."""
+    equal cell; 1: the last that isn't above; -1: the last of the first run that isn't below. columns: where the values lie."""
+    if r.shape == "window":
+        return in_window(own, key, r, mode, columns)
     lane, sheet = own.column(r, r.first), own.book.sheets[r.sheet]
     asked, e = normal_key(key, lane.kind)
     source = sheet.placed()
-    if r.top is not None:
+    if r.shape == "anchored":
+        if mode or r.top != 1:
+            raise Unsupported("lookups in a range from a fixed row to the row's own, but exact ones from the first row")
+        own.needs_rows = True
+    elif r.top is not None:
         source = source.where(F.col("_row").between(r.top, r.bottom))
     base = (r.top or 1) - 1
     ask, at = own.name("ask"), own.name("at")
     names = [own.name("v") for _ in values]
     text = lane.kind == "text"
+    wild = text and mode == 0 and (not key.is_constant or (isinstance(key.constant, str) and V.has_wildcard(key.constant))) and key.kind in ("text", "mixed")
     lanes = source.select((F.lower(lane.v) if text else lane.v).alias("_lane"), (F.col("_row") - base).alias("_place"), *(x.v.alias(n) for n, x in zip(names, values, strict=True))).where("_lane is not null")
-    if mode == 0 and text and key.is_constant and V.has_wildcard(key.constant):
+    best = [F.min("_place").alias(at), *(F.min_by(n, "_place").alias(n) for n in names)]
+    if mode == 0 and wild and key.is_constant:
+        if r.shape == "anchored":
+            raise Unsupported("wildcards in a range from a fixed row to the row's own")
         hit = lanes.where(F.col("_lane").rlike("(?s)^(" + V.glob(key.constant.lower()) + ")$"))
-        one = hit.agg(F.min("_place").alias(at), *(F.min_by(n, "_place").alias(n) for n in names))
-        own.single_rows.append(one)
+        own.single_rows.append(hit.agg(*best))
     elif mode == 0:
-        first = lanes.groupBy("_lane").agg(F.min("_place").alias(at), *(F.min_by(n, "_place").alias(n) for n in names))
-        own.joins.append(lambda df: df.withColumn(ask, asked).join(first, F.col(ask) == F.col("_lane"), "left").drop("_lane"))
+        first = lanes.groupBy("_lane").agg(*best)
+
+        def equal(df: DataFrame) -> DataFrame:
+            df = df.withColumn(ask, asked)
+            plain = F.col(ask) == F.col("_lane")
+            df = df.join(first, plain & ~F.col(ask).rlike(r"[*?~]") if wild else plain, "left").drop("_lane")
+            if wild:  # distinct patterns against distinct texts
+                given = df.where(F.col(ask).rlike(r"[*?~]")).select(F.col(ask).alias("_ask")).distinct()
+                met = given.join(first.withColumnRenamed(at, "_place"), F.rlike(F.col("_lane"), pattern_of(F.col("_ask"))))
+                met = met.groupBy("_ask").agg(F.min("_place").alias("_p"), *(F.min_by(n, "_place").alias(f"{n}_w") for n in names))
+                df = df.join(met, F.col(ask) == F.col("_ask"), "left")
+                df = df.withColumns({at: F.coalesce(at, "_p")} | {n: F.coalesce(n, f"{n}_w") for n in names}).drop("_ask", "_p", *(f"{n}_w" for n in names))
+            if r.shape == "anchored":
+                df = df.withColumn(at, F.when(F.col(at) <= F.col("_row") + r.bottom, F.col(at)))
+            return df
+
+        own.joins.append(equal)
     elif mode < 0:
         if not key.is_constant:
             raise Unsupported("MATCH with -1 and a key that differs by row")
@@ -777,6 +952,62 @@ def located(own: Compiler, key: Cell, r: Range, mode: int, values: list[Cell]) -
     return [Cell(x.kind, F.col(n), faults, True) for n, x in zip(names, values, strict=True)], Cell("num", F.col(at).cast("double"), faults), faults
 
 
+def in_window(own: Compiler, key: Cell, r: Range, mode: int, columns: list[int]) -> tuple[list[Cell], Cell, Column | None]:
+    """A lookup in the cells that the row sees."""
+    seen, key = own.seen(r, r.first, *columns), own.staged(key)
+    fits = lambda x: equal_to(own.element(r, r.first, x), key) if mode == 0 else ordered_by(own.element(r, r.first, x), key, mode > 0)
+    if mode < 0:
+        start = F.coalesce(F.get(F.filter(seen, fits), F.lit(0))["row"], F.lit(1 << 60))
+        after = F.filter(seen, lambda x: (x["row"] > start) & ~fits(x))
+        end = F.coalesce(F.get(after, F.lit(0))["row"], F.lit(1 << 61))
+        hits = F.filter(seen, lambda x: (x["row"] >= start) & (x["row"] < end))
+    else:
+        hits = F.filter(seen, fits)
+    name = own.name("hit")
+    pick = F.get(hits, F.lit(0)) if mode == 0 else F.get(F.reverse(hits), F.lit(0))
+    own.joins.append(lambda df: df.withColumn(name, pick))
+    hit = F.col(name)
+    faults = C.first_fault(key.e, C.when_fault(hit.isNull(), NA))
+    place = (hit["row"] - F.col("_row") - r.top + 1).cast("double")
+    return [Cell(x.kind, x.v, faults, True) for x in (own.element(r, i, hit) for i in columns)], Cell("num", place, faults), faults
+
+
+def line(own: Compiler, r: Range, down: int) -> list[Cell]:
+    """The cells of one row of a range, so many rows below its first."""
+    if r.shape == "anchored":
+        raise Unsupported("a row of a range from a fixed row to the row's own")
+    if r.shape == "window":
+        return own.cells_of(Range(r.sheet, r.first, r.last, r.top + down, r.top + down, "window"))
+    out, columns = [], []
+    for i in r.columns():
+        x, name = own.column(r, i), own.name("h")
+        columns.append(F.max(x.v).alias(name))
+        out.append(Cell(x.kind, F.col(name), None, True))
+    own.single_rows.append(own.book.sheets[r.sheet].placed().where(F.col("_row") == (r.top or 1) + down).agg(*columns))
+    return out
+
+
+def along(heads: list[Cell], key: Cell, mode: int) -> list[Column]:
+    """Which of the cells a lookup along a row takes, if any: one at most is true."""
+    fits = [equal_to(x, key) if mode == 0 else ordered_by(x, key, mode > 0) for x in heads]
+    out, before = [], F.lit(False)
+    if mode > 0:
+        for hit in reversed(fits):
+            out.append(hit & ~before)
+            before = before | hit
+        return out[::-1]
+    if mode == 0:
+        for hit in fits:
+            out.append(hit & ~before)
+            before = before | hit
+        return out
+    for i, hit in enumerate(fits):  # the end of the first run
+        run = hit & ~before
+        out.append(run & ~fits[i + 1] if i + 1 < len(fits) else run)
+        before = before | out[-1]
+    return out
+
+
 def first_run_end(lanes: DataFrame, key: Column, name: str) -> DataFrame:
     """One row: the last place of the first run of lanes that aren't below the key; null if there is none."""
     fits = F.coalesce(F.col("_lane") >= key, F.lit(False))
@@ -785,86 +1016,135 @@ def first_run_end(lanes: DataFrame, key: Column, name: str) -> DataFrame:
     return start.crossJoin(miss).select(F.when(F.col("_start").isNotNull(), F.coalesce(F.col("_miss") - 1, F.col("_end"))).alias(name))
 
 
+def is_near(own: Compiler, args: list) -> bool:
+    return len(args) < 4 or (args[3] is not None and bool(V.truth(own.known(args[3]))))
+
+
 def _hlookup(own: Compiler, args: list) -> Cell:
     """Along the first row of a table of few columns: its cells and those of the row asked for are one row of values."""
-    r, k = own.one_range(args[1]), V.number(own.book.scalar(args[2]))
+    r, k = own.one_range(args[1]), V.number(own.known(args[2]))
     for x in (r, k):
         if isinstance(x, Fault):
             return C.fault(x)
-    top = r.top or 1
     if k < 1:
         return C.fault(VALUE)
-    if r.bottom is not None and int(k) > r.bottom - top + 1:
+    if r.height is not None and int(k) > r.height:
         return C.fault(REF)
-    near = len(args) < 4 or (args[3] is not None and bool(V.truth(own.book.scalar(args[3]))))
-    heads, found, columns = [], [], []
-    for i in r.columns():
-        x = own.column(r, i)
-        for row, into in ((top, heads), (top + int(k) - 1, found)):
-            name = own.name("h")
-            columns.append(F.max(F.when(F.col("_row") == row, x.v)).alias(name))
-            into.append(Cell(x.kind, F.col(name), None, True))
-    own.single_rows.append(own.book.sheets[r.sheet].placed().where(F.col("_row").isin(top, top + int(k) - 1)).agg(*columns))
+    heads, (kind, found) = line(own, r, 0), C.together(line(own, r, int(k) - 1))
     key = own.staged(own.cell(args[0]))
-    kind, found = C.together(found)
-    hits = []
-    for head in heads:
-        asked, _ = normal_key(key, head.kind)
-        lane = F.lower(head.v) if head.kind == "text" else head.v
-        hits.append(F.coalesce(lane <= asked if near else lane == asked, F.lit(False)))
-    pairs = list(zip(hits, found, strict=True))
     out, some = F.lit(None), F.lit(False)
-    for hit, x in pairs if near else reversed(pairs):  # the last fit, or the first equal one
+    for hit, x in zip(along(heads, key, 1 if is_near(own, args) else 0), found, strict=True):
         out, some = F.when(hit, x.v).otherwise(out), some | hit
     return Cell(kind, out, C.first_fault(key.e, C.when_fault(~some, NA)), True)
 
 
 def _vlookup(own: Compiler, args: list) -> Cell:
-    r, k = own.one_range(args[1]), V.number(own.book.scalar(args[2]))
-    for x in (r, k):
-        if isinstance(x, Fault):
-            return C.fault(x)
-    near = len(args) < 4 or (args[3] is not None and bool(V.truth(own.book.scalar(args[3]))))
+    r = own.one_range(args[1])
+    if isinstance(r, Fault):
+        return C.fault(r)
+    mode, wide = 1 if is_near(own, args) else 0, r.last - r.first + 1
+    if own.reads_row(args[2]):  # the column differs by row
+        k = own.staged(C.as_number(own.cell(args[2])))
+        cells, _, faults = located(own, own.cell(args[0]), r, mode, [own.column(r, i) for i in r.columns()], list(r.columns()))
+        kind, cells = C.together(cells)
+        out = F.lit(None)
+        for i, x in enumerate(cells):
+            out = F.when(F.floor(k.v) == i + 1, x.v).otherwise(out)
+        return Cell(kind, out, C.first_fault(k.e, C.when_fault(k.v < 1, VALUE), C.when_fault(k.v >= wide + 1, REF), faults), True)
+    k = V.number(own.known(args[2]))
+    if isinstance(k, Fault):
+        return C.fault(k)
     if k < 1:
         return C.fault(VALUE)
-    if int(k) > r.last - r.first + 1:
+    if int(k) > wide:
         return C.fault(REF)
-    return located(own, own.cell(args[0]), r, 1 if near else 0, [own.column(r, r.first + int(k) - 1)])[0][0]
+    at = r.first + int(k) - 1
+    return located(own, own.cell(args[0]), r, mode, [own.column(r, at)], [at])[0][0]
+
+
+def match_mode(own: Compiler, args: list) -> int:
+    mode = V.number(own.known(args[2])) if len(args) > 2 else 1.0
+    return int((mode > 0) - (mode < 0))
 
 
 def _match(own: Compiler, args: list) -> Cell:
     r = own.one_range(args[1])
     if isinstance(r, Fault):
         return C.fault(r)
-    mode = V.number(own.book.scalar(args[2]) if args[2] is not None else None) if len(args) > 2 else 1.0
-    return located(own, own.cell(args[0]), r, int((mode > 0) - (mode < 0)), [])[1]
+    mode = match_mode(own, args)
+    if r.first == r.last:
+        return located(own, own.cell(args[0]), r, mode, [], [])[1]
+    if r.height != 1:
+        return C.fault(NA)
+    heads, key = line(own, r, 0), own.staged(own.cell(args[0]))
+    out = F.lit(None).cast("double")
+    for i, hit in enumerate(along(heads, key, mode)):
+        out = F.when(hit, float(i + 1)).otherwise(out)
+    return Cell("num", out, C.first_fault(key.e, C.when_fault(out.isNull(), NA)))
 
 
 def _index(own: Compiler, args: list) -> Cell:
+    if len(args) not in (2, 3):
+        return C.fault(VALUE)
+    if not any(own.reads_row(a) for a in args[1:]):
+        found = own.indexed(args)
+        return C.fault(found) if isinstance(found, Fault) else own.of_range(found[0])
     r = own.one_range(args[0])
     if isinstance(r, Fault):
         return C.fault(r)
     inner = args[1]
     while isinstance(inner, S.Paren):
         inner = inner.of
-    col = int(V.number(own.book.scalar(args[2]))) if len(args) > 2 and args[2] is not None else 1
-    if not 1 <= col <= r.last - r.first + 1:
+    if len(args) == 2 and r.height == 1:
+        return picked(line(own, r, 0), own.staged(C.as_number(own.cell(inner))))
+    if len(args) > 2 and own.reads_row(args[2]):
+        raise Unsupported("INDEX with a column that differs by row")
+    col = int(V.number(own.known(args[2]))) if len(args) > 2 and args[2] is not None else 0
+    if col < 0:
+        return C.fault(VALUE)
+    if col > r.last - r.first + 1:
         return C.fault(REF)
-    value = own.column(r, r.first + col - 1)
-    if isinstance(inner, S.Call) and S.plain_name(inner.name) == "MATCH":
+    if col == 0 and r.first != r.last:
+        raise Unsupported("INDEX of a whole row of a table where the row differs")
+    column = r.first + max(col, 1) - 1
+    value = own.column(r, column)
+    if isinstance(inner, S.Call) and S.plain_name(inner.name) == "MATCH" and len(inner.args) in (2, 3):
         lane = own.one_range(inner.args[1])
-        if isinstance(lane, Range) and lane.sheet == r.sheet and lane.rows == r.rows:
-            mode = V.number(own.book.scalar(inner.args[2]) if inner.args[2] is not None else None) if len(inner.args) > 2 else 1.0
-            return located(own, own.cell(inner.args[0]), lane, int((mode > 0) - (mode < 0)), [value])[0][0]
+        if isinstance(lane, Range) and lane.sheet == r.sheet and lane.rows == r.rows and lane.first == lane.last:
+            return located(own, own.cell(inner.args[0]), lane, match_mode(own, inner.args), [value], [column])[0][0]
     place, name, at = C.as_number(own.cell(args[1])), own.name("i"), own.name("at")
+    here = own.host is not None and r.sheet == own.host.name.upper()  # place 0 is the whole column: its cell in the own row
+    if r.shape == "anchored":
+        raise Unsupported("INDEX of a range from a fixed row to the row's own")
+    if r.shape == "window":
+        place = own.staged(place)
+        zero = F.floor(place.v) == 0
+        target = F.col("_row") + F.when(zero, 0).otherwise(r.top + F.floor(place.v) - 1)
+        hit = F.get(F.filter(own.seen(r, column), lambda x: x["row"] == target), F.lit(0))
+        missing = F.when(place.v < 0, VALUE.code).when(F.floor(place.v) > r.height, REF.code).when(zero & F.lit(not (here and r.top <= 0 <= r.bottom)), VALUE.code)
+        return Cell(value.kind, own.element(r, column, hit).v, C.first_fault(place.e, missing), True)
     source = own.book.sheets[r.sheet].placed()
     base = (r.top or 1) - 1
     if r.top is not None:
         source = source.where(F.col("_row").between(r.top, r.bottom))
     rows = source.select((F.col("_row") - base).alias(f"{at}_p"), value.v.alias(name), F.lit(True).alias(f"{at}_is"))
     own.joins.append(lambda df: df.withColumn(at, F.floor(place.v)).join(rows, F.col(at) == F.col(f"{at}_p"), "left").drop(f"{at}_p"))
-    missing = F.when(F.col(at) < 0, VALUE.code).when(F.col(f"{at}_is").isNull(), REF.code)
-    return Cell(value.kind, F.col(name), C.first_fault(place.e, missing), True)
+    zero = F.col(at) == 0
+    if here and r.top is not None:
+        own.needs_rows = True
+    outside = F.lit(not here) if r.top is None or not here else ~F.col("_row").between(r.top, r.bottom)
+    missing = F.when(F.col(at) < 0, VALUE.code).when(zero & outside, VALUE.code).when(~zero & F.col(f"{at}_is").isNull(), REF.code)
+    v = F.when(zero, own.host.cell(column).v).otherwise(F.col(name)) if here else F.col(name)
+    return Cell(value.kind, v, C.first_fault(place.e, missing), True)
+
+
+def picked(cells: list[Cell], place: Cell) -> Cell:
+    """One of a row's cells by its place."""
+    kind, cells = C.together(cells)
+    out = F.lit(None)
+    for i, x in enumerate(cells):
+        out = F.when(F.floor(place.v) == i + 1, x.v).otherwise(out)
+    return Cell(kind, out, C.first_fault(place.e, C.when_fault(place.v < 1, VALUE), C.when_fault(place.v >= len(cells) + 1, REF)), True)
 
 
 def _lookup(own: Compiler, args: list) -> Cell:
@@ -873,18 +1153,30 @@ def _lookup(own: Compiler, args: list) -> Cell:
     for x in (r, out):
         if isinstance(x, Fault):
             return C.fault(x)
-    value = own.column(out, out.first if len(args) > 2 else out.last)
-    return located(own, own.cell(args[0]), r, 1, [value])[0][0]
+    if r.height is not None and r.height < r.last - r.first + 1:  # along a row
+        heads, key = line(own, r, 0), own.staged(own.cell(args[0]))
+        if len(args) > 2 and (out.height != 1 or out.last - out.first != r.last - r.first):
+            raise Unsupported("LOOKUP along a row with results down a column")
+        kind, found = C.together(line(own, out, 0 if len(args) > 2 else r.height - 1))
+        v, some = F.lit(None), F.lit(False)
+        for hit, x in zip(along(heads, key, 1), found, strict=True):
+            v, some = F.when(hit, x.v).otherwise(v), some | hit
+        return Cell(kind, v, C.first_fault(key.e, C.when_fault(~some, NA)), True)
+    if (out.sheet, out.rows) != (r.sheet, r.rows):
+        raise Unsupported("LOOKUP with keys and results in different rows or sheets")
+    at = out.first if len(args) > 2 else out.last
+    return located(own, own.cell(args[0]), r, 1, [own.column(out, at)], [at])[0][0]
 
 
 AGGREGATES = {
-    "SUM": _sum, "PRODUCT": _product, "AVERAGE": _average, "COUNT": _count, "COUNTA": _counta, "COUNTBLANK": _countblank, "MIN": _extreme(F.min, F.least), "MAX": _extreme(F.max, F.greatest),
-    "MEDIAN": _stacked(F.median, NUM), "STDEV": _stacked(F.stddev_samp, DIV0), "STDEV.S": _stacked(F.stddev_samp, DIV0), "STDEVP": _stacked(F.stddev_pop, DIV0), "STDEV.P": _stacked(F.stddev_pop, DIV0),
-    "VAR": _stacked(F.var_samp, DIV0), "VAR.S": _stacked(F.var_samp, DIV0), "VARP": _stacked(F.var_pop, DIV0), "VAR.P": _stacked(F.var_pop, DIV0),
+    "SUM": _sum, "PRODUCT": _product, "AVERAGE": _average, "COUNT": _count, "COUNTA": _counta, "COUNTBLANK": _countblank, "MIN": _extreme(F.min, F.least, "min"), "MAX": _extreme(F.max, F.greatest, "max"),
+    "MEDIAN": _median, "STDEV": _stacked(F.stddev_samp, DIV0, deviation(True, True)), "STDEV.S": _stacked(F.stddev_samp, DIV0, deviation(True, True)), "STDEVP": _stacked(F.stddev_pop, DIV0, deviation(False, True)), "STDEV.P": _stacked(F.stddev_pop, DIV0, deviation(False, True)),
+    "VAR": _stacked(F.var_samp, DIV0, deviation(True, False)), "VAR.S": _stacked(F.var_samp, DIV0, deviation(True, False)), "VARP": _stacked(F.var_pop, DIV0, deviation(False, False)), "VAR.P": _stacked(F.var_pop, DIV0, deviation(False, False)),
     "LARGE": _kth(True), "SMALL": _kth(False), "RANK": _rank, "RANK.EQ": _rank, "SUBTOTAL": _subtotal, "SUMPRODUCT": _sumproduct,
-    "COUNTIF": lambda own, a: _ifs(own, None, a[:2], "count"), "COUNTIFS": lambda own, a: _ifs(own, None, a, "count"),
-    "SUMIF": _if_one("sum"), "AVERAGEIF": _if_one("mean"), "SUMIFS": _if_many("sum"), "AVERAGEIFS": _if_many("mean"),
     "VLOOKUP": _vlookup, "HLOOKUP": _hlookup, "MATCH": _match, "INDEX": _index, "LOOKUP": _lookup,
 }
 
-from gridloom.plans.scalars import SCALARS  # noqa: E402  they use the compiler's cells
+from gridloom.plans.criteria import CRITERIA  # noqa: E402  they use the compiler's cells
+from gridloom.plans.scalars import SCALARS  # noqa: E402
+
+AGGREGATES |= CRITERIA

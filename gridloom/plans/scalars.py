@@ -46,7 +46,7 @@ def fixed(own, node, otherwise: float) -> float | Fault:
     if node is None:
         return otherwise
     x = own.cell(node)
-    return V.number(x.constant if x.is_constant else own.book.scalar(node))
+    return V.number(x.constant if x.is_constant else own.known(node))
 
 
 def text(v: Column, *faults: Column | None) -> Cell:
@@ -240,12 +240,12 @@ def _row(own, args):
         r = own.ranges(args[0])
         if not isinstance(r, list):
             return C.fault(r or VALUE)
-        if r[0].top is not None and not (own.host is not None and isinstance(args[0], S.Ref) and not args[0].row.absolute and args[0].sheet is None):
-            return C.constant(float(r[0].top))
-        if r[0].top is None:
-            return C.constant(1.0)
+        if r[0].top is None or r[0].shape == "fixed":
+            return C.constant(float(r[0].top or 1))
         own.needs_rows = True
-        return Cell("num", F.col("_row").cast("double") + float(r[0].top - own.row))
+        if r[0].shape == "anchored":
+            return Cell("num", F.least(F.col("_row") + r[0].bottom, F.lit(r[0].top)).cast("double"))
+        return Cell("num", F.col("_row").cast("double") + float(r[0].top))
     if own.host is None:
         return C.constant(1.0)
     own.needs_rows = True
@@ -269,8 +269,11 @@ def _rows(own, args):
     r = own.one_range(args[0])
     if isinstance(r, Fault):
         return C.fault(r)
+    if r.shape == "anchored":
+        own.needs_rows = True
+        return Cell("num", F.abs(F.col("_row") + r.bottom - r.top).cast("double") + 1.0)
     if r.top is not None:
-        return C.constant(float(r.bottom - r.top + 1))
+        return C.constant(float(r.height))
     return Cell("num", own.total(r, F.count("*").cast("double")))
 
 
@@ -349,7 +352,7 @@ def _concat(own, args):
 @scalar("TEXTJOIN", least=3)
 def _textjoin(own, args):
     between = C.as_text(own.cell(args[0]))
-    skip = True if args[1] is None else bool(V.truth(own.book.scalar(args[1])))
+    skip = True if args[1] is None else bool(V.truth(own.known(args[1])))
     parts = own.parts(args[2:])
     if isinstance(parts, Fault):
         return C.fault(parts)
@@ -564,7 +567,7 @@ SCALARS |= {n: (1, 2, _step(False)) for n in ("FLOOR", "FLOOR.MATH")} | {n: (1,
 @scalar("NORMDIST", "NORM.DIST", least=4, most=4)
 def _normdist(own, args):
     x, m, s = numbers(own, args[:3])
-    below = bool(V.truth(own.book.scalar(args[3])))
+    below = bool(V.truth(own.known(args[3])))
     z = F.try_divide(x.v - m.v, s.v)
     v = C.normal_cdf(z) if below else F.try_divide(C.normal_pdf(z), s.v)
     return Cell("num", v, C.first_fault(x.e, m.e, s.e, C.when_fault(s.v <= 0, NUM)))
@@ -573,7 +576,7 @@ def _normdist(own, args):
 @scalar("NORM.S.DIST", least=1, most=2)
 def _norm_s_dist(own, args):
     (z,) = numbers(own, args[:1])
-    below = len(args) < 2 or bool(V.truth(own.book.scalar(args[1])))
+    below = len(args) < 2 or bool(V.truth(own.known(args[1])))
     return Cell("num", C.normal_cdf(z.v) if below else C.normal_pdf(z.v), z.e)
 
 

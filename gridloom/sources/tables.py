@@ -54,8 +54,9 @@ class Sheet:
         return {column_letters(i): c for i, c in enumerate(self.df.columns)}
 
 
-def bind(spark: SparkSession, sf_dir: str, name: str, key: list[str] | None = None, columns: list[str] | None = None, blanks: bool = False) -> Sheet:
-    """A parquet table as a sheet. blanks: whether nulls may occur; the tables here have none."""
+def bind(spark: SparkSession, sf_dir: str, name: str, key: list[str] | None = None, columns: list[str] | None = None, blanks: bool = True) -> Sheet:
+    """A parquet table as a sheet. Nulls are blank cells wherever the schema allows them; blanks=False promises that there
+    are none, which makes plans shorter."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*columns) if columns else df
     return Sheet(name, df, key or [df.columns[0]], blanks)
