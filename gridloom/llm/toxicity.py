@@ -9,11 +9,14 @@ Three things are learned, none of them from held-out rows:
 
 A word that shows signs of disguise (digits or marks among letters, letters three times or more in a row, letters set
 apart by spaces or marks) becomes a lattice: each character may stand for itself, for a letter it resembles, or for
-nothing, each at a cost. White space between neighbouring short fragments may be dropped at a cost too. Viterbi search
-takes the cheapest path under the character model. All other words have one path and stay as they are.
-
-Null and empty texts get the score of a text without lexicon words, as do all texts where no labelled row is there to learn
-from.
+nothing, each at a cost. Between letters that stand alone, white space is an arc of the lattice too: kept, or dropped at a
+cost; so is that between other neighbouring short fragments. Viterbi search takes the cheapest path under the character
+model, and all that was written stays in the restored text. Other words have one path and stay as they are. Lattices of
+over LONG steps are searched in stretches of so many, so that memory is bounded however long a text is.
+
+Null and empty texts get the score of a text without lexicon words: the share of label 1 among such labelled texts, with
+PRIOR for none seen. Without labelled rows that is every text's score. Ties between paths go to the one met first, between
+lexicon entries to the surest. Repeated rows are scored each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +40,10 @@ SURE, Z = 0.3, 4.2
 #: Letters of the beginnings that are tried.
 BEGINNINGS = range(3, 8)
 THRESHOLD = 0.3
-#: A text without lexicon words scores its share of label 1, but no more than this: nothing speaks against it.
-UNMARKED = 0.29
+#: What labelled texts without lexicon words count on top of those seen: label 1, and all.
+PRIOR = 0.5, 4.0
+#: Steps of a lattice that are searched at once.
+LONG = 512
 #: Words that a Python worker remembers.
 REMEMBERED = 500_000
 
@@ -113,6 +118,7 @@ class Channel:
         self.begins = {w[:n] for w in self.single for n in range(1, len(w) + 1)}
         self.heads: dict[str, set[str]] = {}
         self.runs: dict[str, list[tuple[int, int, str]]] = {}
+        self.apart: dict[str, str] = {}
         self.doubt = [math.log1p(-x) for x in self.sure]
 
     def match(self, word: str) -> int | None:
@@ -136,10 +142,18 @@ class Channel:
         return out
 
     def restore(self, word: str) -> str:
-        """The cheapest path through the word's lattice; states are the last two characters."""
+        """The cheapest reading of a word without white space."""
+        return self.path(self.lattice(word)).rstrip(" ")
+
+    def path(self, lattice: list[list[tuple[str, float]]]) -> str:
+        """The cheapest path through a lattice, in stretches of LONG steps."""
+        return "".join(self.stretch([*lattice[at : at + LONG], *([[(" ", 0.0)]] if at + LONG >= len(lattice) else [])]) for at in range(0, max(len(lattice), 1), LONG))
+
+    def stretch(self, lattice: list[list[tuple[str, float]]]) -> str:
+        """Viterbi search; states are the last two characters."""
         best = {(BORDER, BORDER): (0.0, None)}
         trail: list[dict] = []
-        for options in [*self.lattice(word), [(" ", 0.0)]]:
+        for options in lattice:
             new: dict = {}
             for (a, b), (cost, _) in best.items():
                 for text, price in options:
@@ -156,7 +170,7 @@ class Channel:
         for states in reversed(trail):
             at, text = states[at][1]
             out.append(text)
-        return "".join(reversed(out)).rstrip(" ")
+        return "".join(reversed(out))
 
     def disguised(self, word: str) -> bool:
         """Whether an edge-stripped lower-case word has another path than its own that is worth a search."""
@@ -183,12 +197,28 @@ class Channel:
         return re.sub(r"\S+", lambda m: self.plain(m[0]), text)
 
     def joined(self, spaced: str) -> str:
-        """Letters set apart by spaces: put together if the lexicon's words are in them, else as they were."""
-        run = fold("".join(spaced.split()).lower())
-        for tried in (run, self.restore(run)):
-            if own := sorted({w for w in self.stems if len(w) > 3 and w in tried}, key=tried.index):
-                return " ".join(own)
-        return spaced
+        """Letters set apart by white space: the cheapest reading of the lattice in which each gap may be kept or dropped. A
+        lexicon word that the reading holds within a word, or that the letters without gaps hold, stands alone in it."""
+        if (out := self.apart.get(spaced)) is not None:
+            return out
+        parts = [fold(c) for c in spaced.lower().split()]
+        lattice = []
+        for i, part in enumerate(parts):
+            lattice += [[("", DROPPED), (" ", 0.0)]] if i else []
+            lattice += self.lattice(part)
+        read, run = self.path(lattice).rstrip(" "), "".join(parts)
+        holds = lambda t: [w for w in self.stems if len(w) > 3 and w in t]
+        whole = [w for w in read.split() if self.match(w) is not None]
+        if not whole:
+            read = next((t for t in (read, run, self.restore(run)) if holds(t)), read)
+        for stem in sorted(holds(read), key=len, reverse=True):
+            read = re.sub(rf"(?<! )(?={re.escape(stem)})|(?<={re.escape(stem)})(?! )", " ", read) if stem not in whole else read
+        out = " ".join(read.split())
+        if len(self.apart) > REMEMBERED:
+            self.apart.clear()
+        if len(spaced) < 64:
+            self.apart[spaced] = out
+        return out
 
     def spelt(self, text: str) -> float:
         """What a text costs under the character model."""
@@ -363,9 +393,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train, most: int = MAX
     words = lexicon(rows)
     channel = Channel(trigram_costs(docs.where(train), list(words)), list(words), list(words.values()))
     rest = rows.select("y", *restored_words(rows, channel)).where("size(found) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
-    channel.base = (rest["y"] + 0.5) / (rest["n"] + 1)
     scratch.drop(rows)
-    return Channel(channel.cost, channel.words, channel.sure, min(channel.base, UNMARKED))
+    return Channel(channel.cost, channel.words, channel.sure, (rest["y"] + PRIOR[0]) / (rest["n"] + PRIOR[1]))
 
 
 def restored_words(rows: DataFrame, channel: Channel) -> list:

@@ -67,4 +67,4 @@ def test_stages_keep_columns(spark, docs, stage):
 def test_labels_without_rows(spark, docs):
     none = labels(spark).limit(0)
     assert {r["score"] for r in quality.classify(docs, none).collect()} == {0.5}
-    assert {round(r["score"], 6) for r in toxicity.classify(docs, none).collect()} == {toxicity.UNMARKED}
+    assert {round(r["score"], 6) for r in toxicity.classify(docs, none).collect()} == {toxicity.PRIOR[0] / toxicity.PRIOR[1]}

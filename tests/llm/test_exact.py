@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -60,11 +61,16 @@ def test_bpe_rows(spark, docs, word_library):
         assert found[doc_id]["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
+@lru_cache
+def byte_library(path):
+    return Tokenizer.from_file(path)
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_packing_ids_equal_the_library(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert packing.coder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids if "<|" in text else True
+    assert packing.coder(path)(text).tolist() == byte_library(path).encode(text, add_special_tokens=False).ids
 
 
 # --- packing
@@ -397,6 +403,45 @@ def test_spaces_within_words_are_dropped(channel, text):
     assert any(w in channel.text(text) for w in channel.words)
 
 
+def test_spaced_letters_are_all_restored(channel):
+    out = channel.text("hello y o u i d i o t f r i e n d bye").split()
+    assert out[0] == "hello" and out[-1] == "bye" and "idiot" in out and "".join(out) == "helloyouidiotfriendbye"
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(st.sampled_from("ab01.x"), min_size=1, max_size=6), st.integers(0, 5))
+def test_viterbi_finds_the_cheapest_path(text, seed):
+    import itertools
+
+    grid = np.random.default_rng(seed).uniform(0.1, 6, (28, 28, 28))
+    channel = toxicity.Channel(grid, ["ab"], [0.9])
+    lattice = channel.lattice(text)
+
+    def cost(path):
+        total, x, y = sum(p for _, p in path), toxicity.BORDER, toxicity.BORDER
+        for c in "".join(t for t, _ in path) + " ":
+            code = toxicity.BORDER if c == " " else toxicity._CODE.get(c, toxicity.OTHER)
+            total += grid[x][y][code]
+            x, y = y, code
+        return total
+
+    best = min(itertools.product(*lattice), key=cost)
+    found = channel.stretch([*lattice, [(" ", 0.0)]]).rstrip(" ")
+    own = [p for p in itertools.product(*lattice) if "".join(t for t, _ in p) == found]
+    assert np.isclose(min(map(cost, own)), cost(best))
+
+
+def test_long_runs_are_searched_in_bounded_stretches(channel):
+    import tracemalloc
+
+    for text in ("a*" * 1_000, "1a2b3c4d5e" * 3_000, "x y " * 5_000):
+        tracemalloc.start()
+        channel.found(text)
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()
+    assert channel.score(channel.found("a*" * 400 + " 1d10t " + "x1" * 3000)) > 0.3
+
+
 @pytest.mark.parametrize("text", ["the plain text", "call 555-0123 now", "a b c d e", "1234567", "", "v1.0 of x86_64", "mormon idioms"])
 def test_clean_text_stays(channel, text):
     assert channel.score(channel.found(text)) < 0.3
