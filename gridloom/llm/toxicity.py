@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -68,18 +69,19 @@ for _i, _c in enumerate(LETTERS):
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Marks that may open or close a run of fragments.
 OPENS, CLOSES = "([{<\"'“‘«", ".,;:!?)]}>\"'”’»"
+QUOTES = "\"'([{"
 _OPEN, _CLOSE = r"[(\[{<\"'“‘«*_]{0,3}", r"[.,;:!?)\]}>\"'”’»*_]{0,3}"
 SPACED = re.compile(rf"(?<!\S){_OPEN}\S(?:\s+\S){{2,}}{_CLOSE}(?!\S)")
 #: Fragments of at most four characters side by side.
 BROKEN = re.compile(rf"(?<!\S){_OPEN}\S{{1,4}}{_CLOSE}(?:\s+{_OPEN}\S{{1,4}}{_CLOSE})+(?!\S)")
 ODD = re.compile(r"[^a-z]|(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
+COMBINING = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "]")
 
 
 def fold(word: str) -> str:
     """Lower-case letters without accents."""
-    if word.isascii():
-        return word
-    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).lower()
+    return word if word.isascii() else COMBINING.sub("", unicodedata.normalize("NFKD", word)).lower()
 
 
 def single(word: str) -> str:
@@ -119,10 +121,16 @@ class Channel:
         self.heads: dict[str, set[str]] = {}
         self.runs: dict[str, list[tuple[int, int, str]]] = {}
         self.apart: dict[str, str] = {}
+        self.apart_for_good: set[tuple[str, str]] = set()
+        self.openings = {w[:3] for w in self.stems}
+        #: Two letters that no reading of an entry begins with, as letters are never dropped.
+        self.foreign = {a + b for a in LETTERS for b in LETTERS if a != b} - self.begins
         self.doubt = [math.log1p(-x) for x in self.sure]
 
     def match(self, word: str) -> int | None:
         """The surest entry that is this word or a beginning of it."""
+        if word[:3] not in self.openings:
+            return None
         found = [i for x in (word, *(word[:n] + "~" for n in BEGINNINGS if n <= len(word))) if (i := self.place.get(x)) is not None]
         return max(found, key=self.sure.__getitem__, default=None)
 
@@ -174,7 +182,11 @@ class Channel:
 
     def disguised(self, word: str) -> bool:
         """Whether an edge-stripped lower-case word has another path than its own that is worth a search."""
-        return len(word) >= 3 and any(c in _CODE for c in word) and (bool(ODD.search(word)) or single(word) in self.single)
+        if len(word) < 3:
+            return False
+        if ODD.search(word):
+            return any(c in _CODE for c in word)
+        return (single(word) if DOUBLED.search(word) else word) in self.single
 
     def plain(self, chunk: str) -> str:
         """What a run without spaces says: as it is if its bare word is in the lexicon, else restored if it looks
@@ -185,7 +197,7 @@ class Channel:
             return bare or chunk
         if (word := fold(bare)) != bare and word in self.place:
             return word
-        tries = [word, fold(low).rstrip(".,;:?\"')]}").lstrip("\"'([{")]
+        tries = [word, fold(low).rstrip(".,;:?\"')]}").lstrip(QUOTES)]
         found = [self.restore(x) for x in dict.fromkeys(tries) if self.disguised(x)]
         found = [x if self.match(x) is not None else self.single.get(single(x), x) for x in found]
         return next((x for x in found if self.match(x) is not None), found[0] if found else chunk)
@@ -236,7 +248,7 @@ class Channel:
         for c in fragment:
             new = set()
             for x in held:
-                if c in EDGES or c in SEPARATORS:
+                if c in EDGES or c in SEPARATORS or (c not in _CODE and c * 3 in fragment):
                     new.add(x)
                 for letter in c if c in _CODE else LOOKALIKES.get(c, ""):
                     y = x if x[-1:] == letter else x + letter
@@ -247,21 +259,28 @@ class Channel:
         return held | {""} if whole else held - {""}
 
     def pieces(self, run: str) -> list[tuple[int, int, str]]:
-        """Neighbouring fragments that are a lexicon word when the white space between them is dropped, where that is the
+        """Of a run in lower case: neighbouring fragments that are a lexicon word when the white space between them is dropped, where that is the
         cheaper path: first and last fragment, and the word. Marks only open the first fragment or close the last."""
         if (out := self.runs.get(run)) is not None:
             return out
-        parts, out = [fold(c) for c in run.lower().split()], []
-        for i, joined in enumerate(parts):
+        parts, out = fold(run).split(), []
+        if self.apart_for_good.issuperset(zip(parts, parts[1:], strict=False)):
+            return out
+        for i, joined in enumerate(parts[:-1]):
+            if (joined, parts[i + 1]) in self.apart_for_good:
+                continue
             if (held := self.heads.get(joined)) is None:
                 held = self.heads[joined] = self.readings({""}, joined)
             if not held:
+                self.apart_for_good.add((joined, parts[i + 1]))
                 continue
             for j in range(i + 1, len(parts)):
                 if (len(parts[j - 1]) > 1 and parts[j - 1][-1] in CLOSES) or (len(parts[j]) > 1 and parts[j][0] in OPENS):
                     break
                 joined += parts[j]
                 if not (held := self.readings(held, parts[j])):
+                    if j == i + 1:
+                        self.apart_for_good.add((parts[i], parts[j]))
                     break
                 if "" not in held:
                     continue
@@ -273,8 +292,9 @@ class Channel:
                 if max(map(len, own)) == 1 or self.spelt(word) + price < self.spelt(" ".join(own).strip(EDGES)):
                     out.append((i, j, word))
                     break
-            if len(self.heads) > REMEMBERED:
+            if len(self.heads) + len(self.apart_for_good) > REMEMBERED:
                 self.heads.clear()
+                self.apart_for_good.clear()
         if len(self.runs) > REMEMBERED:
             self.runs.clear()
         if len(run) < 64:
@@ -284,7 +304,7 @@ class Channel:
     def mended(self, run: str) -> str:
         """The run with its broken words put together, the first of those that overlap."""
         chunks, at = re.split(r"(\s+)", run), -1
-        for i, j, word in self.pieces(run):
+        for i, j, word in self.pieces(run.lower()):
             if i > at:
                 chunks[2 * i : 2 * j + 1] = [word] + [""] * (2 * (j - i))
                 at = j
@@ -298,10 +318,13 @@ class Channel:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         for chunk in new:
-            if chunk not in self.hit and (i := self.match(self.plain(chunk))) is not None:
+            if chunk.lstrip(QUOTES)[:2] in self.foreign:
+                continue
+            bare = chunk.strip(EDGES)
+            if chunk not in self.hit and (i := self.hit_of(chunk, bare)) is not None:
                 self.hit[chunk] = i
         self.known |= {c for c in new if len(c) < 64}
-        out = {self.hit[c] for c in chunks if c in self.hit}
+        out = {self.hit[c] for c in chunks & self.hit.keys()}
         for m in SPACED.finditer(low):
             if len(m[0]) // 2 + 1 >= self.shortest:
                 out |= {i for w in self.joined(m[0]).split() if (i := self.match(w)) is not None}
@@ -309,6 +332,22 @@ class Channel:
             out |= {self.match(w) for _, _, w in self.pieces(m[0])}
         return out
 
+    def hit_of(self, chunk: str, bare: str) -> int | None:
+        """The entry that ``plain`` makes of a chunk in lower case. What can't be read as an entry isn't searched."""
+        if not bare or (found := self.match(bare)) is not None:
+            return found if bare else None
+        word = fold(bare)
+        if word != bare and word in self.place:
+            return self.match(word)
+        for x in dict.fromkeys([word, fold(chunk).rstrip(".,;:?\"')]}").lstrip(QUOTES)]):
+            if self.disguised(x) and "" in self.readings({""}, x):
+                read = self.restore(x)
+                if (found := self.match(read)) is None:
+                    found = self.match(self.single.get(single(read), read))
+                if found is not None:
+                    return found
+        return None
+
     def score(self, found: set[int]) -> float:
         return 1 - (1 - self.base) * math.exp(sum(self.doubt[i] for i in found))
 
