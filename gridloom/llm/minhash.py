@@ -150,7 +150,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a digest of the text's words), bands: a hash for each of BANDS bands of the signature."""
+    """doc_id, key (a digest of the text's words), bands (a hash for each of BANDS bands of the signature), places (a byte of
+    each of the signature's places)."""
     rows = PERMUTATIONS // BANDS
 
     def step(batches):
@@ -162,22 +163,23 @@ def banded(docs: DataFrame) -> DataFrame:
                     for j in range(rows):
                         bands = mix(bands * np.uint64(0x2127599BF4325C37) ^ signature[:, j::rows])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-                yield batch_of(doc_id=part.column("doc_id"), key=pa.array(keys(part.column("text"))), bands=flat)
+                places = pa.array([x.tobytes() for x in signature.astype(np.uint8)], pa.binary())
+                yield batch_of(doc_id=part.column("doc_id"), key=pa.array(keys(part.column("text")), pa.binary()), bands=flat, places=places)
 
-    return map_arrow(texts(docs), step, "doc_id long, key string, bands array<long>")
+    return map_arrow(texts(docs), step, "doc_id long, key binary, bands array<long>, places binary")
 
 
-def keys(column: pa.Array) -> list[str]:
+def keys(column: pa.Array) -> list[bytes]:
     """Equal for texts of equal words."""
     data, offsets = utf8(column)
     data = lower(data)
     starts, ends, first = spans(data, offsets)
     own = data.tobytes()
-    return [hashlib.sha256(b" ".join([own[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)])).hexdigest()[:32] for i, j in zip(first[:-1], first[1:], strict=True)]
+    return [hashlib.sha256(b" ".join([own[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)])).digest()[:16] for i, j in zip(first[:-1], first[1:], strict=True)]
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """key and the distinct shingles of its text."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and the distinct shingles of the texts whose rows, by id and key, are wanted: one row for each key."""
 
     def step(batches):
         for batch in batches:
@@ -186,14 +188,33 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 data = lower(data)
                 starts, ends, first = spans(data, offsets)
                 own, at = shingles(hashes(data, starts, ends), first, WORDS)
-                yield batch_of(key=pa.array(keys(part.column("text"))), shingles=pa.array([np.unique(own[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+                yield batch_of(key=pa.array(keys(part.column("text")), pa.binary()), shingles=pa.array([np.unique(own[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
 
-    return map_arrow(texts(docs), step, "key string, shingles binary")
+    found = map_arrow(texts(docs), step, "key binary, shingles binary")
+    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def forest(names: list[str], sets: list[np.ndarray], least: float) -> list[tuple[str, str]]:
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles, each ascending, have this Jaccard similarity at least; two empty sets do."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (len(a) + len(b) - common)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of keys whose shingle sets are as similar as that."""
+
+    def step(batches):
+        for batch in batches:
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), step, "a binary, b binary")
+
+
+def forest(names: list[bytes], sets: list[np.ndarray], own: list, least: float) -> list[tuple[bytes, bytes]]:
     """Links of Jaccard similarity ``least`` or more that join what such links join, breadth-first: what has been reached
-    isn't compared again."""
+    isn't compared again, and what is of one component (``own``) from the start isn't either."""
     left, out = list(range(len(names))), []
     while left:
         todo, left = [left[0]], left[1:]
@@ -202,58 +223,95 @@ def forest(names: list[str], sets: list[np.ndarray], least: float) -> list[tuple
             size = np.array([len(sets[i]) for i in left])
             common = np.add.reduceat(np.r_[np.isin(np.concatenate([sets[i] for i in left]), sets[x], assume_unique=False), 0], np.cumsum(size) - size) * (size > 0)
             near = common >= least * (len(sets[x]) + size - common)
-            out += [(names[i], names[x]) for i, ok in zip(left, near, strict=True) if ok]
+            near |= np.array([own[i] == own[x] for i in left])
+            out += [(names[i], names[x]) for i, ok in zip(left, near, strict=True) if ok and own[i] != own[x]]
             todo += [i for i, ok in zip(left, near, strict=True) if ok]
             left = [i for i, ok in zip(left, near, strict=True) if not ok]
     return out
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, together: int = 4096) -> DataFrame:
+def across(places: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """Which rows have a signature that is like one of another component's: ``least`` less five deviations of its estimate."""
+    bound = least - 5 * np.sqrt(least * (1 - least) / PERMUTATIONS)
+    out = np.zeros(len(own), bool)
+    for i in range(0, len(own), 64):
+        alike = (places[i : i + 64, None, :] == places[None, :, :]).mean(axis=2) >= bound
+        out[i : i + 64] = (alike & (own[i : i + 64, None] != own[None, :])).any(axis=1)
+    return out
+
+
+def in_groups(rows: DataFrame, by: list[str], columns: list[str], one, schema: str) -> DataFrame:
+    """A function of each group's columns (as lists), whose groups are bounded; ``one`` gives a batch."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def step(batches):
+        at, held = None, [[] for _ in columns]
+        for batch in batches:
+            group = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            values = [batch.column(c).to_pylist() for c in columns]
+            for i, g in enumerate(group):
+                if at is not None and g != at:
+                    yield one(at, *held)
+                    held = [[] for _ in columns]
+                at = g
+                for h, v in zip(held, values, strict=True):
+                    h.append(v[i])
+        if at is not None:
+            yield one(at, *held)
+
+    return map_arrow(rows.select(*by, *columns).repartition(parts, *by).sortWithinPartitions(*by, "key"), step, schema)
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, together: int = 2048) -> DataFrame:
     """doc_id, component_id: the least id that links of similarity ``least`` or more reach, the row's own included.
 
     Signatures of BANDS bands propose: at similarity 0.8 a pair shares no band once in ten million times. Texts of equal
-    words are one from the start. Where over ``together`` different texts share a band they are dealt into blocks, and
-    each two blocks meet in a task of their own. The exact similarity of the shingle sets decides.
+    words are one from the start. First every text of a band is put to the band's least one; the exact similarity of their
+    shingle sets decides. Where that leaves a band's texts in several components, those whose signature is like one of
+    another component's are compared exactly, breadth-first, so no group is expanded into its pairs. Over ``together``
+    texts of one band are dealt into blocks, and each two blocks meet in a task of their own.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     own = scratch.keep(banded(docs))
-    distinct = scratch.keep(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    distinct = scratch.keep(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("places").alias("places")))
     members = distinct.select("key", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("head")).where("n > 1")
+    members = scratch.keep(members.join(shared, "band"))
+    pairs = scratch.keep(members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
+    sets = scratch.keep(shingle_sets(docs, members.select("key").distinct()))
+    stars = scratch.keep(verified(pairs, sets, least))
+    roots = scratch.keep(components(stars, scratch))
+    labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     blocks = F.ceil(F.col("n") / together).cast("int")
     dealt = (
-        members.join(shared, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
+        labelled.join(mixed, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .select("key", "root", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
-    sets = shingle_sets(docs).join(dealt.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.join(sets, "key").repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high", "key")
+    by = ["band", "low", "high"]
 
-    def verify(batches):
-        at, names, held = None, [], []
+    def like(group, names, own_roots, places):
+        label = np.unique(np.array([r.hex() for r in own_roots]), return_inverse=True)[1]
+        ok = across(np.frombuffer(b"".join(places), np.uint8).reshape(len(names), PERMUTATIONS), label, least)
+        keep = np.flatnonzero(ok)
+        return batch_of(
+            band=pa.array([group[0]] * len(keep), pa.int64()), low=pa.array([group[1]] * len(keep), pa.int32()), high=pa.array([group[2]] * len(keep), pa.int32()),
+            key=pa.array([names[i] for i in keep], pa.binary()), root=pa.array([own_roots[i] for i in keep], pa.binary()),
+        )
 
-        def out():
-            found = forest(names, held, least)
-            return batch_of(a=pa.array([a for a, _ in found], pa.string()), b=pa.array([b for _, b in found], pa.string()))
+    def meet(group, names, own_roots, held):
+        found = forest(names, [np.frombuffer(x, np.uint64) for x in held], own_roots, least)
+        return batch_of(a=pa.array([a for a, _ in found], pa.binary()), b=pa.array([b for _, b in found], pa.binary()))
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("band", "low", "high", "key", "shingles")]
-            for band, low, high, key, own_set in zip(*columns, strict=True):
-                if at is not None and at != (band, low, high):
-                    yield out()
-                    names, held = [], []
-                at = band, low, high
-                names.append(key)
-                held.append(np.frombuffer(own_set, np.uint64))
-        if names:
-            yield out()
-
-    edges = map_arrow(met, verify, "a string, b string")
-    roots = components(edges, scratch).join(distinct.select(F.col("key").alias("node"), "rep"), "node")
+    near = in_groups(dealt.join(distinct.select("key", "places"), "key"), by, ["key", "root", "places"], like, "band long, low int, high int, key binary, root binary")
+    more = in_groups(scratch.keep(near).join(sets, "key"), by, ["key", "root", "shingles"], meet, "a binary, b binary")
+    edges = stars.unionByName(more)
+    reps = distinct.select("key", "rep")
+    roots = components(edges, scratch).join(reps.withColumnRenamed("key", "node"), "node")
     named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("node").alias("key"), "component_id")
-    known = distinct.join(named, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    return own.join(known, "key").select("doc_id", "component_id")
+    known = reps.join(named, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    return own.select("doc_id", "key").join(known, "key").select("doc_id", "component_id")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -494,14 +494,15 @@ def cut(docs: DataFrame, whole_letters: bool = False, carried: list[str] | None
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with the rest of their texts and all their columns; n_chars, if there, counts what is left."""
+    """The documents with the rest of their texts and all their columns; n_chars, if there, counts what is left. Documents
+    of which nothing is left go; those that were empty before stay as they are."""
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = cut(docs, whole_letters=True, carried=carried)
     columns = {c: F.col(f"_carried_{i}") for i, c in enumerate(carried)}
     columns |= {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept")}
     if "n_chars" in carried:
         columns["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
-    return out.select(*(columns[c].alias(c) for c in docs.columns))
+    return out.where("kept <> '' or n_removed = 0").select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def results(own: Chunk, gone: np.ndarray, whole_letters: bool) -> pa.RecordBatch:

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, brown, licenses, media, minhash, packing, quality, simhash, suffix, toxicity
+from gridloom.llm import bpe, brown, dedup, licenses, media, minhash, packing, quality, simhash, suffix, toxicity
 from tests.llm.cases import SCHEMA, rows
 
 CLASHING = ["part", "head", "chunk", "f", "y", "score", "place", "train", "kept", "ids", "data", "rest", "n_bytes", "component_id", "stats", "notes", "length", "tag"]
@@ -57,7 +57,7 @@ def test_packing_edges(spark, docs):
 
 @pytest.mark.parametrize("stage", ["quality", "toxicity", "simhash", "suffix"])
 def test_stages_keep_columns(spark, docs, stage):
-    step = {"quality": lambda d: quality.keep_good(d, labels(spark)), "toxicity": lambda d: toxicity.drop_toxic(d, labels(spark)), "simhash": simhash.one_of_each, "suffix": suffix.without_repeats}[stage]
+    step = {"quality": lambda d: quality.keep_good(d, labels(spark)), "toxicity": lambda d: toxicity.drop_toxic(d, labels(spark)), "simhash": dedup.one_of_each, "suffix": suffix.without_repeats}[stage]
     out = step(docs)
     assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
     assert set(r["kept"] for r in out.collect()) == {"clash"}
