@@ -1,13 +1,20 @@
 """From raw documents to packed sequences: quality, toxicity, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Nulls and empty texts: a null text counts as empty; the classifiers score empty texts as they score any other, all empty
+texts are near copies of each other, passages leave them as they are, and packing gives them their closing id. Rows without
+an id are documents of their own, which training leaves out. Ties and repeated rows: classifiers treat equal texts alike;
+of rows that share an id or are near copies one stays, the least id's, then the least text's. An empty table gives no rows at
+every stage, and without labels no document is rejected as toxic and all are kept as good. Columns beyond those of documents
+pass through by name, whatever they are called. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import packing, quality, simhash, suffix, toxicity
+from gridloom.llm import dedup, packing, quality, suffix, toxicity
 from gridloom.llm.common import Scratch, table
 
 
@@ -22,12 +29,12 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies, by SimHash and by verified MinHash links: the one with the least id."""
+    return dedup.one_of_each(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's text without the passages that earlier documents hold."""
+    """Every document's text without the passages that earlier documents hold; documents of which nothing is left go."""
     return suffix.without_repeats(docs)
 
 
