@@ -179,7 +179,7 @@ def keys(column: pa.Array) -> list[bytes]:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key and the distinct shingles of the texts whose rows, by id and key, are wanted: one row for each key."""
+    """node and the distinct shingles of the texts that are wanted (key, node): one row for each node."""
 
     def step(batches):
         for batch in batches:
@@ -190,8 +190,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 own, at = shingles(hashes(data, starts, ends), first, WORDS)
                 yield batch_of(key=pa.array(keys(part.column("text")), pa.binary()), shingles=pa.array([np.unique(own[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
 
-    found = map_arrow(texts(docs), step, "key binary, shingles binary")
-    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    own = texts(docs)
+    own = own.join(wanted, "doc_id", "left_semi").unionByName(own.where("doc_id is null"))  # one text of each node, or few
+    found = map_arrow(own, step, "key binary, shingles binary")
+    return found.join(wanted, "key").select("node", "shingles").dropDuplicates(["node"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -208,11 +210,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), step, "a binary, b binary")
+    left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), step, "a long, b long")
 
 
-def forest(names: list[bytes], sets: list[np.ndarray], own: list, least: float) -> list[tuple[bytes, bytes]]:
+def forest(names: list[int], sets: list[np.ndarray], own: list, least: float) -> list[tuple[int, int]]:
     """Links of Jaccard similarity ``least`` or more that join what such links join, breadth-first: what has been reached
     isn't compared again, and what is of one component (``own``) from the start isn't either."""
     left, out = list(range(len(names))), []
@@ -259,58 +261,59 @@ def in_groups(rows: DataFrame, by: list[str], columns: list[str], one, schema: s
         if at is not None:
             yield one(at, *held)
 
-    return map_arrow(rows.select(*by, *columns).repartition(parts, *by).sortWithinPartitions(*by, "key"), step, schema)
+    return map_arrow(rows.select(*by, *columns).repartition(parts, *by).sortWithinPartitions(*by, "node"), step, schema)
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, together: int = 2048) -> DataFrame:
     """doc_id, component_id: the least id that links of similarity ``least`` or more reach, the row's own included.
 
     Signatures of BANDS bands propose: at similarity 0.8 a pair shares no band once in ten million times. Texts of equal
-    words are one from the start. First every text of a band is put to the band's least one; the exact similarity of their
-    shingle sets decides. Where that leaves a band's texts in several components, those whose signature is like one of
-    another component's are compared exactly, breadth-first, so no group is expanded into its pairs. Over ``together``
-    texts of one band are dealt into blocks, and each two blocks meet in a task of their own.
+    words are one from the start. First every text is put to the one that comes first in most of its bands; the exact
+    similarity of their shingle sets decides. Where that leaves a band's texts in several components, those whose signature
+    is like one of another component's are compared exactly, breadth-first, so no group is expanded into its pairs. Over
+    ``together`` texts of one band are dealt into blocks, and each two blocks meet in a task of their own.
     """
     scratch = Scratch(docs.sparkSession)
     own = scratch.keep(banded(docs))
-    distinct = scratch.keep(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("places").alias("places")))
-    members = distinct.select("key", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("head")).where("n > 1")
-    members = scratch.keep(members.join(shared, "band"))
-    pairs = scratch.keep(members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
-    sets = scratch.keep(shingle_sets(docs, members.select("key").distinct()))
+    first = own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("places").alias("places"))
+    distinct = scratch.keep(first.withColumn("node", F.monotonically_increasing_id()))  # written, so it stays
+    every = distinct.select("node", F.explode("bands").alias("band"))
+    shared = every.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
+    members = scratch.keep(every.join(shared, "band"))
+    often = members.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
+    pairs = scratch.keep(often.groupBy("node").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head")).select(F.col("head").alias("a"), F.col("node").alias("b")))
+    wanted = distinct.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"), "key", "node")
+    sets = scratch.keep(shingle_sets(docs, scratch.keep(wanted)))
     stars = scratch.keep(verified(pairs, sets, least))
     roots = scratch.keep(components(stars, scratch))
-    labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     blocks = F.ceil(F.col("n") / together).cast("int")
     dealt = (
-        labelled.join(mixed, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
+        labelled.join(mixed, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "root", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .select("node", "root", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
     by = ["band", "low", "high"]
 
-    def like(group, names, own_roots, places):
-        label = np.unique(np.array([r.hex() for r in own_roots]), return_inverse=True)[1]
-        ok = across(np.frombuffer(b"".join(places), np.uint8).reshape(len(names), PERMUTATIONS), label, least)
+    def like(group, nodes, own_roots, places):
+        ok = across(np.frombuffer(b"".join(places), np.uint8).reshape(len(nodes), PERMUTATIONS), np.array(own_roots), least)
         keep = np.flatnonzero(ok)
         return batch_of(
             band=pa.array([group[0]] * len(keep), pa.int64()), low=pa.array([group[1]] * len(keep), pa.int32()), high=pa.array([group[2]] * len(keep), pa.int32()),
-            key=pa.array([names[i] for i in keep], pa.binary()), root=pa.array([own_roots[i] for i in keep], pa.binary()),
+            node=pa.array(np.array(nodes)[keep], pa.int64()), root=pa.array(np.array(own_roots)[keep], pa.int64()),
         )
 
-    def meet(group, names, own_roots, held):
-        found = forest(names, [np.frombuffer(x, np.uint64) for x in held], own_roots, least)
-        return batch_of(a=pa.array([a for a, _ in found], pa.binary()), b=pa.array([b for _, b in found], pa.binary()))
-
-    near = in_groups(dealt.join(distinct.select("key", "places"), "key"), by, ["key", "root", "places"], like, "band long, low int, high int, key binary, root binary")
-    more = in_groups(scratch.keep(near).join(sets, "key"), by, ["key", "root", "shingles"], meet, "a binary, b binary")
-    edges = stars.unionByName(more)
-    reps = distinct.select("key", "rep")
-    roots = components(edges, scratch).join(reps.withColumnRenamed("key", "node"), "node")
-    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("node").alias("key"), "component_id")
-    known = reps.join(named, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    def meet(group, nodes, own_roots, held):
+        found = forest(nodes, [np.frombuffer(x, np.uint64) for x in held], own_roots, least)
+        return batch_of(a=pa.array([a for a, _ in found], pa.int64()), b=pa.array([b for _, b in found], pa.int64()))
+
+    near = in_groups(dealt.join(distinct.select("node", "places"), "node"), by, ["node", "root", "places"], like, "band long, low int, high int, node long, root long")
+    more = in_groups(scratch.keep(near).join(sets, "node"), by, ["node", "root", "shingles"], meet, "a long, b long")
+    reps = distinct.select("node", "rep")
+    roots = components(stars.unionByName(more), scratch).join(reps, "node")
+    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
+    known = distinct.select("key", "rep", "node").join(named, "node", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     return own.select("doc_id", "key").join(known, "key").select("doc_id", "component_id")
 
 

@@ -46,7 +46,7 @@ PRIOR = 0.5, 4.0
 #: Steps of a lattice that are searched at once.
 LONG = 512
 #: Words that a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 #: Letters that a character may stand for.
 LOOKALIKES = {
