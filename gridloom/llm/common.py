@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import ClassVar
@@ -32,8 +34,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share, as the cluster names it. Where none is named, a folder of this machine if
+    it is the whole cluster, as in tests; else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or f"{tempfile.gettempdir()}/gridloom-checkpoints"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -103,9 +109,27 @@ def fold_of(doc_id: str, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def give_back() -> None:
+    """Memory that earlier tasks of this Python worker have freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(step: Callable) -> Callable:
+    """A step that begins and ends with as little memory held as can be: workers are reused."""
+
+    def run(batches):
+        give_back()
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
 def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     prepare(df.sparkSession)
-    return df.mapInArrow(step, schema)
+    return df.mapInArrow(lean(step), schema)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -151,7 +175,7 @@ def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFra
                 yield part.filter(pa.array(keep(text), pa.bool_()))
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(step, docs.schema)
+    return docs.mapInArrow(lean(step), docs.schema)
 
 
 def batch_of(**columns) -> pa.RecordBatch:
