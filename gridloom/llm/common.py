@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows and bytes that cross from the JVM to Python at once; whole texts can be long.
-ARROW_ROWS, ARROW_BYTES = 4000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 4000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

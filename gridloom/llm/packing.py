@@ -4,8 +4,9 @@ A fixed number of bins is open. They are keyed by their free space in a bitset,
 shift and one lowest bit away. A piece that fits nowhere opens a bin; if all are in use, the fullest closes first.
 
 Documents longer than a sequence are cut into whole sequences, of which the first may be shorter; only what doesn't fill
-a sequence needs packing. Those pieces are dealt by hash to tasks of about PER_TASK pieces, each of which packs its own,
-the long ones first; so no task grows with the input.
+a sequence needs packing. Those pieces are dealt by hash to tasks of about PER_TASK pieces, so no task grows with the
+input. In a task they arrive in the order of that hash; WAITING of them are held at once, and go into the open bins the
+long ones first. So a task holds OPEN bins and WAITING pieces, however many pass through it.
 
 Null texts are empty: one piece that holds the closing id. Repeated ids are pieces of their own. An empty table gives no
 rows. The result is the same on each run, as tasks order their pieces.
@@ -27,8 +28,8 @@ from gridloom.llm.bpe import byte_letters
 from gridloom.llm.common import Scratch, batch_of, map_arrow, slices, table, texts
 
 SIZE, CLOSING = 1024, 2
-#: Bins that are open at once, and pieces that a task packs on average.
-OPEN, PER_TASK = 1 << 16, 1 << 17
+#: Bins that are open at once, pieces that wait for them, and pieces that a task packs on average.
+OPEN, WAITING, PER_TASK = 1 << 12, 1 << 12, 1 << 17
 #: Fixed value: how this vocabulary's library splits a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -120,18 +121,31 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING)
     return map_arrow(texts(docs), step, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def packed(rows: DataFrame, size: int = SIZE, most: int = OPEN, per_task: int = PER_TASK) -> DataFrame:
+def packed(rows: DataFrame, size: int = SIZE, most: int = OPEN, per_task: int = PER_TASK, waiting: int = WAITING) -> DataFrame:
     """The pieces with sequence_id and offset. ``rows`` must give the same rows each time, as a written table does."""
     short = rows.where(F.col("length") < size)
     parts = max(1, -(-short.count() // per_task))
-    dealt = short.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    arrival = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = short.repartition(parts, arrival).sortWithinPartitions(arrival, "doc_id", "piece", "length", "ids_crc32")
 
     def step(batches):
         bins, base = Bins(size, most), TaskContext.get().partitionId() << 40
+        held: list[pa.RecordBatch] = []
+
+        def put(own: pa.RecordBatch) -> pa.RecordBatch:
+            length, places = own.column("length").to_numpy(), np.empty((own.num_rows, 2), np.int64)
+            for i in np.argsort(-length, kind="stable"):
+                places[i] = bins.put(int(length[i]))
+            return pa.RecordBatch.from_arrays([*own.columns, pa.array(places[:, 0] + base), pa.array(places[:, 1])], names=[*own.schema.names, "sequence_id", "offset"])
+
         for batch in batches:
-            found = [bins.put(n) for n in batch.column("length").to_pylist()]
-            places = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places[:, 0] + base), pa.array(places[:, 1])], names=[*batch.schema.names, "sequence_id", "offset"])
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= waiting:
+                own = pa.concat_batches(held)
+                yield put(own.slice(0, waiting))
+                held = [own.slice(waiting)]
+        if sum(b.num_rows for b in held):
+            yield put(pa.concat_batches(held))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     whole = rows.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

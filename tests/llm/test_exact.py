@@ -101,6 +101,22 @@ def test_best_fit_with_room_for_all_bins(lengths):
             plain.append(n)
 
 
+def test_bounds_bind_and_waste_stays_small(spark, monkeypatch):
+    rng, most = random.Random(3), 0
+    own = [(i, 0, 0, min(1023, int(rng.lognormvariate(5, 1)) + 1), rng.getrandbits(32)) for i in range(30_000)]
+    out = packing.packed(spark.createDataFrame(own, "doc_id long, piece int, start long, length long, ids_crc32 long")).collect()
+    ends = Counter()
+    for r in out:
+        ends[r["sequence_id"]] += r["length"]
+    assert len(out) == len(own) and max(ends.values()) <= 1024 and len(ends) <= 1.02 * sum(x[3] for x in own) / 1024
+    bins = packing.Bins(1024, packing.OPEN)
+    for at in range(0, len(own), packing.WAITING):
+        for n in sorted((x[3] for x in own[at : at + packing.WAITING]), reverse=True):
+            bins.put(n)
+            most = max(most, bins.open)
+    assert most == packing.OPEN or most < len(ends)
+
+
 def test_fullest_bin_closes_first():
     bins = packing.Bins(10, 2)
     assert [bins.put(n) for n in (6, 8, 9)] == [(0, 0), (1, 0), (2, 0)]  # bin 1 closed
@@ -330,6 +346,63 @@ def test_transitions_sum_to_one(spark, docs):
         assert np.isclose(total, 1)
 
 
+def test_score_equals_the_model_by_hand(spark, docs):
+    import math
+    from collections import defaultdict
+
+    from gridloom.llm.common import Scratch, texts
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    train = texts(docs).where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    counts = brown.Counts(Scratch(spark).keep(brown.vocabulary(train, 3)), train.count())
+    of = brown.classes(Scratch(spark).keep(brown.coded(docs, counts, 5, 1)), counts)
+    assert (counts.symbol >= brown.SYMBOLS).sum() + brown.SYMBOLS == len(of) == len(counts.symbol_n)
+
+    def symbols(text):
+        h, shape, _ = brown.tokens(pa.array([text or ""]))
+        out = []
+        for x, s in zip(h, shape, strict=True):
+            at = np.flatnonzero(counts.head["h"] == x)
+            own = int(counts.symbol[at[0]]) if len(at) else brown.MOST_WORDS + int(s)
+            out.append((own, int(counts.head["n"][at[0]]) if len(at) else 0, int(s)))
+        return [*out, (brown.END, 0, 0)]
+
+    own = [(i, symbols(t)) for i, t, *_ in rows()]
+    grams = [defaultdict(float) for _ in range(3)]
+    start = brown.CLASSES
+    for i, s in own:
+        if i is not None and fold(i) != 1:
+            c = [start, start, *(int(of[x]) for x, _, _ in s)]
+            for a, b, d in zip(c, c[1:], c[2:], strict=False):
+                grams[0][d] += 1
+                grams[1][b, d] += 1
+                grams[2][a, b, d] += 1
+    total = sum(grams[0].values())
+
+    def step(a, b, d):
+        p = (grams[0][d] + 0.5) / (total + 0.5 * brown.CLASSES)
+        for table, before in ((grams[1], (b,)), (grams[2], (a, b))):
+            n = [table[(*before, x)] for x in range(brown.CLASSES)]
+            if sum(n):
+                p = (max(n[d] - brown.DISCOUNT, 0) + brown.DISCOUNT * sum(x > 0 for x in n) * p) / sum(n)
+        return p
+
+    class_n = defaultdict(float)
+    for x, c in enumerate(of):
+        class_n[int(c)] += counts.symbol_n[x]
+    want = []
+    for i, s in own:
+        c, out = [start, start, *(int(of[x]) for x, _, _ in s)], 0.0
+        for k, (x, n, shape) in enumerate(s):
+            out += math.log10(step(c[k], c[k + 1], c[k + 2]))
+            out += math.log10(counts.symbol_n[x] / class_n[int(of[x])] if counts.symbol_n[x] > 0 else 0.5 / max(class_n[int(of[x])], 1))
+            if brown.MOST_WORDS <= x < brown.END:
+                words_n, all_n = counts.shape_words[shape], counts.shape_n[shape]
+                out += math.log10((n - counts.discount if n else counts.discount * words_n) / all_n if all_n > 0 else 0.5)
+        want.append((str(i), round(out, 6)))
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in brown.score(docs).collect()) == sorted(want)
+
+
 def test_exchange_finds_two_languages():
     rng, n = np.random.default_rng(0), np.zeros((41, 41))
     n[:20, :20], n[20:40, 20:40] = rng.integers(5, 50, (20, 20)), rng.integers(5, 50, (20, 20))
