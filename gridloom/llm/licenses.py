@@ -6,10 +6,13 @@ the template's words is its coverage. A template is found where a stretch of the
 identify the licence are matched side by side.
 
 Every text is scanned whole. What can't reach the coverage is passed over by an exact bound: a stretch matches no more
-words than it and the template have in common. Stretches overlap by half, so that a licence isn't cut.
+words than it and the template have in common. Stretches are three times as long as the template and begin a template's
+length apart, so a licence that is spread over at most twice its words lies whole in one. A stretch that reaches the bound
+but not the coverage is tried again in narrower parts, where words are unique that aren't in the whole.
 
 Null and empty texts, and texts without a licence, have no license and coverage 0. Of equal coverages the longer template
-counts, then the one that comes first in the text.
+counts, then the one that comes first in the text, then the name. Repeated rows are scanned each; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -90,7 +93,7 @@ class Scanner:
         for name, text in templates.items():
             ids = [words.setdefault(w, len(words)) for c in text.lower().split() if (w := c.strip(EDGES))]
             self.templates.append((name, ids, Counter(ids), -(-len(ids) * least // 1)))
-        self.words = words
+        self.words, self.lengths = words, {name: len(ids) for name, ids, _, _ in self.templates}
         self.marks = [[[words.get(w, -1) for w in phrase.split()] for phrase in IDENTIFYING.get(name, ())] for name in templates]
         self.known: dict[str, int] = {}
         self.seen: set[str] = set()
@@ -124,25 +127,34 @@ class Scanner:
             best = self._best(ids, template, count, need, self.marks[k])
             if best:
                 found.append((name, *best))
-        return sorted(found, key=lambda x: (-x[1], -len(TEMPLATES.get(x[0], "")), x[2], x[0]))
+        return sorted(found, key=lambda x: (-x[1], -self.lengths[x[0]], x[2], x[0]))
 
     def _best(self, ids: list[int], template: list[int], count: Counter, need: float, marks: list[list[int]]):
         n = len(template)
-        wide = 2 * n + 8
         own = np.array([w in count for w in ids])
         sums = np.concatenate([[0], np.cumsum(own)])
         best = None
-        for start in range(0, max(1, len(ids) - n), n):
-            stop = min(len(ids), start + wide)
+
+        def tried(start: int, stop: int):
+            """What a stretch gives, None if it can't reach the coverage, False if it doesn't."""
             if sums[stop] - sums[start] < need:
-                continue
+                return None
             stretch = ids[start:stop]
             if sum((Counter(stretch) & count).values()) < need:
-                continue
+                return None
             pairs = align(stretch, template)
-            if len(pairs) >= need and all(beside(stretch, pairs, m) for m in marks):
-                got = (len(pairs) / n, start + pairs[0][0], start + pairs[-1][0])
-                if best is None or (-got[0], got[1]) < (-best[0], best[1]):
+            if len(pairs) < need or not all(beside(stretch, pairs, m) for m in marks):
+                return False
+            return len(pairs) / n, start + pairs[0][0], start + pairs[-1][0]
+
+        for start in range(0, max(1, len(ids) - n), n):
+            stop = min(len(ids), start + 3 * n)
+            found = [tried(start, stop)]
+            if found[0] is False:
+                narrow, step = n + n // 2 + 1, max(1, n // 4)
+                found = [tried(a, min(stop, a + narrow)) for a in range(start, max(start + 1, stop - n + 1), step)]
+            for got in found:
+                if got and (best is None or (-got[0], got[1]) < (-best[0], best[1])):
                     best = got
         return best
 

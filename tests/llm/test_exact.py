@@ -549,6 +549,35 @@ def test_short_notices_name_their_own_licence(text, name):
     assert found == ([name] if name else [])
 
 
+def test_a_spread_licence_is_found_wherever_it_begins():
+    scanner = licenses.Scanner(TEMPLATES, 0.8)
+    spread = " ".join(f"{w} filler{i}" for i, w in enumerate(TEMPLATES["MIT"].split()))
+    for offset in range(0, 400, 10):
+        found = scanner.scan(f"{words(offset, 5)} {spread} {words(30, 6)}")
+        assert [x[:2] for x in found if x[0] == "MIT"] == [("MIT", 1.0)] or not any(scanner.marks[list(TEMPLATES).index("MIT")]), offset
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(12, 40), st.integers(0, 60), st.integers(0, 60))
+def test_planted_templates_are_found_like_by_brute_force(seed, n, before, after):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(30)]
+    template = [rng.choice(vocabulary) for _ in range(n)]
+    scanner = licenses.Scanner({"t": " ".join(template)}, 0.8)
+    text = [rng.choice([*vocabulary, "x", "y"]) for _ in range(before)] + [w for i, w in enumerate(template) if i % 9] + [rng.choice([*vocabulary, "x"]) for _ in range(after)]
+    ids = [scanner.words.get(w, -1) for w in text]
+    every = {len(licenses.align(ids[a:b], scanner.templates[0][1])) for a in range(len(ids)) for b in range(a + 1, min(len(ids), a + 3 * n) + 1) if b - a >= 0.8 * n}
+    found = scanner.scan(" ".join(text))
+    assert not found or found[0][1] * n <= max(every) + 1e-9
+    if before + after == 0:
+        assert found and found[0][1] >= 0.8
+
+
+def test_ties_go_to_the_longer_custom_template():
+    scanner = licenses.Scanner({"a": "one two three four", "b": "one two three four five"}, 0.8)
+    assert [x[0] for x in scanner.scan("one two three four five")] == ["b", "a"]
+
+
 def test_templates_reach_to_the_end_of_the_licence():
     scanner = licenses.Scanner(TEMPLATES, 0.8)
     for name, end in {"BSD-2-Clause": "THIS SOFTWARE IS", "BSD-3-Clause": "THIS SOFTWARE IS", "Zlib": ", subject to", "Unlicense": "In jurisdictions"}.items():
