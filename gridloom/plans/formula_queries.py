@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.plans.compiler import Book
-from gridloom.sources.tables import bind
+from gridloom.sources.tables import Sheet, bind
 
 KEYS = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -203,12 +203,58 @@ rows("q_math_trig", "part", "p_partkey", "SELECT p_partkey, round(sin(p_size), 4
 rows("q_math_power", "part", "p_partkey", "SELECT p_partkey, round(pow(p_size, 1.5), 4) AS p, NULL::VARCHAR AS p_err, NULL::DOUBLE AS bad, '#NUM!' AS bad_err FROM part", p="POWER(E1,1.5)", bad="POWER(-E1,0.5)")
 rows("q_math_parts", "customer", "c_custkey", "SELECT c_custkey, trunc(c_acctbal) + 0.0 AS t, floor(c_acctbal) + 0.0 AS i, sign(c_acctbal)::DOUBLE AS s, abs(c_acctbal) AS a FROM customer", t="TRUNC(D1)", i="INT(D1)", s="SIGN(D1)", a="ABS(D1)")
 rows("q_norm", "part", "p_partkey", "SELECT p_partkey, round(exp(-power((p_size - 25) / 10.0::DOUBLE, 2) / 2) / sqrt(2 * pi()) / 10, 4) + 0.0 AS pdf, NULL::VARCHAR AS pdf_err, round(exp(-power(p_size / 25.0::DOUBLE, 2) / 2) / sqrt(2 * pi()), 4) + 0.0 AS z, NULL::VARCHAR AS z_err FROM part", pdf="NORM.DIST(E1,25,10,FALSE)", z="NORM.S.DIST(E1/25,FALSE)")
-rows("q_erf", "part", "p_partkey", "", cdf="NORM.DIST(E1,25,10,TRUE)", z="NORMSDIST(E1/25)", e="ERF(E1/50)", between="ERF(E1/100,E1/50)", c="ERFC(E1/50)")
+_ERF = "(SELECT sum(2 / sqrt(pi()) * (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * power({x}, 2 * k + 1) / (factorial(k::INTEGER)::DOUBLE * (2 * k + 1))) FROM range(31) s(k))"
+_ERF_OF = lambda x: _ERF.format(x=f"({x})::DOUBLE")  # noqa: E731  its power series
+rows("q_erf", "part", "p_partkey", f"SELECT p_partkey, round(0.5 * (1 + {_ERF_OF('(p_size - 25) / 10.0 / sqrt(2)')}), 4) + 0.0 AS cdf, NULL::VARCHAR AS cdf_err, round(0.5 * (1 + {_ERF_OF('p_size / 25.0 / sqrt(2)')}), 4) + 0.0 AS z, round({_ERF_OF('p_size / 50.0')}, 4) + 0.0 AS e, round({_ERF_OF('p_size / 50.0')} - {_ERF_OF('p_size / 100.0')}, 4) + 0.0 AS between, round(1 - {_ERF_OF('p_size / 50.0')}, 4) + 0.0 AS c FROM part", cdf="NORM.DIST(E1,25,10,TRUE)", z="NORMSDIST(E1/25)", e="ERF(E1/50)", between="ERF(E1/100,E1/50)", c="ERFC(E1/50)")
+
+rows("q_aliases", "part", "p_partkey", "SELECT p_partkey, (ceil(p_size / 4.0) * 4)::DOUBLE AS up, (floor(p_size / 4.0) * 4)::DOUBLE AS down, true AS yes, false AS no, round(exp(-power((p_size - 25) / 10.0::DOUBLE, 2) / 2) / sqrt(2 * pi()) / 10, 4) + 0.0 AS pdf FROM part", up="CEILING.MATH(E1,4)", down="FLOOR.MATH(E1,4)", yes="TRUE()", no="FALSE()", pdf="NORMDIST(E1,25,10,FALSE)")
+one("q_spread_aliases", f"SELECT {r('stddev_samp(o_totalprice)', 's')}, {r('stddev_pop(o_totalprice)', 'p')}, {r('var_samp(o_totalprice) / 1000000', 'v')}, {r('var_pop(o_totalprice) / 1000000', 'w')} FROM orders", s="STDEV.S(orders!D:D)", p="STDEVP(orders!D:D)", v="VAR(orders!D:D)/1000000", w="VAR.P(orders!D:D)/1000000")
+rows("q_unary", "customer", "c_custkey", "SELECT c_custkey, round(c_acctbal, 4) + 0.0 AS same, round(-c_acctbal, 4) + 0.0 AS minus, round(c_acctbal, 4) + 0.0 AS own, round(c_acctbal / 100, 4) + 0.0 AS share, c_mktsegment AS text FROM customer", same="+D1", minus="-D1", own="@D:D", share="D1%", text="+E1")
+one("q_array_functions", f"SELECT {r('sum(abs(c_acctbal))', 'a')}, {r('sum(floor(c_acctbal))', 'i')}, {r('sum(length(c_name))', 'l')}, {r('sum(sqrt(abs(c_acctbal)))', 'q')}, {r('sum(sign(c_acctbal))', 's')}, {r('sum(-c_acctbal)', 'm')}, {r('sum(CASE WHEN c_acctbal > (SELECT avg(c_acctbal) FROM customer) THEN c_acctbal ELSE 0 END)', 'above')} FROM customer", a="SUM(ABS(customer!D:D))", i="SUM(INT(customer!D:D))", l="SUM(LEN(customer!B:B))", q="SUM(SQRT(ABS(customer!D:D)))", s="SUM(SIGN(customer!D:D))", m="SUM(-customer!D:D)", above="SUM(IF(customer!D:D>AVERAGE(customer!D:D),customer!D:D,0))")
+
+# --- criteria, ranges and lookups that differ by row
+
+rows("q_countif_row_cmp", "customer", "c_custkey", "SELECT c_custkey, n - count(*) OVER (ORDER BY c_acctbal) + 0.0::DOUBLE AS above, count(*) OVER (ORDER BY c_acctbal)::DOUBLE AS upto FROM customer, (SELECT count(*) AS n FROM customer)", above='COUNTIF(D:D,">"&D1)', upto='COUNTIF(D:D,"<="&D1)')
+rows("q_sumif_row_cmp", "supplier", "s_suppkey", f"SELECT s_suppkey, {r('coalesce((SELECT sum(p_size) FROM part WHERE p_retailprice < s_acctbal), 0)', 'below')}, {r('(SELECT avg(p_size) FROM part WHERE p_retailprice >= s_acctbal)', 'mean')}, CASE WHEN s_acctbal > (SELECT max(p_retailprice) FROM part) THEN '#DIV/0!' END AS mean_err FROM supplier", below='SUMIF(part!F:F,"<"&D1,part!E:E)', mean='AVERAGEIF(part!F:F,">="&D1,part!E:E)')
+rows("q_countifs_row_two", "customer", "c_custkey", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 20)::DOUBLE AS n, (SELECT count(*) FROM supplier WHERE s_acctbal > c_acctbal AND s_acctbal < c_acctbal + 1000)::DOUBLE AS band FROM customer", n='COUNTIFS(orders!B:B,A1,orders!D:D,">"&D1*20)', band='COUNTIFS(supplier!D:D,">"&D1,supplier!D:D,"<"&D1+1000)')
+rows("q_countif_row_wild", "nation", "n_nationkey", "SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_name LIKE '%' || n_nationkey)::DOUBLE AS ends, (SELECT count(*) FROM supplier WHERE s_name LIKE '%' || n_nationkey || '_')::DOUBLE AS shape, (SELECT count(*) FROM part WHERE p_size <> n_nationkey)::DOUBLE AS other FROM nation", ends='COUNTIF(customer!B:B,"*"&A1)', shape='COUNTIF(supplier!B:B,"*"&A1&"?")', other='COUNTIF(part!E:E,"<>"&A1)')
+rows("q_countif_running", "orders", "o_orderkey", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::DOUBLE AS nth, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE), 4) + 0.0 AS paid, count(*) FILTER (WHERE o_totalprice > 200000) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::DOUBLE AS big FROM orders", nth="COUNTIF(B$1:B1,B1)", paid="SUMIF(B$1:B1,B1,D$1:D1)", big='COUNTIF(D$1:D1,">200000")')
+rows("q_running_extremes", "customer", "c_custkey", "SELECT c_custkey, max(c_acctbal) OVER w AS high, min(c_acctbal) OVER w AS low, round(avg(c_acctbal) OVER w, 4) + 0.0 AS mean, count(*) OVER w::DOUBLE AS n FROM customer WINDOW w AS (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)".replace("OVER w::DOUBLE", "OVER w + 0.0::DOUBLE"), high="MAX(D$1:D1)", low="MIN(D$1:D1)", mean="AVERAGE(D$1:D1)", n="COUNT(D$1:D1)")
+rows("q_windows", "customer", "c_custkey", "SELECT c_custkey, round(CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) OVER w AS DOUBLE), 4) + 0.0 AS week, max(c_acctbal) OVER w AS high, round(median(c_acctbal) OVER w, 4) + 0.0 AS mid, count(*) FILTER (WHERE c_acctbal > 0) OVER w + 0.0::DOUBLE AS positive, round(coalesce(sum(c_acctbal) FILTER (WHERE c_acctbal < 0) OVER w, 0), 4) + 0.0 AS owed FROM customer WINDOW w AS (ORDER BY c_custkey ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)", week="SUM(D1:D7)", high="MAX(D1:D7)", mid="MEDIAN(D1:D7)", positive='COUNTIF(D1:D7,">0")', owed='SUMIF(D1:D7,"<0")')
+rows("q_row_statistics", "lineitem", "l_orderkey l_linenumber l_partkey l_suppkey", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((list_sort([l_quantity, l_extendedprice, l_discount, l_tax])[2] + list_sort([l_quantity, l_extendedprice, l_discount, l_tax])[3]) / 2, 4) + 0.0 AS mid, round(list_stddev_samp([l_discount, l_tax]), 4) + 0.0 AS sd, list_reverse_sort([l_quantity, l_extendedprice, l_discount, l_tax])[2] AS second FROM lineitem", mid="MEDIAN(E1:H1)", sd="STDEV(G1:H1)", second="LARGE(E1:H1,2)")
+rows("q_vlookup_moving", "nation", "n_nationkey", "SELECT n_nationkey, lead(n_name) OVER (ORDER BY n_nationkey) AS next, CASE WHEN n_nationkey = 24 THEN '#N/A' END AS next_err, CASE WHEN n_nationkey < 23 THEN 3.0::DOUBLE END AS third, CASE WHEN n_nationkey >= 23 THEN '#N/A' END AS third_err FROM nation", next="VLOOKUP(A1+1,A1:C3,2,FALSE)", third="MATCH(A1+2,A1:A5,0)")
+rows("q_text_near", "nation", "n_nationkey", "SELECT n_nationkey, (SELECT max(r_regionkey) + 1 FROM region WHERE lower(r_name) <= lower(n_name))::DOUBLE AS place, CASE WHEN NOT EXISTS (SELECT 1 FROM region WHERE lower(r_name) <= lower(n_name)) THEN '#N/A' END AS place_err, (SELECT arg_max(r_regionkey, r_regionkey) FROM region WHERE lower(r_name) <= 'm')::DOUBLE AS m FROM nation", place="MATCH(B1,region!B:B,1)", m='LOOKUP("m",region!B:B,region!A:A)')
+rows("q_lookup_row_wild", "nation", "n_nationkey", "SELECT n_nationkey, (SELECT min(s_suppkey) FROM supplier WHERE s_name LIKE '%' || n_nationkey)::DOUBLE AS first, CASE WHEN NOT EXISTS (SELECT 1 FROM supplier WHERE s_name LIKE '%' || n_nationkey) THEN '#N/A' END AS first_err FROM nation", first='INDEX(supplier!A:A,MATCH("*"&A1,supplier!B:B,0))')
+one("q_hlookup_wild", "SELECT (SELECT n_name FROM nation WHERE n_nationkey = 4) AS name, NULL::VARCHAR AS name_err, (SELECT n_nationkey FROM nation WHERE n_nationkey = 3)::DOUBLE AS own, NULL::VARCHAR AS own_err, 2.0::DOUBLE AS place, NULL::VARCHAR AS place_err, '#N/A' AS miss_err, NULL::DOUBLE AS miss", name='HLOOKUP("NAT*",nation!A3:C6,3,FALSE)', own="N(HLOOKUP(2,nation!A3:C6,2,FALSE))", place='MATCH("?ation*",nation!A3:C3,0)', miss='HLOOKUP("x*",nation!A3:C6,2,FALSE)')
+one("q_index_reference", f"SELECT {r('sum(o_totalprice) FILTER (WHERE k BETWEEN 3 AND 10)', 'dynamic')}, {r('sum(o_totalprice)', 'whole')}, {r('sum(o_orderkey + o_custkey) FILTER (WHERE k = 5)', 'across')}, {r('max(o_totalprice) FILTER (WHERE k BETWEEN 2 AND 4)', 'both')} FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders)", dynamic="SUM(INDEX(orders!D:D,3):orders!D10)", whole="SUM(INDEX(orders!D:D,0))", across="SUM(INDEX(orders!A:B,5,0))", both="MAX(INDEX(orders!D:D,2):INDEX(orders!D:D,4))")
+one("q_whole_rows", f"SELECT {r('sum(n_nationkey + n_regionkey) FILTER (WHERE k BETWEEN 3 AND 9)', 'some')}, count(*) FILTER (WHERE k = 2) * 2 + 0.0::DOUBLE AS n FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation)", some="SUM(nation!3:9)", n="COUNT(nation!2:2)")
+
+
+# --- blanks
+
+
+def with_blanks(spark: SparkSession, sf_dir: str) -> Book:
+    """Customers whose negative balances and whose names at every third key are missing."""
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    own = own.select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("c_name"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return Book(spark, [Sheet("customer", own, ["c_custkey"])])
+
+
+def q_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas over columns with nulls: blank cells."""
+    own = {"more": "C1+1", "label": 'B1&"!"', "len": "LEN(B1)", "blank": "ISBLANK(C1)", "none": 'B1=""', "zero": "C1=0", "later": "COUNTBLANK(C$1:C1)", "seen": 'COUNTIF(B1:B3,"")'}
+    return tidy(with_blanks(spark, sf_dir).fill("customer", own, keep=["c_custkey"]).drop(*(f"{k}_err" for k in own)))
+
+
+BLANKS_SQL = """WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS b, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c FROM customer)
+SELECT c_custkey, round(coalesce(c, 0) + 1, 4) + 0.0 AS more, coalesce(b, '') || '!' AS label, length(coalesce(b, ''))::DOUBLE AS len, c IS NULL AS blank, b IS NULL AS none, coalesce(c, 0) = 0 AS zero,
+count(*) FILTER (WHERE c IS NULL) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) + 0.0::DOUBLE AS later,
+(count(*) FILTER (WHERE b IS NULL) OVER w + 3 - count(*) OVER w) + 0.0::DOUBLE AS seen FROM t WINDOW w AS (ORDER BY c_custkey ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q.run for name, q in QUERIES.items()}
+    return {name: q.run for name, q in QUERIES.items()} | {"q_blanks": q_blanks}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in QUERIES.items() if q.sql}
+    return {name: q.sql for name, q in QUERIES.items() if q.sql} | {"q_blanks": BLANKS_SQL}

@@ -6,10 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import random as R
+from gridloom.functions.values import Fault
 from gridloom.operators import census, dependencies, diff, gradients, lint, ordered, receipt, scenario
 from gridloom.plans.formula_queries import book as tables
 from gridloom.plans.formula_queries import tidy
@@ -17,7 +19,6 @@ from gridloom.plans.interp import Evaluator
 from gridloom.plans.syntax import as_cell, parse
 from gridloom.plans.workbook import Workbook
 from gridloom.sources import xlsx
-from gridloom.sources.samples import budget
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,41 +85,70 @@ def q_lint_majority(spark, sf_dir):
     return found.select("col", F.col("row").cast("int").alias("row"), "full", F.col("_majority").alias("majority"), F.col("_len").alias("len"))
 
 
-def sample_cells(spark: SparkSession) -> DataFrame:
-    files = spark.createDataFrame([("budget.xlsx", bytearray(xlsx.write(budget())))], "wb string, content binary")
-    return xlsx.read_binary(files)
+#: The parts of each brand as a file: sizes, names, and two copied formulas of which some slip, lose their reference or
+#: have a wrong stored value. The same in SQL: a row for each part, k its place in the file.
+_FILES = """WITH p AS (SELECT p_brand || '.xlsx' AS wb, p_size, p_name, row_number() OVER f AS k, count(*) OVER (PARTITION BY p_brand) AS n, lag(p_size) OVER f AS above FROM part WINDOW f AS (PARTITION BY p_brand ORDER BY p_partkey)),
+c AS (SELECT *, k = 4 AND n >= 8 AS slipped, p_size % 10 = 3 AS wrong, p_size = 13 AS lost FROM p),
+s AS (SELECT wb, k, 3 AS col, slipped AS odd FROM c UNION ALL SELECT wb, k, 4 AS col, lost AS odd FROM c), i AS (SELECT wb, col, odd, k - row_number() OVER (PARTITION BY wb, col, odd ORDER BY k) AS island FROM s),
+v AS (SELECT *, ((CASE WHEN slipped THEN above ELSE p_size END + 1) * 2 + wrong::INTEGER)::DOUBLE AS stored FROM c) """
 
 
-@query("SELECT 'budget.xlsx' AS wb, 'Budget' AS sheet_name, 97::BIGINT AS cells, 29::BIGINT AS formulas, 20::BIGINT AS texts")
+def brand_file(key, parts: pd.DataFrame) -> pd.DataFrame:
+    book = Workbook()
+    own = book.add("Parts")
+    own.values |= {(0, c): t for c, t in enumerate(("size", "name", "sum", "double"))}
+    parts = parts.sort_values("p_partkey")
+    sizes = [float(x) for x in parts["p_size"]]
+    for k, (size, name) in enumerate(zip(sizes, parts["p_name"], strict=True), 1):
+        from_ = k - 1 if k == 4 and len(sizes) >= 8 else k
+        own.values |= {(k, 0): size, (k, 1): name, (k, 2): (sizes[from_ - 1] + 1) * 2 + (size % 10 == 3), (k, 3): Fault("#REF!") if size == 13 else size * 2}
+        own.formulas |= {(k, 2): f"SUM(A{from_ + 1},1)*2", (k, 3): "#REF!*2" if size == 13 else f"A{k + 1}*2"}
+    return pd.DataFrame({"wb": [f"{key[0]}.xlsx"], "content": [xlsx.write(book)]})
+
+
+def file_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the brands' files, written and read."""
+    own = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", "p_name")
+    return xlsx.read_binary(own.groupBy("p_brand").applyInPandas(brand_file, "wb string, content binary"))
+
+
+@query(_FILES + "SELECT wb, 'Parts' AS sheet_name, 4 + 4 * count(*) AS cells, 2 * count(*) AS formulas, 4 + count(*) AS texts FROM c GROUP BY wb")
 def q_xlsx_scan(spark, sf_dir):
-    return sample_cells(spark).groupBy("wb", "sheet_name").agg(F.count("*").alias("cells"), F.count("formula").alias("formulas"), F.count_if(F.col("kind") == "t").alias("texts"))
+    return file_cells(spark, sf_dir).groupBy("wb", "sheet_name").agg(F.count("*").alias("cells"), F.count("formula").alias("formulas"), F.count_if(F.col("kind") == "t").alias("texts"))
 
 
-@query("SELECT * FROM (VALUES ('range-off-by-one', 'Budget', 'F9', 'SUM(B9:D9)'), ('inconsistent-region', 'Budget', 'G7', 'F8/$F$16')) t(detector, sheet, cell, formula)")
+@query(_FILES + """SELECT wb, 'inconsistent-region' AS detector, 'Parts' AS sheet, 'C5' AS cell, 'SUM(A4,1)*2' AS formula FROM c WHERE slipped
+UNION ALL SELECT wb, 'ref-error', 'Parts', 'D' || (k + 1), '#REF!*2' FROM c WHERE lost""")
 def q_lint_findings(spark, sf_dir):
-    return lint.findings(sample_cells(spark)).select("detector", "sheet", "cell", "formula")
+    return lint.findings(file_cells(spark, sf_dir)).select("wb", "detector", "sheet", "cell", "formula")
 
 
-@query("SELECT 'inconsistent-region' AS detector, 'G7' AS cell")
+@query(_FILES + "SELECT wb, 'ref-error' AS detector, 'D' || (k + 1) AS cell FROM c WHERE lost")
 def q_lint_baseline(spark, sf_dir):
-    known = spark.createDataFrame([("range-off-by-one|Budget|F9",)], "key string")
-    return lint.new_findings(lint.findings(sample_cells(spark)), known).select("detector", "cell")
+    known = spark.createDataFrame([("inconsistent-region|Parts|C5",)], "key string")
+    return lint.new_findings(lint.findings(file_cells(spark, sf_dir)), known).select("wb", "detector", "cell")
 
 
-@query()
+@query(_FILES + """SELECT wb, 'C5' AS cell, 'B5=' || max(p_name) FILTER (WHERE k = 4) || '; C4=' || max(stored) FILTER (WHERE k = 3) || '; C6=' || max(stored) FILTER (WHERE k = 5) || '; D5=' || CASE WHEN bool_or(lost) FILTER (WHERE k = 4) THEN '#REF!' ELSE (max(p_size) FILTER (WHERE k = 4) * 2)::DOUBLE::VARCHAR END AS around
+FROM v GROUP BY wb HAVING bool_or(slipped)""")
 def q_lint_audit(spark, sf_dir):
-    own = sample_cells(spark)
-    return lint.audit(lint.sampled(lint.findings(own)), own)
+    own = file_cells(spark, sf_dir)
+    found = lint.audit(lint.sampled(lint.findings(own)), own).where("detector = 'inconsistent-region'")
+    shown = F.transform("around", lambda x: F.concat(x["cell"], F.lit("="), F.coalesce(x["value"], F.lit(""))))
+    return found.select("wb", "cell", F.array_join(shown, "; ").alias("around"))
 
 
-@query("SELECT 'budget.xlsx' AS wb, 29::BIGINT AS cells, 7::BIGINT AS families, round(29 / 7.0, 4)::DOUBLE AS ratio")
+_ISLANDS = "(SELECT count(*) FROM (SELECT DISTINCT col, odd, island FROM i WHERE i.wb = c.wb))"
+
+
+@query(_FILES + f"SELECT wb, 2 * count(*) AS cells, any_value({_ISLANDS}) AS families, round(2 * count(*) / any_value({_ISLANDS})::DOUBLE, 4) AS ratio FROM c GROUP BY wb")
 def q_coarsening(spark, sf_dir):
-    return tidy(lint.coarsening(sample_cells(spark)))
+    return tidy(lint.coarsening(file_cells(spark, sf_dir)))
 
 
-@query("SELECT 'budget.xlsx' AS wb, 7::BIGINT AS families, 29::BIGINT AS lanes, 0::BIGINT AS differing")
+@query(_FILES + f"SELECT wb, any_value({_ISLANDS}) AS families, 2 * count(*) AS lanes, 0::BIGINT AS differing FROM c GROUP BY wb")
 def q_families_agree(spark, sf_dir):
-    return receipt.families_agree(sample_cells(spark)).groupBy("wb").agg(F.count("*").alias("families"), F.sum("lanes").alias("lanes"), F.sum("differing").alias("differing"))
+    return receipt.families_agree(file_cells(spark, sf_dir)).groupBy("wb").agg(F.count("*").alias("families"), F.sum("lanes").alias("lanes"), F.sum("differing").alias("differing"))
 
 
 _FORMULA = "CASE p_size % 4 WHEN 0 THEN 'SUM(A' || (p_partkey + 1) || ':B' || (p_partkey + 4) || ')' WHEN 1 THEN 'IF(C' || (p_partkey + 1) || '>0,MAX($A$1:$A$9),ROUND(B' || (p_partkey + 1) || ',2))' WHEN 2 THEN 'VLOOKUP(A' || (p_partkey + 1) || ',Sheet2!A:C,2,FALSE)' ELSE '_xlfn.XLOOKUP(A1,[1]X!B:B,\"IF(\"&C1)' END"
@@ -155,9 +185,9 @@ def q_parse_round_trip(spark, sf_dir):
     return own.agg(F.count("*").alias("formulas"), F.count_if("r.ok").alias("ok"))
 
 
-@query("""SELECT CASE p_size % 4 WHEN 0 THEN 'SUM(RC[-3]:R[3]C[-2])' WHEN 1 THEN 'IF(RC[-1]>0.0,MAX(R1C1:R9C1),ROUND(RC[-2],2.0))' WHEN 2 THEN 'VLOOKUP(RC[-3],SHEET2!R1C[-3]:R1048576C[-1],2.0,FALSE)' END AS full, count(*) AS n FROM part WHERE p_size % 4 < 3 GROUP BY 1""")
+@query("""SELECT CASE p_size % 4 WHEN 0 THEN 'SUM(RC[-3]:R[3]C[-2])' WHEN 1 THEN 'IF(RC[-1]>0.0,MAX(R1C1:R9C1),ROUND(RC[-2],2.0))' WHEN 2 THEN 'VLOOKUP(RC[-3],SHEET2!R1C[-3]:R1048576C[-1],2.0,FALSE)' ELSE replace('XLOOKUP(R[-#]C[-3],[1]X!R1C[-2]:R1048576C[-2],"IF("&R[-#]C[-1])', '[-#]', CASE WHEN p_partkey = 0 THEN '' ELSE '[-' || p_partkey || ']' END) END AS full, count(*) AS n FROM part GROUP BY 1""")
 def q_shapes(spark, sf_dir):
-    own = lint.shapes(formula_cells(spark, sf_dir)).where("full not like 'XLOOKUP%'")
+    own = lint.shapes(formula_cells(spark, sf_dir))
     return own.groupBy("full").agg(F.count("*").alias("n"))
 
 
@@ -174,7 +204,7 @@ FROM (SELECT l_linenumber, l_extendedprice * (1 - l_discount) AS x FROM lineitem
 def q_receipt_classify(spark, sf_dir):
     @F.pandas_udf("double")
     def above(x):
-        return x.map(lambda v: float(np.nextafter(v, 1e300)))
+        return pd.Series(np.nextafter(x.to_numpy(), 1e300))
 
     x, k = F.col("x"), F.col("l_linenumber") % 4
     own = table(spark, sf_dir, "lineitem").select("l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("x"))
@@ -182,14 +212,20 @@ def q_receipt_classify(spark, sf_dir):
     return own.groupBy(receipt.column_class(F.col("e"), x).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 29::BIGINT AS cells, 0::BIGINT AS no_cached, 29::BIGINT AS passed, 29::BIGINT AS verifiable, 1.0::DOUBLE AS pass_rate")
+@query(_FILES + "SELECT 2 * count(*) AS cells, 0::BIGINT AS no_cached, 2 * count(*) - count(*) FILTER (WHERE wrong) AS passed, count(*) FILTER (WHERE wrong) AS mismatch_numeric, 2 * count(*) AS verifiable, round(1 - count(*) FILTER (WHERE wrong) / (2 * count(*))::DOUBLE, 4) + 0.0 AS pass_rate FROM c")
 def q_receipt_workbook(spark, sf_dir):
-    return receipt.summary(receipt.report(sample_cells(spark))).select("cells", "no_cached", "passed", "verifiable", "pass_rate")
+    return tidy(receipt.summary(receipt.report(file_cells(spark, sf_dir))).select("cells", "no_cached", "passed", "mismatch_numeric", "verifiable", "pass_rate"))
 
 
-@query("SELECT 'SUM' AS function, 17::BIGINT AS passed, 17::BIGINT AS total, 1.0::DOUBLE AS rate")
+@query(_FILES + "SELECT 'SUM' AS function, count(*) - count(*) FILTER (WHERE wrong) AS passed, count(*) AS total, round(1 - count(*) FILTER (WHERE wrong) / count(*)::DOUBLE, 4) + 0.0 AS rate FROM c")
 def q_receipt_functions(spark, sf_dir):
-    return receipt.by_function(receipt.report(sample_cells(spark)))
+    return tidy(receipt.by_function(receipt.report(file_cells(spark, sf_dir))))
+
+
+@query(_FILES + "SELECT wb, 'C' || (k + 1) AS cell, stored::VARCHAR AS expected, (stored - 1)::VARCHAR AS got FROM v WHERE wrong")
+def q_receipt_failures(spark, sf_dir):
+    found = receipt.failures(receipt.report(file_cells(spark, sf_dir)), 1 << 30)
+    return found.select("wb", lint.cell_name(F.col("row"), F.col("col")).alias("cell"), "expected", "got")
 
 
 @query("SELECT vote, count(*) AS n FROM (SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'noise' WHEN l_linenumber % 3 = 1 THEN 'real' ELSE 'three-way' END AS vote FROM lineitem) GROUP BY 1")
