@@ -278,12 +278,18 @@ def glob(pattern: Column) -> Column:
 
 
 def rounded(x: Column, digits: Column | int) -> Column:
-    """Half away from zero on 15 significant digits; digits known beforehand."""
+    """Half away from zero on 15 significant digits; digits known beforehand. Only what is near a tie, or has many digits
+    before the place that is rounded, is written out."""
     d = int(digits)
     shown = F.format_string("%.14e", x).try_cast("decimal(38,18)")
     if -15 <= d <= 15:
         exact = F.round(shown, d).cast("double")
-        return F.when(shown.isNull() | (F.abs(x) >= 1e19), x).otherwise(exact)
+        scale = F.lit(10.0 ** abs(d))
+        n = F.abs(x) * scale if d >= 0 else F.abs(x) / scale
+        up = F.floor(n + 0.5).cast("double")
+        clear = (n < 1e8) & (F.abs(n - F.floor(n) - 0.5) > 1e-6)  # 15 digits of n reach further than that
+        quick = F.signum(x) * (up / scale if d >= 0 else up * scale)
+        return F.when(clear, quick).when(shown.isNull() | (F.abs(x) >= 1e19), x).otherwise(exact)
     return x if d > 0 else F.lit(0.0)
 
 

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridloom.operators import ordered
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder."""
-    spark: SparkSession = df.sparkSession
-    own = spark.sparkContext._jsc.sc()
-    if own.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name in the one that driver and executors share; where none is named, on this machine if it is the whole
+    cluster, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{named or tempfile.gettempdir()}/gridloom-reach-{uuid.uuid4().hex}"
 
 
 def readers(cells: DataFrame, rects: DataFrame) -> DataFrame:
     """cells (sheet, row, col) with n, how many rectangles (sheet, r0, c0, r1, c1) hold each. No cell meets a rectangle: in
-    each column the borders are summed up in the order of rows."""
+    each column the borders are summed up in the order of rows, which are dealt into ranges."""
     wide = rects.withColumn("col", F.explode(F.sequence("c0", "c1")))
-    steps = wide.select("sheet", "col", F.col("r0").cast("long").alias("row"), F.lit(1).alias("d")).unionByName(wide.select("sheet", "col", (F.col("r1") + 1).cast("long").alias("row"), F.lit(-1).alias("d")))
-    steps = steps.groupBy("sheet", "col", "row").agg(F.sum("d").alias("d")).withColumn("cell", F.lit(False))
-    asked = cells.select("sheet", "col", F.col("row").cast("long").alias("row"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("cell"))
-    order = Window.partitionBy("sheet", "col").orderBy("row", "cell").rowsBetween(Window.unboundedPreceding, 0)
-    summed = steps.unionByName(asked).withColumn("n", F.sum("d").over(order)).where("cell")
-    return summed.select("sheet", "row", "col", "n")
+    steps = wide.select("sheet", "col", F.col("r0").cast("long").alias("row"), F.lit(1).cast("long").alias("n")).unionByName(wide.select("sheet", "col", (F.col("r1") + 1).cast("long").alias("row"), F.lit(-1).cast("long").alias("n")))
+    steps = steps.groupBy("sheet", "col", "row").agg(F.sum("n").alias("n"))
+    asked = cells.select("sheet", "col", F.col("row").cast("long").alias("row"))
+    return ordered.asof(steps, asked, ["sheet", "col"], "row", {"n": "sum"}).select("sheet", "row", "col", "n")
 
 
 def auto_inputs(cells: DataFrame, rects: DataFrame, limit: int = 20) -> DataFrame:
@@ -32,15 +36,18 @@ def auto_inputs(cells: DataFrame, rects: DataFrame, limit: int = 20) -> DataFram
     return readers(cells, rects).where("n > 0").orderBy(F.desc("n"), "sheet", "row", "col").limit(limit)
 
 
-def reach(edges: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """node, level: everything that ``start`` (node) reaches along edges (src, dst), and in how many steps at least. Each
-    round is one join with the last round's new nodes."""
-    seen = _checkpointed(start.select("node").distinct().withColumn("level", F.lit(0)))
-    front = seen
-    for level in range(1, rounds):
-        found = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = _checkpointed(found.withColumn("level", F.lit(level)))
+    round is one join with the last round's new nodes, which are written once beside those of earlier rounds."""
+    spark, root = edges.sparkSession, shared_folder(edges.sparkSession)
+    node = start.select("node").schema
+    schema = T.StructType([*node.fields, T.StructField("level", T.IntegerType())])
+    front, level = start.select("node").distinct(), 0
+    while True:
+        front.write.parquet(f"{root}/level={level}")
+        front = spark.read.schema(node).parquet(f"{root}/level={level}")
+        seen = spark.read.schema(schema).parquet(root)
         if front.isEmpty():
-            break
-        seen = _checkpointed(seen.unionByName(front))
-    return seen
+            return seen
+        front = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        level += 1

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.operators import ordered
 from gridloom.plans import syntax as S
 
 BORDER = T.StructType([T.StructField("kind", T.StringType()), T.StructField("n", T.LongType())])
@@ -42,7 +43,10 @@ def shapes(cells: DataFrame) -> DataFrame:
 
 
 def runs(df: DataFrame, lane: list[str], at: str, name: str, *also: str) -> DataFrame:
-    """``df`` with a number for each maximal run of neighbouring places ``at`` in a lane, and of equal ``also``."""
+    """``df`` with a number for each maximal run of neighbouring places ``at`` in a lane, and of equal ``also``. A lane is a
+    sheet's row or column, 1,048,576 cells at most; a table without lanes is dealt into ranges."""
+    if not lane:
+        return ordered.numbered(df, list(also), at, name).withColumn(name, F.col(at) - F.col(name) - 1)
     w = Window.partitionBy(*lane, *also).orderBy(at)
     return df.withColumn(name, F.col(at) - F.row_number().over(w))
 
