@@ -160,16 +160,18 @@ def median(df: DataFrame, value: str) -> DataFrame:
     return placed.crossJoin(total).agg(((at(low) + at(high)) / 2).alias("v"))  # one row
 
 
-def numbered(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with each row's place among its group's values in order, from 0. A group's values are dealt into ranges."""
+def numbered(df: DataFrame, by: list[str], value: str, name: str, size: str | None = None) -> DataFrame:
+    """``df`` with each row's place among its group's values in order, from 0, and, if asked for, the group's size. A group's
+    values are dealt into ranges; rows move once, as what is counted and what is numbered share an exchange."""
     bounds = ranges_of(df, F.col(value))
-    dealt = df.withColumn("_range", F.coalesce(range_number(F.col(value), bounds), F.lit(0)))
+    dealt = df.withColumn("_range", F.coalesce(range_number(F.col(value), bounds), F.lit(0))).repartition("_range", *by)
     totals = dealt.groupBy("_range", *by).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("_range", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = totals.select("_range", *by, before.alias("_before"), F.sum("_n").over(whole).alias("_size"))
     own = F.row_number().over(Window.partitionBy("_range", *by).orderBy(F.col(value).asc_nulls_first()))
-    out = dealt.withColumn("_own", own).join(carried, ["_range", *by])
-    return out.withColumn(name, F.col("_own") + F.col("_before") - 1).drop("_range", "_own", "_before")
+    out = dealt.withColumn("_own", own).join(carried, ["_range", *by]).withColumn(name, F.col("_own") + F.col("_before") - 1)
+    return (out.withColumn(size, F.col("_size")) if size else out).drop("_range", "_own", "_before", "_size")
 
 
 def kth(df: DataFrame, value: str, k: int, largest: bool) -> DataFrame:

@@ -348,13 +348,13 @@ def slider(current: float) -> tuple[float, float]:
 
 def statistics(rows: DataFrame, value: str = "value", by: list[str] | None = None) -> DataFrame:
     """n, mean, sd (of the population), and quantiles p5, p50, p95: the value at place floor((n - 1) p) in order."""
-    own = rows.where(F.col(value).isNotNull())
     by = by or []
-    count = own.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
-    parts = own.join(count, by) if by else own.crossJoin(count)
-    quantiles = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
-    placed = ordered.numbered(parts, by, value, "_k")
-    return placed.groupBy(*by, "n", "mean", "sd").agg(*(F.max(F.when(F.col("_k") == F.floor((F.col("n") - 1) * p), F.col(value))).alias(name) for name, p in quantiles.items()))
+    own = rows.where(F.col(value).isNotNull()).select(*by, value)
+    placed = ordered.numbered(own, by, value, "_k", "_n")
+    at = lambda p: F.max(F.when(F.col("_k") == F.floor((F.col("_n") - 1) * p), F.col(value)))
+    quantiles = [at(p).alias(name) for name, p in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))]
+    found = placed.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), *quantiles)
+    return found if by else found.where("n > 0")
 
 
 def histogram(rows: DataFrame, value: str = "value", bins: int = 40) -> DataFrame:
