@@ -25,7 +25,7 @@ MIXED = "struct<k:string,n:double,t:string,b:boolean>"
 @dataclass
 class Cell:
     """kind: num, text, bool, blank, fault or mixed; v: the values; e: codes of faults, None if there are none; constant:
-    the value itself if it is one; blank: whether v may be null."""
+    the value itself if it is one; blank: whether v may be null; day: the date column that v's serials come from."""
 
     kind: str
     v: Column
@@ -33,6 +33,7 @@ class Cell:
     blank: bool = False
     constant: V.Value = None
     is_constant: bool = False
+    day: Column | None = None  # the date that a serial number was made from
 
 
 def constant(value: V.Value) -> Cell:
@@ -364,6 +365,12 @@ def date_part(serial: Column, part: str) -> Column:
     return F.when(n == 60, odd[0]).when(n == 0, odd[1]).otherwise(real).cast("double")
 
 
+def part_of_day(day: Column, part: str) -> Column:
+    """``date_part`` of serials that come from dates, straight from the date; a blank, and the day before 1900 began, are serial 0."""
+    real, first = {"year": (F.year, 1900), "month": (F.month, 1), "day": (F.day, 0)}[part]
+    return F.when(day > F.lit("1899-12-31").cast("date"), real(day)).otherwise(first).cast("double")
+
+
 def seconds_of(serial: Column) -> Column:
     return F.pmod(F.floor((serial - F.floor(serial)) * 86400 + 0.5), F.lit(86400))
 

@@ -230,7 +230,7 @@ class Compiler:
             code = f"{name}_e"
             columns[code] = x.e
         self.joins.append(lambda df: df.withColumns(columns))
-        return Cell(x.kind, F.col(name), F.col(code) if code else None, x.blank)
+        return Cell(x.kind, F.col(name), F.col(code) if code else None, x.blank, day=x.day)
 
     # --- references
 

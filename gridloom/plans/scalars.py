@@ -459,10 +459,11 @@ def _code(own, args):
 @scalar("DATE", least=3, most=3)
 def _date(own, args):
     y, m, d = numbers(own, args, stage=True)
-    year = C.truncated(y.v)
-    year = F.when(year.between(0, 1899), year + 1900).otherwise(year)
-    bad = ~year.between(1900, 9999) | (F.abs(m.v) > 100_000) | (F.abs(d.v) > 1_000_000)
-    n = C.date_serial(F.when(bad, 2000.0).otherwise(year), F.when(bad, 1.0).otherwise(C.truncated(m.v)), F.when(bad, 1.0).otherwise(C.truncated(d.v)))
+    held = lambda v: own.staged(Cell("num", v)).v  # noqa: E731  what is read many times is computed once
+    given = held(C.truncated(y.v))
+    year = held(F.when(given.between(0, 1899), given + 1900).otherwise(given))
+    bad = held(~year.between(1900, 9999) | (F.abs(m.v) > 100_000) | (F.abs(d.v) > 1_000_000))
+    n = held(C.date_serial(F.when(bad, 2000.0).otherwise(year), F.when(bad, 1.0).otherwise(C.truncated(m.v)), F.when(bad, 1.0).otherwise(C.truncated(d.v))))
     return Cell("num", n, C.first_fault(y.e, m.e, d.e, C.when_fault(bad | (n < 0), NUM)))
 
 
@@ -481,7 +482,19 @@ def _of_serial(f: Callable[[Column], Column]):
     return run
 
 
-SCALARS |= {p.upper(): (1, 1, _of_serial(lambda n, p=p: C.date_part(n, p))) for p in ("year", "month", "day")}
+def _part(part: str):
+    plain = _of_serial(lambda n: C.date_part(n, part))
+
+    def run(own, args):
+        x = own.cell(args[0])
+        if x.day is None:
+            return plain(own, args)
+        return Cell("num", C.part_of_day(x.day, part), C.first_fault(x.e, C.when_fault(x.day < F.lit("1899-12-31").cast("date"), NUM)))
+
+    return run
+
+
+SCALARS |= {p.upper(): (1, 1, _part(p)) for p in ("year", "month", "day")}
 SCALARS |= {
     "HOUR": (1, 1, _of_serial(lambda n: F.floor(C.seconds_of(n) / 3600))), "MINUTE": (1, 1, _of_serial(lambda n: F.pmod(F.floor(C.seconds_of(n) / 60), F.lit(60)))), "SECOND": (1, 1, _of_serial(lambda n: F.pmod(C.seconds_of(n), F.lit(60)))),
 }

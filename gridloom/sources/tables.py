@@ -38,11 +38,12 @@ class Sheet:
         """Column i as cells."""
         own = self.df.schema[i]
         v: Column = F.col(prefix + own.name)
+        day = None
         if self.is_time(i):
-            v = serial_of(v)
+            v, day = serial_of(v), F.to_date(v)
         elif self.kind(i) == "num":
             v = v.cast("double")
-        return Cell(self.kind(i), v, None, own.nullable and self.blanks)
+        return Cell(self.kind(i), v, None, own.nullable and self.blanks, day=day)
 
     def placed(self) -> DataFrame:
         """The rows with their numbers, _row from 1."""
