@@ -93,7 +93,7 @@ s AS (SELECT wb, k, 3 AS col, slipped AS odd FROM c UNION ALL SELECT wb, k, 4 AS
 v AS (SELECT *, ((CASE WHEN slipped THEN above ELSE p_size END + 1) * 2 + wrong::INTEGER)::DOUBLE AS stored FROM c) """
 
 
-def brand_file(key, parts: pd.DataFrame) -> pd.DataFrame:
+def brand_file(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
     book = Workbook()
     own = book.add("Parts")
     own.values |= {(0, c): t for c, t in enumerate(("size", "name", "sum", "double"))}
