@@ -50,7 +50,7 @@ def outside(node: S.Node) -> bool:
     return any(getattr(n, "sheet", None) is not None and n.sheet.book is not None for n in node.walk()) or any(isinstance(n, S.Call) and any(isinstance(p, str) and p.startswith("[") for p in n.pieces) for n in node.walk())
 
 
-def judged(book: Workbook, sheet: int, row: int, col: int, formula: str) -> tuple[Value, Value, str, str]:
+def judged(book: Workbook, sheet: int, row: int, col: int, formula: str, extents: dict | None = None) -> tuple[Value, Value, str, str]:
     """Expected and got values, outcome and class. Cells are evaluated against the stored values of their neighbours."""
     tree = S.parses(formula)
     if tree is None:
@@ -64,7 +64,7 @@ def judged(book: Workbook, sheet: int, row: int, col: int, formula: str) -> tupl
     expected = book.sheets[sheet].values.get((row, col))
     if expected is None:
         return None, None, "no_cached", ""
-    got = Evaluator(book, sheet, row, col).formula(tree)
+    got = Evaluator(book, sheet, row, col, extents=extents).formula(tree)
     if got == NAME and expected != NAME:
         return expected, got, "excluded", "unimplemented"
     return expected, got, *classify(expected, got)
@@ -82,8 +82,9 @@ def report(cells: DataFrame) -> DataFrame:
 
         out = []
         for wb, book in books_of(frame.astype(object).where(frame.notna(), None).itertuples(index=False)).items():
+            extents: dict = {}
             for s, r, c, text in book.formula_cells():
-                expected, got, outcome, kind = judged(book, s, r, c, text)
+                expected, got, outcome, kind = judged(book, s, r, c, text, extents)
                 out.append((wb, book.sheets[s].name, r, c, text, shown(expected), shown(got), outcome, kind, S.functions_in(text)))
         return pd.DataFrame(out, columns=[f.split()[0] for f in REPORT.split(", ")])
 
@@ -102,13 +103,13 @@ def families_agree(cells: DataFrame) -> DataFrame:
         lanes = pd.DataFrame([dict(x) for own in lanes["lanes"] for x in own], columns=["sheet", "row", "col", "family"])
         out: Counter = Counter()
         size: Counter = Counter()
-        book = books_of(frame.astype(object).where(frame.notna(), None).itertuples(index=False)).get(key[0])
+        book, extents = books_of(frame.astype(object).where(frame.notna(), None).itertuples(index=False)).get(key[0]), {}
         for (sheet, family), own in lanes.groupby(["sheet", "family"]):
             own = own.sort_values(["row", "col"])
             r0, c0 = int(own["row"].iloc[0]), int(own["col"].iloc[0])
             first = S.parse(book.sheets[sheet].formulas[r0, c0])
             for r, c in zip(own["row"].astype(int), own["col"].astype(int), strict=True):
-                there = Evaluator(book, sheet, r, c)
+                there = Evaluator(book, sheet, r, c, extents=extents)
                 a, b = there.formula(S.parse(moved(first, r - r0, c - c0))), there.formula(S.parse(book.sheets[sheet].formulas[r, c]))
                 size[sheet, family] += 1
                 out[sheet, family] += repr(a) != repr(b)
