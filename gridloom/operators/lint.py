@@ -39,7 +39,8 @@ def shape_of(formula: pd.Series, row: pd.Series, col: pd.Series) -> pd.DataFrame
 def shapes(cells: DataFrame) -> DataFrame:
     """The formula cells with their shapes."""
     own = cells.where("formula is not null").select("wb", "sheet", "sheet_name", "row", "col", "formula")
-    return own.select("*", shape_of("formula", "row", "col").alias("s")).select("wb", "sheet", "sheet_name", "row", "col", "formula", "s.*")
+    once = shape_of.asNondeterministic()  # else filters on a shape move below it and read it a second time
+    return own.select("*", once("formula", "row", "col").alias("s")).select("wb", "sheet", "sheet_name", "row", "col", "formula", "s.*")
 
 
 def runs(df: DataFrame, lane: list[str], at: str, name: str, *also: str) -> DataFrame:
@@ -61,19 +62,23 @@ def cell_name(row: Column, col: Column) -> Column:
     return F.concat(letters, (row + 1).cast("string"))
 
 
+def place_of(name: Column) -> tuple[Column, Column]:
+    """Row and column of an A1 name, from 0."""
+    letters = F.split(F.regexp_extract(name, "^([A-Z]+)", 1), "")
+    return F.regexp_extract(name, "([0-9]+)$", 1).cast("int") - 1, F.aggregate(letters, F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64) - 1
+
+
 def coarsened(cells: DataFrame) -> DataFrame:
     """The cells with the family each belongs to: down a column first, runs of two or more of one shape; then along rows;
     what is left is alone. Columns family (wb, sheet, axis and first cell) and lanes."""
-    own = shapes(cells).where("parsed")
-    down = runs(own, ["wb", "sheet", "col"], "row", "_run", "full")
-    n = F.count("*").over(Window.partitionBy("wb", "sheet", "col", "full", "_run"))
-    down = down.withColumn("_n", n)
-    first = Window.partitionBy("wb", "sheet", "col", "full", "_run")
-    vertical = down.where("_n >= 2").withColumn("family", F.concat(F.lit("v:"), cell_name(F.min("row").over(first), F.col("col")))).withColumnRenamed("_n", "lanes").drop("_run")
-    rest = runs(down.where("_n < 2").drop("_run", "_n"), ["wb", "sheet", "row"], "col", "_run", "full")
-    along = Window.partitionBy("wb", "sheet", "row", "full", "_run")
-    horizontal = rest.withColumn("family", F.concat(F.lit("h:"), cell_name(F.col("row"), F.min("col").over(along)))).withColumn("lanes", F.count("*").over(along)).drop("_run")
-    return vertical.unionByName(horizontal)
+    own = runs(shapes(cells).where("parsed"), ["wb", "sheet", "col"], "row", "_run", "full")
+    down = Window.partitionBy("wb", "sheet", "col", "full", "_run")
+    own = own.withColumns({"_n": F.count("*").over(down), "_top": F.min("row").over(down)}).withColumn("_alone", F.col("_n") < 2)
+    own = runs(own, ["wb", "sheet", "row"], "col", "_run", "full", "_alone")
+    along = Window.partitionBy("wb", "sheet", "row", "full", "_alone", "_run")
+    vertical, horizontal = F.concat(F.lit("v:"), cell_name(F.col("_top"), F.col("col"))), F.concat(F.lit("h:"), cell_name(F.col("row"), F.min("col").over(along)))
+    lanes = F.when(F.col("_alone"), F.count("*").over(along)).otherwise(F.col("_n"))
+    return own.withColumns({"family": F.when(F.col("_alone"), horizontal).otherwise(vertical), "lanes": lanes}).drop("_run", "_n", "_top", "_alone")
 
 
 def coarsening(cells: DataFrame) -> DataFrame:
@@ -87,17 +92,25 @@ def border_step(a: Column, b: Column) -> Column:
     return F.when(a["kind"] == b["kind"], a["n"] - b["n"])
 
 
-def deviants(own: DataFrame, along_rows: bool) -> DataFrame:
-    """The cells inside long runs that differ from the run's majority, one or two in a run, each beside an exemplar."""
+def beside_majority(own: DataFrame, along_rows: bool, name: str) -> DataFrame:
+    """``own`` with a struct for the cells inside long runs that differ from the run's majority, one or two in a run: _len,
+    _majority, ex (the majority's first cell), _first and _last of the run. It is null for all other cells."""
     lane, at = ("row", "col") if along_rows else ("col", "row")
     own = runs(own, ["wb", "sheet", lane], at, "_run")
-    run = ["wb", "sheet", lane, "_run"]
-    per = own.groupBy(*run, "full").agg(F.count("*").alias("_same"), F.min_by(F.struct("row", "col", "formula", "structural", "ranges"), at).alias("_ex"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    best = per.groupBy(*run).agg(F.sum("_same").alias("_len"), F.max("_same").alias("_most"), F.max_by("full", F.struct("_same", "full")).alias("_majority"), F.max_by("_ex", F.struct("_same", "full")).alias("ex"), F.min("_lo").alias("_first"), F.max("_hi").alias("_last"))
-    best = best.where((F.col("_len") >= SHORTEST) & (F.col("_most") >= F.col("_len") * MAJORITY) & (F.col("_most") < F.col("_len")) & (F.col("_len") - F.col("_most") <= MOST_DEVIANTS))
-    found = own.join(best, run).where((F.col("full") != F.col("_majority")) & (F.col(at) > F.col("_first")) & (F.col(at) < F.col("_last")))
-    place = (lambda p: cell_name(F.col(lane), F.col(p))) if along_rows else (lambda p: cell_name(F.col(p), F.col(lane)))
-    return found.withColumn("run", F.concat(place("_first"), F.lit(":"), place("_last"))).withColumn("horizontal", F.lit(along_rows)).withColumn("lane", F.col(at))
+    keys = ["wb", "sheet", lane, "_run"]
+    run = Window.partitionBy(*keys)
+    own = own.withColumn("_same", F.count("*").over(Window.partitionBy(*keys, "full")))
+    cell = F.struct("row", "col", "formula", "structural", "ranges", "full", "_same")
+    own = own.withColumns({"_len": F.count("*").over(run), "_first": F.min(at).over(run), "_last": F.max(at).over(run), "_ex": F.max_by(cell, F.struct("_same", "full", -F.col(at))).over(run)})
+    n, most, here = F.col("_len"), F.col("_ex._same"), F.col(at)
+    odd = (n >= SHORTEST) & (most >= n * MAJORITY) & (most < n) & (n - most <= MOST_DEVIANTS) & (F.col("full") != F.col("_ex.full")) & (here > F.col("_first")) & (here < F.col("_last"))
+    own = own.withColumn(name, F.when(odd, F.struct("_len", F.col("_ex.full").alias("_majority"), F.col("_ex").alias("ex"), "_first", "_last")))
+    return own.drop("_run", "_same", "_len", "_first", "_last", "_ex")
+
+
+def deviants(own: DataFrame, along_rows: bool) -> DataFrame:
+    """The cells inside long runs that differ from the run's majority, one or two in a run, each beside an exemplar."""
+    return beside_majority(own, along_rows, "_beside").where("_beside is not null").select("*", "_beside.*").drop("_beside")
 
 
 def findings(cells: DataFrame) -> DataFrame:
@@ -107,34 +120,41 @@ def findings(cells: DataFrame) -> DataFrame:
     siblings'; inconsistent-region: another slipped reference.
     """
     own = shapes(cells).where("parsed").withColumn("_repeats", F.count("*").over(Window.partitionBy("wb", "sheet", "full")))
-    name = cell_name(F.col("row"), F.col("col"))
-    lost = own.where("ref_error").select(F.lit("ref-error").alias("detector"), "wb", F.col("sheet_name").alias("sheet"), name.alias("cell"), "formula", F.concat("sheet_name", F.lit("!"), name, F.lit(" = "), "formula", F.lit(" refers to #REF!")).alias("proof"))
-    odd = deviants(own, False).unionByName(deviants(own, True))
-    odd = odd.where((F.col("structural") == F.col("ex.structural")) & (F.size("ranges") == F.size("ex.ranges")))
+    own = beside_majority(beside_majority(own, False, "_down"), True, "_along")
+    # a row for each defect: a lost reference, a run down a column, a run along a row; shapes are read once for all three
+    way = F.col("_way")
+    kinds = F.array_compact(F.array(F.when(F.col("ref_error"), 0), F.when(F.col("_down").isNotNull(), 1), F.when(F.col("_along").isNotNull(), 2)))
+    odd = own.withColumn("_way", F.explode(kinds)).withColumn("_beside", F.when(way == 1, F.col("_down")).when(way == 2, F.col("_along"))).drop("_down", "_along").select("*", "_beside.*")
+    is_lost = way == 0
+    odd = odd.where(is_lost | ((F.col("structural") == F.col("ex.structural")) & (F.size("ranges") == F.size("ex.ranges"))))
     pairs = F.arrays_zip(F.col("ranges").alias("a"), F.col("ex.ranges").alias("b"))
     borders = ("r0", "c0", "r1", "c1")
     steps = lambda p: [border_step(p["a"][x], p["b"][x]) for x in borders]
     odd = odd.withColumn("_pairs", F.filter(pairs, lambda p: p["a"] != p["b"]))
     flipped = F.exists("_pairs", lambda p: steps(p)[0].isNull() | steps(p)[1].isNull() | steps(p)[2].isNull() | steps(p)[3].isNull())
-    odd = odd.where(~flipped)
+    odd = odd.where(is_lost | ~flipped)
     moved = lambda p: F.filter(F.array(*steps(p)), lambda d: d != 0)
     one_off = (F.size("_pairs") == 1) & F.forall("_pairs", lambda p: (F.size(moved(p)) == 1) & (F.abs(F.element_at(moved(p), 1)) == 1))
     odd = odd.withColumn("_one", one_off)
     vector = lambda r, across: (r["r0"] == r["r1"]) & (r["c0"] != r["c1"]) if across else (r["c0"] == r["c1"]) & (r["r0"] != r["r1"])
     turned = F.exists("_pairs", lambda p: ~p["a"]["single"] & ~p["b"]["single"] & ((vector(p["a"], True) & vector(p["b"], False)) | (vector(p["a"], False) & vector(p["b"], True))))
     reordered = (F.col("ranges") != F.col("ex.ranges")) & (F.array_sort("ranges") == F.array_sort(F.col("ex.ranges")))
-    odd = odd.where(F.col("_one") | ((F.col("_repeats") == 1) & ~turned & ~reordered))
+    odd = odd.where(is_lost | F.col("_one") | ((F.col("_repeats") == 1) & ~turned & ~reordered))
     # a lane flagged in several runs is a second layout
-    odd = odd.withColumn("_flags", F.count("*").over(Window.partitionBy("wb", "sheet", "horizontal", "lane"))).where(F.col("_one") | (F.col("_flags") == 1))
-    ex = cell_name(F.col("ex.row"), F.col("ex.col"))
+    odd = odd.withColumn("_lane", F.when(way == 2, F.col("col")).otherwise(F.col("row")))
+    odd = odd.withColumn("_flags", F.count("*").over(Window.partitionBy("wb", "sheet", "_way", "_lane"))).where(is_lost | F.col("_one") | (F.col("_flags") == 1))
+    name, ex = cell_name(F.col("row"), F.col("col")), cell_name(F.col("ex.row"), F.col("ex.col"))
+    place = lambda p: F.when(way == 2, cell_name(F.col("row"), F.col(p))).otherwise(cell_name(F.col(p), F.col("col")))
     others = (F.col("_len") - 1).cast("string")
     size = F.col("_len").cast("string")
-    where = F.concat("sheet_name", F.lit("!"), "run")
+    where = F.concat("sheet_name", F.lit("!"), place("_first"), F.lit(":"), place("_last"))
+    lost = F.concat("sheet_name", F.lit("!"), name, F.lit(" = "), "formula", F.lit(" refers to #REF!"))
     first = F.element_at("_pairs", 1)
     off = F.concat(where, F.lit(": "), others, F.lit(" of "), size, F.lit(" cells use the pattern of "), ex, F.lit(" = "), "ex.formula", F.lit("; "), name, F.lit(" = "), "formula", F.lit(" — its range spans "), first["a"]["shown"], F.lit(" where siblings span "), first["b"]["shown"], F.lit(" (one boundary short/long by one)"))
     odd_one = F.concat(where, F.lit(": "), others, F.lit(" of "), size, F.lit(" cells share the copied formula pattern (e.g. "), ex, F.lit(" = "), "ex.formula", F.lit("), but "), name, F.lit(" = "), "formula")
-    found = odd.select(F.when(F.col("_one"), "range-off-by-one").otherwise("inconsistent-region").alias("detector"), "wb", F.col("sheet_name").alias("sheet"), name.alias("cell"), "formula", F.when(F.col("_one"), off).otherwise(odd_one).alias("proof"))
-    return lost.unionByName(found)
+    detector = F.when(is_lost, "ref-error").when(F.col("_one"), "range-off-by-one").otherwise("inconsistent-region")
+    proof = F.when(is_lost, lost).when(F.col("_one"), off).otherwise(odd_one)
+    return odd.select(detector.alias("detector"), "wb", F.col("sheet_name").alias("sheet"), name.alias("cell"), "formula", proof.alias("proof"))
 
 
 def key(detector: str = "detector", sheet: str = "sheet", cell: str = "cell") -> Column:
@@ -169,12 +189,14 @@ def sampled(found: DataFrame, n: int = 200) -> DataFrame:
 def audit(found: DataFrame, cells: DataFrame) -> DataFrame:
     """The findings beside the stored values of the cells around them, one up, down, left and right."""
     v = F.coalesce(F.col("text"), F.col("num").cast("string"))
-    around = cells.select(F.col("wb").alias("_wb"), F.col("sheet_name").alias("_sheet"), cell_name(F.col("row"), F.col("col")).alias("_at"), F.col("row").alias("_row"), F.col("col").alias("_col"), v.alias("_v"))
-    here = found.join(around.select("_wb", "_sheet", "_at", "_row", "_col"), (F.col("wb") == F.col("_wb")) & (F.col("sheet") == F.col("_sheet")) & (F.col("cell") == F.col("_at"))).drop("_wb", "_sheet", "_at")
-    near = around.select(F.col("_wb").alias("_nwb"), F.col("_sheet").alias("_nsheet"), F.col("_row").alias("_nrow"), F.col("_col").alias("_ncol"), F.struct(F.col("_at").alias("cell"), F.col("_v").alias("value")).alias("_near"))
-    steps = here.withColumn("_d", F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))))))
-    joined = steps.join(near, (F.col("wb") == F.col("_nwb")) & (F.col("sheet") == F.col("_nsheet")) & (F.col("_row") + F.col("_d.dr") == F.col("_nrow")) & (F.col("_col") + F.col("_d.dc") == F.col("_ncol")), "left")
-    return joined.groupBy("detector", "wb", "sheet", "cell", "formula", "proof").agg(F.sort_array(F.collect_list("_near")).alias("around"))
+    near = cells.select(F.col("wb").alias("_wb"), F.col("sheet_name").alias("_sheet"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.struct(cell_name(F.col("row"), F.col("col")).alias("cell"), v.alias("value")).alias("_near"))
+    row, col = place_of(F.col("cell"))
+    # the cell itself is looked up too: findings of cells that aren't there are left out
+    steps = found.withColumn("_d", F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))))))
+    steps = steps.select("*", (row + F.col("_d.dr")).alias("_r"), (col + F.col("_d.dc")).alias("_c"), ((F.col("_d.dr") == 0) & (F.col("_d.dc") == 0)).alias("_own"))
+    joined = steps.join(near, (F.col("wb") == F.col("_wb")) & (F.col("sheet") == F.col("_sheet")) & (F.col("_r") == F.col("_row")) & (F.col("_c") == F.col("_col")))
+    out = joined.groupBy("detector", "wb", "sheet", "cell", "formula", "proof").agg(F.sort_array(F.collect_list(F.when(~F.col("_own"), F.col("_near")))).alias("around"), F.bool_or("_own").alias("_there"))
+    return out.where("_there").drop("_there")
 
 
 def caret(formula: str, proof: str, row: int, col: int) -> str:

@@ -1,6 +1,6 @@
 """What must not grow with the square of a table, and places beyond a small table's."""
 
-from gridloom.operators import receipt
+from gridloom.operators import lint, receipt
 from gridloom.plans.workbook import SheetData, Workbook
 
 
@@ -15,3 +15,33 @@ def test_receipts_measure_a_sheet_once(monkeypatch):
     assert not measured  # single cells don't ask where the sheet ends
     assert all(receipt.judged(book, 0, r, 2, "SUM(A:A)", extents)[2:] == ("pass", "exact") for r in range(20))
     assert len(measured) == 1
+
+
+CELLS = "wb string, sheet int, sheet_name string, row int, col int, kind string, num double, text string, formula string, is_array boolean"
+
+
+def python_steps(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def sheet(spark, slip: int):
+    rows = [("w", 0, "S", r, c, "n", 1.0, None, f"A{r + 1 + (c == 1 and r == slip)}*2" if c else None, False) for r in range(20) for c in range(3)]
+    return spark.createDataFrame(rows, CELLS)
+
+
+def test_findings_read_shapes_once(spark):
+    own = sheet(spark, 7)
+    found = lint.findings(own)
+    assert python_steps(found) == 1
+    assert [(r["detector"], r["cell"]) for r in found.collect()] == [("inconsistent-region", "B8")]
+    lost = own.withColumn("num", own["row"] + 0.0).where("not (row = 6 and col = 1)")
+    around = {r["cell"]: [(x["cell"], x["value"]) for x in r["around"]] for r in lint.audit(found, lost).collect()}
+    assert around == {"B8": [("A8", "7.0"), ("B9", "8.0"), ("C8", "7.0")]}
+    assert not lint.audit(found, own.where("not (row = 7 and col = 1)")).count()  # no such cell
+
+
+def test_families_read_shapes_once(spark):
+    own = lint.coarsened(sheet(spark, 7))
+    assert python_steps(own) == 1
+    lanes = {(r["family"], r["lanes"]) for r in own.collect()}
+    assert lanes == {("v:B1", 7), ("h:B8", 1), ("v:B9", 12), ("v:C1", 20)}
