@@ -1,7 +1,14 @@
 """What must not grow with the square of a table, and places beyond a small table's."""
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridloom.functions.columns import Cell
 from gridloom.operators import lint, receipt
+from gridloom.plans.compiler import Book  # isort: skip (the compiler brings in the criteria)
+from gridloom.plans import criteria
 from gridloom.plans.workbook import SheetData, Workbook
+from gridloom.sources.tables import Sheet
 
 
 def test_receipts_measure_a_sheet_once(monkeypatch):
@@ -45,3 +52,39 @@ def test_families_read_shapes_once(spark):
     assert python_steps(own) == 1
     lanes = {(r["family"], r["lanes"]) for r in own.collect()}
     assert lanes == {("v:B1", 7), ("h:B8", 1), ("v:B9", 12), ("v:C1", 20)}
+
+
+def test_comparisons_with_blank_cells_are_ordered(spark):
+    blank = Cell("num", F.lit(1.0), None, True)
+    assert criteria.Test(blank, 0, None, ">", blank).kind == "mostly order"  # was put to each cell
+    rows = [(i, i % 3, None if i % 7 == 0 else float(i * 37 % 50) / 4) for i in range(60)]
+    book = Book(spark, [Sheet("t", spark.createDataFrame(rows, "k int, g int, v double"), ["k"])])
+    formulas = {
+        "above": 'COUNTIF(C:C,">"&C1)', "upto": 'COUNTIF(C:C,"<="&C1)', "total": 'SUMIF(C:C,">="&C1,A:A)', "band": 'COUNTIFS(C:C,">"&C1,C:C,"<"&C1+3)', "closed": 'COUNTIFS(C:C,">="&C1,B:B,B1,C:C,"<="&C1+3)',
+        "none": 'COUNTIFS(C:C,"<"&C1,C:C,">="&C1+1)', "sums": 'SUMIFS(A:A,C:C,">"&C1,C:C,"<"&C1+3)',
+    }
+    got: dict = {}
+    for name, text in formulas.items():
+        for r in book.fill("t", {name: text}, keep=["k"]).collect():
+            got.setdefault(r["k"], {})[name] = r[name]
+    known = [(k, g, v) for k, g, v in rows if v is not None]
+    for k, g, v in rows:
+        r = got[k]
+        if v is None:  # a blank after the operator finds blank cells
+            assert (r["above"], r["upto"], r["total"]) == (9, 9, sum(x for x, _, w in rows if w is None))
+            assert (r["band"], r["closed"], r["none"], r["sums"]) == (0, 0, 0, 0)
+            continue
+        assert r["above"] == sum(w > v for _, _, w in known) and r["upto"] == sum(w <= v for _, _, w in known)
+        assert r["total"] == sum(x for x, _, w in known if w >= v)
+        assert r["band"] == sum(v < w < v + 3 for _, _, w in known) and r["sums"] == sum(x for x, _, w in known if v < w < v + 3)
+        assert r["closed"] == sum(v <= w <= v + 3 and h == g for _, h, w in known)
+        assert r["none"] == 0
+
+
+def test_counts_between_bounds_meet_no_cells_one_by_one(spark):
+    rows = [(i, float(i * 37 % 50)) for i in range(60)]
+    book = Book(spark, [Sheet("t", spark.createDataFrame(rows, T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("v", T.DoubleType(), False)])), ["k"])])
+    df = book.fill("t", {"n": 'COUNTIFS(B:B,">"&B1,B:B,"<="&B1+9)'}, keep=["k"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r["k"]: r["n"] for r in df.collect()} == {k: sum(v < w <= v + 9 for _, w in rows) for k, v in rows}
