@@ -53,9 +53,12 @@ def runs(df: DataFrame, lane: list[str], at: str, name: str, *also: str) -> Data
 
 
 def cell_name(row: Column, col: Column) -> Column:
-    """A1 names from places that count from 0."""
+    """A1 names from places that count from 0. Beyond three letters, where sheets have no columns, the first one goes on
+    through Unicode."""
+    first = (65 + F.floor((col - 702) / 676)).cast("long")
+    wide = F.decode(F.unhex(F.lpad(F.hex(first), 8, "0")), "UTF-32")  # char() takes 256 codes only
     letters = F.concat(
-        F.when(col >= 702, F.char((65 + F.floor((col - 702) / 676)).cast("long"))).otherwise(""),
+        F.when(col >= 702, F.when(first < 128, F.char(first)).otherwise(wide)).otherwise(""),
         F.when(col >= 26, F.char((65 + F.pmod(F.floor((col - 26) / 26), F.lit(26))).cast("long"))).otherwise(""),
         F.char((65 + F.pmod(col, F.lit(26))).cast("long")),
     )

@@ -88,3 +88,10 @@ def test_counts_between_bounds_meet_no_cells_one_by_one(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {r["k"]: r["n"] for r in df.collect()} == {k: sum(v < w <= v + 9 for _, w in rows) for k, v in rows}
+
+
+def test_names_beyond_the_last_column(spark):
+    cols = [25, 26, 701, 702, 16383, 129_817, 129_818, 1_199_999]
+    names = [r[0] for r in spark.createDataFrame([(c,) for c in cols], "c long").select(lint.cell_name(F.lit(4), F.col("c"))).collect()]
+    assert names[:5] == ["Z5", "AA5", "ZZ5", "AAA5", "XFD5"]
+    assert [ord(n[0]) for n in names[5:]] == [65 + (c - 702) // 676 for c in cols[5:]]
