@@ -21,8 +21,8 @@ SHAPE = T.StructType([T.StructField("full", T.StringType()), T.StructField("stru
 SHORTEST, MOST_DEVIANTS, MAJORITY = 6, 2, 0.75
 
 
-def shape_row(formula: str, row: int, col: int) -> dict:
-    tree = S.parses(formula)
+def shape_row(formula: str, row: int, col: int, rows: int) -> dict:
+    tree = S.parses(formula, rows)
     if tree is None:
         return {"full": None, "structural": None, "ranges": [], "ref_error": False, "parsed": False}
     own = S.shape(tree, row, col)
@@ -32,15 +32,15 @@ def shape_row(formula: str, row: int, col: int) -> dict:
 
 
 @F.pandas_udf(SHAPE)
-def shape_of(formula: pd.Series, row: pd.Series, col: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([shape_row(f, r, c) for f, r, c in zip(formula, row, col, strict=True)], columns=["full", "structural", "ranges", "ref_error", "parsed"])
+def shape_of(formula: pd.Series, row: pd.Series, col: pd.Series, rows: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([shape_row(*x) for x in zip(formula, row, col, rows, strict=True)], columns=["full", "structural", "ranges", "ref_error", "parsed"])
 
 
-def shapes(cells: DataFrame) -> DataFrame:
-    """The formula cells with their shapes."""
+def shapes(cells: DataFrame, rows: int = S.MAX_ROWS) -> DataFrame:
+    """The formula cells with their shapes. rows: where sheets end; sheets made from tables go on beyond those of files."""
     own = cells.where("formula is not null").select("wb", "sheet", "sheet_name", "row", "col", "formula")
     once = shape_of.asNondeterministic()  # else filters on a shape move below it and read it a second time
-    return own.select("*", once("formula", "row", "col").alias("s")).select("wb", "sheet", "sheet_name", "row", "col", "formula", "s.*")
+    return own.select("*", once("formula", "row", "col", F.lit(rows).cast("long")).alias("s")).select("wb", "sheet", "sheet_name", "row", "col", "formula", "s.*")
 
 
 def runs(df: DataFrame, lane: list[str], at: str, name: str, *also: str) -> DataFrame:

@@ -16,7 +16,7 @@ from gridloom.operators import census, dependencies, diff, gradients, lint, orde
 from gridloom.plans.formula_queries import book as tables
 from gridloom.plans.formula_queries import tidy
 from gridloom.plans.interp import Evaluator
-from gridloom.plans.syntax import as_cell, parse
+from gridloom.plans.syntax import TABLE_ROWS, as_cell, parse
 from gridloom.plans.workbook import Workbook
 from gridloom.sources import xlsx
 
@@ -187,7 +187,7 @@ def q_parse_round_trip(spark, sf_dir):
 
 @query("""SELECT CASE p_size % 4 WHEN 0 THEN 'SUM(RC[-3]:R[3]C[-2])' WHEN 1 THEN 'IF(RC[-1]>0.0,MAX(R1C1:R9C1),ROUND(RC[-2],2.0))' WHEN 2 THEN 'VLOOKUP(RC[-3],SHEET2!R1C[-3]:R1048576C[-1],2.0,FALSE)' ELSE replace('XLOOKUP(R[-#]C[-3],[1]X!R1C[-2]:R1048576C[-2],"IF("&R[-#]C[-1])', '[-#]', CASE WHEN p_partkey = 0 THEN '' ELSE '[-' || p_partkey || ']' END) END AS full, count(*) AS n FROM part GROUP BY 1""")
 def q_shapes(spark, sf_dir):
-    own = lint.shapes(formula_cells(spark, sf_dir))
+    own = lint.shapes(formula_cells(spark, sf_dir), TABLE_ROWS)
     return own.groupBy("full").agg(F.count("*").alias("n"))
 
 

@@ -1,12 +1,15 @@
 """What must not grow with the square of a table, and places beyond a small table's."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.columns import Cell
 from gridloom.operators import lint, receipt
 from gridloom.plans.compiler import Book  # isort: skip (the compiler brings in the criteria)
-from gridloom.plans import criteria
+from gridloom.plans import criteria, model_queries
+from gridloom.plans import syntax as S
 from gridloom.plans.workbook import SheetData, Workbook
 from gridloom.sources.tables import Sheet
 
@@ -95,3 +98,25 @@ def test_names_beyond_the_last_column(spark):
     names = [r[0] for r in spark.createDataFrame([(c,) for c in cols], "c long").select(lint.cell_name(F.lit(4), F.col("c"))).collect()]
     assert names[:5] == ["Z5", "AA5", "ZZ5", "AAA5", "XFD5"]
     assert [ord(n[0]) for n in names[5:]] == [65 + (c - 702) // 676 for c in cols[5:]]
+
+
+def test_shapes_beyond_the_last_row_of_files(spark, tmp_path):
+    keys = [0, 1, *range(S.MAX_ROWS - 6, S.MAX_ROWS + 3), 1_199_999, 20_000_000]
+    parts = [(k, size, "Brand#11") for k in keys for size in range(1, 5)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = {(r["full"], r["n"]) for r in model_queries.QUERIES["q_shapes"](spark, str(tmp_path)).collect()}
+    assert got == set(duck.execute(model_queries.SQL["q_shapes"]).fetchall())
+
+
+@pytest.mark.parametrize(("text", "in_a_file", "in_a_table"), [
+    ("A1048576", "R[1048570]C[-3]", "R[1048570]C[-3]"), ("A1048577", "A1048577", "R[1048571]C[-3]"), ("SUM(A1048576:B1048577)", "SUM(R[1048570]C[-3]:B1048577)", "SUM(R[1048570]C[-3]:R[1048571]C[-2])"),
+    ("$A$12000000", None, "R12000000C1"), ("SUM($1:$1048577)", None, "SUM(R1C1:R1048577C16384)"), ("TAX20000000000000000000", "TAX20000000000000000000", "TAX20000000000000000000"),
+])
+def test_where_sheets_end(text, in_a_file, in_a_table):
+    for want, rows in ((in_a_file, S.MAX_ROWS), (in_a_table, S.TABLE_ROWS)):
+        tree = S.parses(text, rows)
+        assert (tree and S.shape(tree, 5, 3).full) == want
+        assert tree is None or tree.text() == text
+    assert S.parses(text) == S.parses(text, S.MAX_ROWS)
