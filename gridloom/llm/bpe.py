@@ -8,7 +8,8 @@ Two tokens are compatible if no merge crosses their border before both are compl
 merges again and again, no pair met at the border may have a merge older than the part that was undone.
 
 Null texts count as empty; an empty text has no ids and decodes to the empty text. Words repeat, so each Python worker
-keeps those it has seen, up to a bound; longer pieces are encoded each time.
+keeps those it has seen, up to a bound: runs of text without white space as they are written, and the lower-cased words
+in them, which are walked through the automaton once however they are written. Longer pieces are encoded each time.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm.common import batch_of, map_arrow, slices, table, texts
+from gridloom.llm.common import batch_of, map_arrow, slices, table, texts, utf8
 
-#: Words that a worker remembers, and the longest of them.
+#: Runs of text that a worker remembers, and as many words; and the longest of them.
 REMEMBERED, LONGEST = 400_000, 48
 END = 256  # what the unit of a word's last byte has above that byte
 
@@ -40,7 +43,9 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """Finds, after each unit, the patterns that end there. States are made when first met."""
+    """Finds, after each unit, the patterns that end there. States are made when first met; each holds its moves by unit,
+    the length and token of the patterns that end in it, longest first, each with what is known of the tokens that may
+    stand before it, and the text it stands for."""
 
     def __init__(self, patterns: dict[str, int]):
         self.patterns = patterns
@@ -50,17 +55,18 @@ class Automaton:
                 if p[:i] in self.prefixes:
                     break
                 self.prefixes.add(p[:i])
-        self.state, self.names, self.moves, self.ending = {"": 0}, [""], {}, [()]
+        self.before: dict[int, dict[int, bool]] = {}
+        self.root: tuple = ({}, (), "")
+        self.state = {"": self.root}
 
-    def move(self, at: int, unit: str) -> int:
-        text = self.names[at] + unit
+    def move(self, at: tuple, unit: int) -> tuple:
+        text = at[2] + chr(unit)
         while text and text not in self.prefixes:
             text = text[1:]
         if (to := self.state.get(text)) is None:
-            to = self.state[text] = len(self.names)
-            self.names.append(text)
-            self.ending.append(tuple((len(text) - i, self.patterns[text[i:]]) for i in range(len(text)) if text[i:] in self.patterns))
-        self.moves[at, unit] = to
+            found = [(len(text) - i, token) for i in range(len(text)) if (token := self.patterns.get(text[i:])) is not None]
+            to = self.state[text] = ({}, tuple((n, token, self.before.setdefault(token, {})) for n, token in found), text)
+        at[0][unit] = to
         return to
 
 
@@ -89,7 +95,7 @@ class Vocabulary:
             pair = ids[a], ids[b]
             self.joined[pair] = ids[a + b]
             self.parts.setdefault(ids[a + b], pair)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.compared = 0
         reachable = {units(name): i for name, i in model["vocab"].items() if i not in self.parts or self.compatible(*self.parts[i], below=i)}
         self.automaton = Automaton(reachable)
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -114,26 +120,25 @@ class Vocabulary:
         """Ids of one word; with a word-end suffix its last byte is a unit of its own."""
         if not data:
             return []
-        units = data.decode("latin-1")
-        if self.suffix:
-            units = units[:-1] + chr(data[-1] + END)
-        machine, moves, ending, fits = self.automaton, self.automaton.moves, self.automaton.ending, self.fits
-        last, size, at = [0], [0], 0
-        for i, unit in enumerate(units, 1):
-            at = to if (to := moves.get((at, unit))) is not None else machine.move(at, unit)
-            for n, token in ending[at]:
+        move, state = self.automaton.move, self.automaton.root
+        last, size = [0], [0]
+        for i, unit in enumerate(chain(data[:-1], (data[-1] + END * bool(self.suffix),)), 1):
+            state = state[0].get(unit) or move(state, unit)
+            for n, token, fits in state[1]:
                 if n == i:
                     break
-                pair = last[i - n], token
-                if (ok := fits.get(pair)) is None:
-                    ok = fits[pair] = self.compatible(*pair)
+                if (ok := fits.get(last[i - n])) is None:
+                    ok = fits[last[i - n]] = self.compatible(last[i - n], token)
+                    self.compared += 1
                 if ok:
                     break
             last.append(token)
             size.append(n)
-        if len(fits) > 2_000_000:
-            fits.clear()
-        out, i = [], len(units)
+        if self.compared > 2_000_000:
+            self.compared = 0
+            for fits in self.automaton.before.values():
+                fits.clear()
+        out, i = [], len(data)
         while i:
             out.append(last[i])
             i -= size[i]
@@ -164,60 +169,71 @@ def splitter(path: str):
     return lambda piece: [w for w, _ in words.pre_tokenize_str(normal.normalize_str(piece))]
 
 
+class Remembered(dict):
+    """What ``learn`` makes of a text, kept for the texts met last. When half of the room is full, the other half, which
+    holds what was met before, is given up; what it holds and is met again moves on."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.before = learn, {}
+
+    def __missing__(self, text: str) -> bytes:
+        if (found := self.before.get(text)) is None:
+            found = self.learn(text)
+        if len(text) <= LONGEST:
+            if len(self) >= REMEMBERED // 2:
+                self.before = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
 class WordCoder:
-    """Encodes and decodes texts with a vocabulary of lower-cased words whose white space is dropped."""
+    """Encodes and decodes texts with a vocabulary of lower-cased words whose white space is dropped. Ids are little-endian
+    32-bit integers."""
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
         self.rarely = splitter(path)
-        self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
+        self.chunks, self.words = Remembered(self._chunk), Remembered(self._word)
+        names = self.vocabulary.names
+        self.named = pa.array([names.get(i, "") + " " for i in range(max(names) + 1)], pa.large_string())
 
-    def _piece(self, piece: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        return np.array(self.vocabulary.word(word.encode()), "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
         """Ids of a run of text without white space and special tokens."""
-        if max(piece, default="") > LATIN:
-            return [i for w in self.rarely(piece) for i in self.vocabulary.word(w.encode())]
         if not piece.isascii():
+            if max(piece) > LATIN:
+                return b"".join([self.words[w] for w in self.rarely(piece)])
             piece = unicodedata.normalize("NFC", piece)
         piece = piece.lower()
-        return [i for w in WORDS.findall(piece) for i in self.vocabulary.word(w.encode())]
+        return self.words[piece] if piece.isalpha() else b"".join([self.words[w] for w in WORDS.findall(piece)])
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _chunk(self, chunk: str) -> bytes:
         own = self.vocabulary
         if not own.special_pattern or "<" not in chunk:
             return self._piece(chunk)
         out, done = [], 0
         for m in own.special_pattern.finditer(chunk):
-            out += [*self._piece(chunk[done : m.start()]), own.special[m[0]]]
+            out += [self._piece(chunk[done : m.start()]), np.array([own.special[m[0]]], "<u4").tobytes()]
             done = m.end()
-        return out + self._piece(chunk[done:])
+        return b"".join([*out, self._piece(chunk[done:])])
 
-    def _learn(self, chunks: set[str]) -> None:
-        for chunk in chunks:
-            found = self._chunk(chunk)
-            self.ids[chunk] = np.array(found, "<u4").tobytes()
-            self.shown[chunk] = self.show(found)
+    def ids(self, text: str) -> bytes:
+        chunks = [c for c in BLANK.split(text) if c] if any(c in text for c in CONTROL) else text.split()
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
-    def show(self, ids: list[int]) -> str:
-        """Decoding: this vocabulary names no decoder, so its tokens are joined by spaces."""
-        names = self.vocabulary.names
-        return " ".join([names[i] for i in ids])
+    def show(self, codes: list[bytes]) -> list[memoryview]:
+        """Decoded texts in UTF-8: this vocabulary names no decoder, so its tokens are joined by spaces."""
+        data, edges = utf8(self.named.take(pa.array(np.frombuffer(b"".join(codes), "<u4"))))
+        first = np.cumsum([0, *(len(code) // 4 for code in codes)])
+        return [memoryview(data[a : max(a, b - 1)]) for a, b in pairwise(edges[first].tolist())]
 
     def both(self, text: str) -> tuple[bytes, str]:
-        """The text's ids as little-endian 32-bit integers, and its decoded form."""
-        chunks = [c for c in BLANK.split(text) if c] if any(c in text for c in CONTROL) else text.split()
-        new = {c for c in set(chunks) if c not in self.ids}
-        if new:
-            if len(self.ids) > REMEMBERED:
-                self.ids.clear()
-                self.shown.clear()
-                new = set(chunks)
-            self._learn(new)
-        out = b"".join([self.ids[c] for c in chunks]), " ".join([self.shown[c] for c in chunks])
-        for c in new:
-            if len(c) > LONGEST:
-                del self.ids[c], self.shown[c]
-        return out
+        """The text's ids, and its decoded form."""
+        code = self.ids(text)
+        return code, str(self.show([code])[0], "utf-8")
 
 
 @lru_cache(maxsize=2)
@@ -232,16 +248,14 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
         coder = word_coder(path)
         for batch in batches:
             for part in slices(batch):
-                n, ids_sha, text_sha, ids, shown = [], [], [], [], []
-                for text in part.column("text").to_pylist():
-                    code, decoded = coder.both(text)
-                    n.append(len(code) // 4)
-                    ids_sha.append(hashlib.sha256(code).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep_ids:
-                        ids.append(np.frombuffer(code, "<u4").astype(np.int64).tolist())
-                        shown.append(decoded)
-                more = {"ids": pa.array(ids, pa.list_(pa.int64())), "decoded": pa.array(shown, pa.string())} if keep_ids else {}
+                codes = [coder.ids(text) for text in part.column("text").to_pylist()]
+                shown = coder.show(codes)
+                n = [len(code) // 4 for code in codes]
+                ids_sha, text_sha = ([hashlib.sha256(x).hexdigest() for x in many] for many in (codes, shown))
+                more = {}
+                if keep_ids:
+                    ids = [np.frombuffer(code, "<u4").astype(np.int64).tolist() for code in codes]
+                    more = {"ids": pa.array(ids, pa.list_(pa.int64())), "decoded": pa.array([str(x, "utf-8") for x in shown], pa.string())}
                 yield batch_of(doc_id=part.column("doc_id"), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids_sha, pa.string()), decoded_sha256=pa.array(text_sha, pa.string()), **more)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep_ids

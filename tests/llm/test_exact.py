@@ -61,6 +61,34 @@ def test_bpe_rows(spark, docs, word_library):
         assert found[doc_id]["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
+@pytest.fixture
+def walked(word_library, monkeypatch):
+    """A coder that has seen nothing yet, and the words that it walks through the automaton."""
+    coder, seen = bpe.WordCoder(public_tokenizers.path("word_bpe_49k.json")), []
+    word = coder.vocabulary.word
+    monkeypatch.setattr(coder.vocabulary, "word", lambda data: seen.append(data) or word(data))
+    return coder, seen
+
+
+def test_bpe_walks_a_word_once_however_it_is_written(word_library, walked):
+    coder, seen = walked
+    text = "Reading reading, READING. (reading) rEading's <|endoftext|>reading Élan élan, É"
+    assert np.frombuffer(coder.both(text)[0], "<u4").tolist() == word_library[0].encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted({*seen}) and b"reading" in seen
+
+
+def test_bpe_keeps_frequent_words_when_its_room_is_full(word_library, walked, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    coder, seen = walked
+    for text in [*(f"often {w}" for w in words(400, 11).split()), "often " + "ab" * bpe.LONGEST]:
+        code, shown = coder.both(text)
+        want = word_library[0].encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(code, "<u4").tolist() == want and shown == word_library[0].decode(want, skip_special_tokens=False)
+    assert seen.count(b"often") == 1
+    for kept in (coder.chunks, coder.words):
+        assert len(kept) + len(kept.before) <= bpe.REMEMBERED
+
+
 @lru_cache
 def byte_library(path):
     return Tokenizer.from_file(path)
